@@ -6,14 +6,23 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tesserae.llm.bpe import op9
 from tesserae.llm.exact_dedup import OP1_SQL, op1
+from tesserae.llm.packing import op6
+from tesserae.llm.token_counts import op4
 from tesserae.session import ship, table
 
 
-def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def _over(name: str, f: Callable[..., DataFrame], tokenizer: bool = False) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship(spark)
-        return f(table(spark, sf_dir, name))
+        return f(table(spark, sf_dir, name), *[tokenizer_path()] * tokenizer)
 
     return run
 
@@ -21,6 +30,9 @@ def _over(name: str, f: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSess
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": _over("documents", op1),
+        "op4_token_counts": _over("documents", op4, tokenizer=True),
+        "op6_best_fit_packing": _over("documents", op6, tokenizer=True),
+        "op9_bpe": _over("documents", op9, tokenizer=True),
     }
 
 
