@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.bpe import op9
 from tesserae.llm.exact_dedup import OP1_SQL, op1
+from tesserae.llm.line_dedup import OP8_SQL, op8
 from tesserae.llm.packing import op6
 from tesserae.llm.token_counts import op4
 from tesserae.session import ship, table
@@ -32,6 +33,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_exact_dedup": _over("documents", op1),
         "op4_token_counts": _over("documents", op4, tokenizer=True),
         "op6_best_fit_packing": _over("documents", op6, tokenizer=True),
+        "op8_line_dedup": _over("documents", op8),
         "op9_bpe": _over("documents", op9, tokenizer=True),
     }
 
@@ -39,4 +41,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op8_line_dedup": OP8_SQL,
     }
