@@ -10,7 +10,9 @@ from tesserae.llm.bpe import op9
 from tesserae.llm.exact_dedup import OP1_SQL, op1
 from tesserae.llm.line_dedup import OP8_SQL, op8
 from tesserae.llm.packing import op6
+from tesserae.llm.secrets import op5
 from tesserae.llm.token_counts import op4
+from tesserae.llm.warc import OP7_SQL, op7
 from tesserae.session import ship, table
 
 
@@ -32,7 +34,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": _over("documents", op1),
         "op4_token_counts": _over("documents", op4, tokenizer=True),
+        "op5_secret_scan": _over("documents", op5),
         "op6_best_fit_packing": _over("documents", op6, tokenizer=True),
+        "op7_warc": _over("pages", op7),
         "op8_line_dedup": _over("documents", op8),
         "op9_bpe": _over("documents", op9, tokenizer=True),
     }
@@ -41,5 +45,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_exact_dedup": OP1_SQL,
+        "op7_warc": OP7_SQL,
         "op8_line_dedup": OP8_SQL,
     }
