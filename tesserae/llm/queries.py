@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.bpe import op9
 from tesserae.llm.exact_dedup import OP1_SQL, op1
+from tesserae.llm.language_id import op10
 from tesserae.llm.line_dedup import OP8_SQL, op8
 from tesserae.llm.packing import op6
 from tesserae.llm.secrets import op5
@@ -38,6 +39,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_best_fit_packing": _over("documents", op6, tokenizer=True),
         "op7_warc": _over("pages", op7),
         "op8_line_dedup": _over("documents", op8),
+        "op10_language_id": _over("documents", op10),
         "op9_bpe": _over("documents", op9, tokenizer=True),
     }
 
