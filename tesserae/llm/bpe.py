@@ -27,16 +27,16 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import text_of
 
 #: Pieces of text whose ids a task keeps; when it has more, it starts anew.
-KEPT = 400_000
-#: Words of at most so many bytes are merged by plain scans.
-SHORT = 48
+KEPT = 500_000
+#: Words of at most so many bytes are merged together, longer ones each alone.
+SHORT = 32
 #: Pieces longer than this are encoded each time, so that what a task keeps has a size bound.
 KEPT_CHARS = 64
 
 _FAR = np.iinfo(np.int64).max
 #: Fixed pattern of the word tokenizer's file; on text of the first 256 code points _WORDS gives the same pieces.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORDS = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\s\x85\xa00-9a-zªµºß-öø-ÿ²³¹¼½¾]+|[\x1c-\x1f]+")
+_WORDS = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
 
 
 def byte_chars() -> list[str]:
@@ -65,7 +65,10 @@ class Merges:
                 continue  # made by an earlier merge already; checked below like any other token
             self.left[z], self.right[z], self.rank[z] = x, y, rank
             self.pair[x, y] = (rank, z)
-        self.size = n
+        self.size, self.none = n, len(pairs)
+        self.made = np.zeros(len(pairs) + 1, np.int32)
+        for rank, z in self.pair.values():
+            self.made[rank] = z
         keys = np.array([x * n + y for x, y in self.pair], np.int64)
         order = np.argsort(keys)
         self.keys, self.ranks = keys[order], np.array([r for r, _ in self.pair.values()], np.int64)[order]
@@ -86,6 +89,9 @@ class Merges:
             if not ends:
                 self.inner[body] = i
         self.most = max(map(len, [*self.inner, *self.ending]))
+        self.reach: dict[bytes, int] = {}  # the longest token within words by its first two bytes
+        for t in self.inner:
+            self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.names = {i: t for t, i in vocab.items()}
 
     def _whole(self, spelled: dict[int, tuple[bytes, bool]]) -> list[int]:
@@ -128,45 +134,79 @@ class Merges:
     def longest(self, word: bytes) -> list[int]:
         """The longest tokens that fit, from left to right."""
         out, i, n, most = [], 0, len(word), self.most
-        inner, ending = self.inner, self.ending
+        inner, ending, reach = self.inner.get, self.ending.get, self.reach.get
         while i < n:
-            if n - i <= most and (t := ending.get(word[i:])) is not None:
+            if n - i <= most and (t := ending(word[i:])) is not None:
                 out.append(t)
                 break
-            for k in range(min(most, n - i - 1) if self.end else min(most, n - i), 0, -1):
-                if (t := inner.get(word[i : i + k])) is not None:
+            for j in range(i + min(reach(word[i : i + 2], 1), n - i - (1 if self.end else 0)), i, -1):
+                if (t := inner(word[i:j])) is not None:
                     out.append(t)
-                    i += k
+                    i = j
                     break
             else:  # the last byte: its token is always there
                 out.append(int(self.last[word[i]] if i == n - 1 else self.byte[word[i]]))
                 i += 1
         return out
 
-    def merged(self, word: bytes) -> list[int]:
-        """The tokens of a word by its merges, lowest rank first and leftmost among equals."""
-        ids = [int(self.byte[b]) for b in word[:-1]] + [int(self.last[word[-1]])]
-        return self._merged_short(ids) if len(ids) <= SHORT else self._merged_long(ids)
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        """The tokens of words by their merges, lowest rank first and leftmost among equals."""
+        out: list[list[int]] = [[]] * len(words)
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        for i in order:
+            if len(words[i]) > SHORT:
+                out[i] = self._merged_long(words[i])
+        short = [i for i in order if len(words[i]) <= SHORT]
+        for k in range(0, len(short), 8192):
+            part = short[k : k + 8192]
+            for i, ids in zip(part, self._merged_together([words[i] for i in part])):
+                out[i] = ids
+        return out
 
-    def _merged_short(self, ids: list[int]) -> list[int]:
-        find, none = self.pair.get, (_FAR, -1)
-        while len(ids) > 1:
-            rank, z = min(find(p, none) for p in zip(ids, ids[1:]))
-            if z < 0:
-                break
-            x, y, out, i = int(self.left[z]), int(self.right[z]), [], 0
-            while i < len(ids):
-                if ids[i] == x and i + 1 < len(ids) and ids[i + 1] == y:
-                    out.append(z)
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
-        return ids
-
-    def _merged_long(self, ids: list[int]) -> list[int]:
+    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) * self.size + b
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where((self.keys[at] == key) & (a >= 0) & (b >= 0), self.ranks[at], self.none).astype(np.int32)
+
+    def _merged_together(self, words: list[bytes]) -> list[list[int]]:
+        """One merge in every word at a time; `ids` and the ranks of adjacent pairs are rows of arrays."""
+        n = np.array([len(w) for w in words])
+        width = int(n.max()) + 1
+        place = np.arange(width)
+        symbols = np.zeros((len(words), width), np.uint8)
+        symbols[place < n[:, None]] = np.frombuffer(b"".join(words), np.uint8)
+        ids = np.where(place < n[:, None], self.byte[symbols], -1).astype(np.int32)
+        rows = np.arange(len(words))
+        ids[rows, n - 1] = self.last[symbols[rows, n - 1]]
+        ranks = self._ranks(ids[:, :-1], ids[:, 1:])
+        done: list[list[int]] = [[]] * len(words)
+        while True:
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(rows)), at]
+            ended = best == self.none
+            if ended.any():
+                for r, row in zip(rows[ended].tolist(), ids[ended].tolist()):
+                    done[r] = [t for t in row if t >= 0]
+                go = ~ended
+                rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
+            if not len(rows):
+                return done
+            every = np.arange(len(rows))
+            ids[every, at] = self.made[best]
+            shift = place[: ids.shape[1] - 1]
+            ids = np.take_along_axis(ids, shift + (shift > at[:, None]), 1)
+            ids = np.concatenate([ids, np.full((len(rows), 1), -1, np.int32)], 1) if ids.shape[1] < 2 else ids
+            shift = place[: ids.shape[1] - 1]
+            ranks = np.take_along_axis(ranks, shift + (shift >= at[:, None]), 1) if ranks.shape[1] > ids.shape[1] - 1 else ranks
+            here = np.minimum(at, ids.shape[1] - 2)
+            ranks[every, here] = self._ranks(ids[every, here], ids[every, here + 1])
+            prior = np.flatnonzero(at > 0)
+            q = at[prior] - 1
+            ranks[prior, q] = self._ranks(ids[prior, q], ids[prior, q + 1])
+
+    def _merged_long(self, word: bytes) -> list[int]:
         """With a heap of the pairs and links between neighbours, so that time stays near linear in the length."""
+        ids = [int(self.byte[b]) for b in word[:-1]] + [int(self.last[word[-1]])]
         after, before = [*range(1, len(ids)), -1], [*range(-1, len(ids) - 1)]
         heap = [(m[0], i, m[1]) for i, p in enumerate(zip(ids, ids[1:])) if (m := self.pair.get(p))]
         heapq.heapify(heap)
@@ -193,8 +233,9 @@ class Merges:
         at = np.flatnonzero(owner[1:] == owner[:-1])
         pairs, back = np.unique(flat[at] * self.size + flat[at + 1], return_inverse=True)
         bad = ~self.fit(pairs // self.size, pairs % self.size)[back]
-        for i in np.unique(owner[at[bad]]).tolist():
-            out[i] = self.merged(words[i])
+        failing = np.unique(owner[at[bad]]).tolist()
+        for i, ids in zip(failing, self.merged([words[i] for i in failing])):
+            out[i] = ids
         return out
 
 
@@ -216,34 +257,21 @@ class Encoder:
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.plain = WORD_PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
         self.kept: dict[str | int, object] = {}
-        self.words: dict[str, list[int]] = {}
 
-    def _pieces(self, text: str) -> list[str]:
-        """What can be encoded alone: runs between white space on plain text, else the library's own pieces."""
+    def _words(self, text: str) -> list[str]:
+        """The pieces that are encoded each alone: by _WORDS on plain text, else the library's own."""
         if self.plain and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
             try:
                 text.encode("latin-1")
             except UnicodeEncodeError:
                 pass
             else:
-                return text.lower().split()
+                return _WORDS.findall(text.lower())
         norm = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
-        return [" " + norm[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(norm)]
-
-    def _learn(self, pieces: list[str]) -> None:
-        """Keep the values of new pieces. One that starts with a space stands for a single word of the library's."""
-        words = [[p[1:]] if p[0] == " " else _WORDS.findall(p) for p in pieces]
-        if len(self.words) > KEPT:
-            self.words = {}
-        new = list({w for ws in words for w in ws} - self.words.keys())
-        now = dict(zip(new, self.merges.encode_words([w.encode() for w in new])))
-        self.words.update((w, ids) for w, ids in now.items() if len(w) <= KEPT_CHARS)
-        for p, ws in zip(pieces, words):
-            ids = [t for w in ws for t in (self.words.get(w) or now[w])]
-            self.kept[p] = self.value(ids, self.merges)
+        return [norm[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(norm)]
 
     def batch(self, texts: list[str]) -> list[list]:
-        """For each text the values of its pieces, in order."""
+        """For each text the values of its words, in order."""
         cut: list[list[str | int]] = []
         new: set[str | int] = set()
         for text in texts:
@@ -251,22 +279,25 @@ class Encoder:
             at = 0
             if self.split and any(s in text for s in self.special):
                 for m in self.split.finditer(text):
-                    parts += self._pieces(text[at : m.start()])
+                    parts += self._words(text[at : m.start()])
                     parts.append(self.special[m[0]])
                     at = m.end()
                 text = text[at:]
-            parts += self._pieces(text)
+            parts += self._words(text)
             cut.append(parts)
             new.update(parts)
         if len(self.kept) > KEPT:
             self.kept = {}
-        new -= self.kept.keys()
-        self._learn([p for p in new if isinstance(p, str)])
-        self.kept.update((p, self.value([p], self.merges)) for p in new if isinstance(p, int))
-        out = [list(map(self.kept.__getitem__, parts)) for parts in cut]
-        for p in new:
-            if isinstance(p, str) and len(p) > KEPT_CHARS:
-                del self.kept[p]
+        kept, value, merges = self.kept, self.value, self.merges
+        new -= kept.keys()
+        words = [w for w in new if isinstance(w, str)]
+        for w, ids in zip(words, merges.encode_words([w.encode() for w in words])):
+            kept[w] = value(ids, merges)
+        kept.update((i, value([i], merges)) for i in new if isinstance(i, int))
+        out = [list(map(kept.__getitem__, parts)) for parts in cut]
+        for w in words:
+            if len(w) > KEPT_CHARS:
+                del kept[w]
         return out
 
 
