@@ -11,6 +11,7 @@ from tesserae.llm.exact_dedup import OP1_SQL, op1
 from tesserae.llm.fingerprints import op3
 from tesserae.llm.language_id import op10
 from tesserae.llm.line_dedup import OP8_SQL, op8
+from tesserae.llm.ngram_join import op2
 from tesserae.llm.packing import op6
 from tesserae.llm.secrets import op5
 from tesserae.llm.token_counts import op4
@@ -35,6 +36,7 @@ def _over(name: str, f: Callable[..., DataFrame], tokenizer: bool = False) -> Ca
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": _over("documents", op1),
+        "op2_ngram_join": _over("documents", op2),
         "op3_spot_fingerprints": _over("documents", op3),
         "op4_token_counts": _over("documents", op4, tokenizer=True),
         "op5_secret_scan": _over("documents", op5),
