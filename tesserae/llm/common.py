@@ -37,3 +37,8 @@ def row_hash(col: str | Column) -> Column:
 def slots(df: DataFrame) -> int:
     """Shuffle partitions of the session, for the explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def whole_row(df: DataFrame, name: str = "doc") -> Column:
+    """All columns of a row as one struct, so that what an operator adds clashes with no name."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)

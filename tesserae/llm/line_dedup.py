@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_back, id_of, row_hash, slots, text_of
+from tesserae.llm.common import WHITE, id_of, row_hash, slots, text_of, whole_row
 from tesserae.session import written
 
 #: Keys of fewer code points are never dropped.
@@ -124,7 +124,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with two more columns, _lines and _kept: the number of lines and the text of those that stay."""
+    """Each row as a struct `doc`, with n_lines, n_dropped and `kept`, the text of the lines that stay."""
 
     @F.pandas_udf("string")
     def kept(text: pd.Series, bits: pd.Series) -> pd.Series:
@@ -137,24 +137,32 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
 
         return pd.Series([one(t, b) for t, b in zip(text, bits)])
 
-    marked = docs.withColumns({"_id": id_of(id_col), "_row": row_hash(text_col), "_text": text_of(text_col)})
-    joined = marked.join(bitmaps.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("keep_bitmap").alias("_bits"), F.col("n_dropped").alias("_dropped")), ["_id", "_row"], "left")
+    marked = docs.select(whole_row(docs), id_of(id_col).alias("_id"), row_hash(text_col).alias("_row"), text_of(text_col).alias("_text"))
+    joined = marked.join(bitmaps.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("keep_bitmap").alias("_bits"), F.col("n_dropped").alias("_n")), ["_id", "_row"], "left")
     n = F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit(""))) + 1
-    out = joined.withColumns({"_lines": n.cast("long"), "_dropped": F.coalesce("_dropped", F.lit(0)).cast("long"), "_kept": F.when(F.col("_bits").isNull(), F.col("_text")).otherwise(kept("_text", "_bits"))})
-    return out.drop("_id", "_row", "_text", "_bits")
+    return joined.select(
+        "doc",
+        n.cast("long").alias("n_lines"),
+        F.coalesce("_n", F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(F.col("_bits").isNull(), F.col("_text")).otherwise(kept("_text", "_bits")).alias("kept"),
+    )
 
 
 def line_dedup(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with their text less the repeated lines; other columns as they were. A null text becomes empty."""
+    """docs with their text less the repeated lines, other columns as they were.
+
+    Documents of which nothing but white space is left after they lost a line go. A null text becomes empty.
+    """
     out = apply_bitmaps(docs, keep_bitmaps(docs, min_chars, id_col, text_col), id_col, text_col)
-    return out.select(*[F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+    out = out.filter((F.col("n_dropped") == 0) | (F.trim(F.translate("kept", WHITE, " " * len(WHITE))) != ""))
+    return out.select(*[F.col("kept").alias(c) if c == text_col else F.col("doc")[c].alias(c) for c in docs.columns])
 
 
 def op8(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_lines, n_dropped, kept_sha256."""
     docs = docs.select("doc_id", "text")
     out = apply_bitmaps(docs, keep_bitmaps(docs))
-    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.sha2("_kept", 256).alias("kept_sha256"))
+    return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 OP8_SQL = r"""
