@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["resolution"]
+MODULES = ["resolution", "relational"]
 
 
 def all_modules() -> None:
