@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["resolution", "relational"]
+MODULES = ["resolution", "relational", "datasets", "quality"]
 
 
 def all_modules() -> None:
