@@ -34,6 +34,9 @@ from tesserae.session import written
 FREQUENT = 1000
 #: Longest l, and the cost of verifying a pair in index rows.
 MOST_MATCHES, VERIFY = 12, 40
+#: A plain prefix whose most frequent element is at most so many times as frequent as its rarest is of one
+#: group of near copies, which share nearly all; more matches would rule out none of them, so l is 1.
+ALIKE = 3
 #: Rounds against central classes before the exact rest.
 ROUNDS = 3
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -210,6 +213,8 @@ def _index(rows: DataFrame, percent: int) -> DataFrame:
                 l = np.arange(1, MOST_MATCHES + 1)  # noqa: E741
                 rows_of = cost[np.clip(plain + l - 1, 0, len(df))]
                 best = int(l[np.argmin(rows_of + VERIFY * rows_of / l)])
+                if plain <= 0 or len(df) < plain or df[plain - 1] <= ALIKE * df[0]:
+                    best = 1
                 m = min(len(df), plain + best - 1)
                 if m < best:
                     continue
@@ -296,7 +301,8 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
                     tokens.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
 
-    texts = docs.join(left.select(F.col("node").alias("_id"), "s1", "s2"), "_id").select("_id", "s1", "s2", "_text")
+    # a merge join at any size: what is left of the screening grows with the input and is never broadcast
+    texts = docs.join(left.select(F.col("node").alias("_id"), "s1", "s2").hint("merge"), "_id").select("_id", "s1", "s2", "_text")
     sets = written(texts.mapInArrow(whole, "node long, tokens array<long>"), "sets")
     elements = sets.select(F.explode("tokens").alias("token"), "node", F.size("tokens").cast("long").alias("n"))
     ordered = elements.repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
