@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["resolution", "relational", "datasets", "quality"]
+MODULES = ["resolution", "relational", "datasets", "quality", "files"]
 
 
 def all_modules() -> None:

@@ -65,3 +65,13 @@ def receipt(spark: SparkSession, folder: str, as_of: str, prefix: str = "") -> D
 
 def receipt_json(rows: DataFrame) -> str:
     return json.dumps([r.asDict() for r in rows.orderBy("name").collect()], sort_keys=True, default=str)
+
+
+def save_bytes(path: str, data: bytes) -> None:
+    """Write one file from a task, to a local path or any that Arrow knows by its scheme."""
+    from pyarrow import fs
+
+    system, place = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
+    system.create_dir(place.rsplit("/", 1)[0], recursive=True)
+    with system.open_output_stream(place, compression=None) as out:
+        out.write(data)
