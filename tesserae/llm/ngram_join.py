@@ -207,10 +207,11 @@ def _index(rows: DataFrame, percent: int) -> DataFrame:
                 df, token = df_all[bounds[k] : bounds[k + 1]], token_all[bounds[k] : bounds[k + 1]]
                 alone = n - len(df)
                 plain = plain_prefix(n, percent) - alone
-                if plain + MOST_MATCHES - 1 <= 0:
+                most = min(MOST_MATCHES, n - plain_prefix(n, percent) + 1)  # no pair can be held to more than the least overlap
+                if plain + most - 1 <= 0:
                     continue
                 cost = np.concatenate([[0], np.cumsum(df - 1.0)])
-                l = np.arange(1, MOST_MATCHES + 1)  # noqa: E741
+                l = np.arange(1, most + 1)  # noqa: E741
                 rows_of = cost[np.clip(plain + l - 1, 0, len(df))]
                 best = int(l[np.argmin(rows_of + VERIFY * rows_of / l)])
                 if plain <= 0 or len(df) < plain or df[plain - 1] <= ALIKE * df[0]:
