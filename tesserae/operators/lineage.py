@@ -27,25 +27,19 @@ def read_before_produce(steps: DataFrame) -> DataFrame:
 def downstream(edges: DataFrame, seeds: DataFrame, most: int = 1_000) -> DataFrame:
     """Nodes that seeds (node) reach over edges (parent, child), seeds themselves left out.
 
-    Each round joins the frontier alone with the edges and drops what is known; frontiers are written
-    tables, so plans stay short. A graph whose longest path has more than `most` rounds raises.
+    Each round joins the frontier alone with the edges and drops what is known; edges and
+    frontiers are written tables, so a round never repeats an earlier one. A graph whose longest path has more than `most` rounds raises.
     """
-    edges = edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct()
+    edges = written(edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct(), "edges")
     known = frontier = written(seeds.select("node").distinct(), "closure")
-    reached = []
+    out = seeds.select("node").limit(0)
     for _ in range(most):
         step = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         frontier = written(step.join(known, "node", "left_anti"), "closure")
         if frontier.isEmpty():
-            break
-        known = written(known.union(frontier), "closure")
-        reached.append(frontier)
-    else:
-        raise ValueError("the closure did not end")
-    out = seeds.select("node").limit(0)
-    for f in reached:
-        out = out.union(f)
-    return out
+            return out
+        known, out = known.union(frontier), out.union(frontier)
+    raise ValueError("the closure did not end")
 
 
 def redact_json(col: Column) -> Column:

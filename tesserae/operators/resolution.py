@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import jaro_winkler
 from tesserae.operators.joins import block_pairs
+from tesserae.session import written
 
 # Company suffixes that a normalised name loses one of.
 SUFFIXES = "CORPORATION CORP INCORPORATED INC COMPANY CO LIMITED LTD LLC PLC LP HOLDINGS GROUP".split()
@@ -114,10 +115,11 @@ def score_pairs(left: DataFrame, right: DataFrame, cfg: ResolveConfig) -> DataFr
     """
     l_names = blocking_keys(left.select("nname", F.lit(cfg.left_country).alias("country")).distinct(), "nname")
     r_names = blocking_keys(right.select("nname", "country").distinct(), "nname")
-    l_names = l_names.withColumn("key", F.col("nname"))
-    r_names = r_names.withColumn("key", F.struct("nname", "country"))
+    # distinct names and candidate pairs are used several times below
+    l_names = written(l_names.withColumn("key", F.col("nname")), "names")
+    r_names = written(r_names.withColumn("key", F.struct("nname", "country")), "names")
     pairs = block_pairs(l_names, r_names, cfg.rules, "key", "key")
-    pairs = pairs.select(F.col("l_id").alias("l_nname"), F.col("r_id.nname").alias("r_nname"), F.col("r_id.country").alias("r_country"))
+    pairs = written(pairs.select(F.col("l_id").alias("l_nname"), F.col("r_id.nname").alias("r_nname"), F.col("r_id.country").alias("r_country")), "pairs")
     scored = compare(pairs, "l_nname", "r_nname").filter("similarity IS NOT NULL")
     scored = scored.withColumn("match_weight", fs_weight(level_of(F.col("similarity")), cfg.prior))
     scored = scored.withColumn("match_probability", fs_probability(F.col("match_weight"))).filter(F.col("match_probability") >= cfg.keep_from)
