@@ -11,7 +11,8 @@ prefix costs more index rows but asks for more shared elements.
 4. Groups of near copies would make pairs by the square of their size. So each class is first verified
    against one central class that it meets in the index, in rounds; classes found linked share a label.
    What remains to be compared are pairs with different labels: exactly those pairs that meet in the
-   index and share l elements are verified on whole sets.
+   index, whose 256-bit parities don't already differ in more bits than the sets may in elements, and
+   that share l elements, are verified on whole sets.
 
 Components come from the verified links. Nothing is capped: all that the rounds do is spare pairs whose
 two ends are already known to be connected.
@@ -20,6 +21,7 @@ two ends are already known to be connected.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +40,7 @@ MOST_MATCHES, VERIFY = 12, 40
 #: group of near copies, which share nearly all; more matches would rule out none of them, so l is 1.
 ALIKE = 3
 #: Rounds against central classes before the exact rest.
-ROUNDS = 3
+ROUNDS = 1
 _P, _Q = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _S29, _S32 = np.uint64(29), np.uint64(32)
 
@@ -75,6 +77,12 @@ def set_hash(s: np.ndarray) -> tuple[int, int]:
     return int(_mix(u, _Q).sum(dtype=np.uint64).view(np.int64)), int(_mix(u + _P, _P).sum(dtype=np.uint64).view(np.int64))
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """256 bits in four longs, each the parity of the elements that hash to it: sets differ in as many elements at least as their bits."""
+    odd = np.bincount((_mix(s.view(np.uint64), _P) >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def plain_prefix(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -294,17 +302,20 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            nodes, tokens = [], []
+            nodes, tokens, bits = [], [], []
             for node, s1, s2, text in zip(*(c.to_pylist() for c in b.columns)):
                 s = shingles(text, size)
                 if set_hash(s) == (s1, s2):
                     nodes.append(node)
                     tokens.append(s)
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["node", "tokens"])
+                    bits.append(parity(s))
+            bits = np.array(bits, np.int64).reshape(-1, 4)
+            parities = [pa.array(np.ascontiguousarray(bits[:, k])) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), *parities], ["node", "tokens", "b0", "b1", "b2", "b3"])
 
     # a merge join at any size: what is left of the screening grows with the input and is never broadcast
     texts = docs.join(left.select(F.col("node").alias("_id"), "s1", "s2").hint("merge"), "_id").select("_id", "s1", "s2", "_text")
-    sets = written(texts.mapInArrow(whole, "node long, tokens array<long>"), "sets")
+    sets = written(texts.mapInArrow(whole, "node long, tokens array<long>, b0 long, b1 long, b2 long, b3 long"), "sets")
     elements = sets.select(F.explode("tokens").alias("token"), "node", F.size("tokens").cast("long").alias("n"))
     ordered = elements.repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
     index = written(_index(ordered.mapInArrow(_counted, "node long, n long, token long, df int"), percent), "index")
@@ -326,16 +337,19 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     rows = written(rows, "labelled")
     main = rows.groupBy("token").agg(F.max(F.struct("_size", "label")).alias("_m"), F.min("label").alias("_l0"), F.max("label").alias("_l1"))
     main = written(main.filter("_l0 != _l1").select("token", F.col("_m.label").alias("_main")), "mixed")
-    mixed = written(rows.join(main, "token"), "mixed-rows")
-    x, y = (mixed.select(*[F.col(c).alias(f"{p}{c}") for c in ("token", "node", "n", "pos", "matches", "label", "_main")]) for p in "xy")
+    bits = sets.select("node", "b0", "b1", "b2", "b3").dropDuplicates(["node"])
+    mixed = written(rows.join(main, "token").join(bits, "node"), "mixed-rows")
+    x, y = (mixed.select(*[F.col(c).alias(f"{p}{c}") for c in ("token", "node", "n", "pos", "matches", "label", "_main", "b0", "b1", "b2", "b3")]) for p in "xy")
     x = x.filter("xlabel != x_main")
     l = F.least("xmatches", "ymatches")  # noqa: E741
     need = overlap(F.col("xn"), F.col("yn"), percent)
+    apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"xb{k}").bitwiseXOR(F.col(f"yb{k}"))) for k in range(4)])
     meet = (
         (F.col("xtoken") == F.col("ytoken"))
         & (F.col("xlabel") != F.col("ylabel"))
         & ((F.col("ylabel") == F.col("y_main")) | (F.col("xnode") < F.col("ynode")))
         & (need <= F.least("xn", "yn"))
+        & (apart <= F.col("xn") + F.col("yn") - 2 * need)
         & (F.col("xpos") <= F.col("xn") - need + l - 1)
         & (F.col("ypos") <= F.col("yn") - need + l - 1)
     )
