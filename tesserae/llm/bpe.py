@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import rounds, text_of
 
 #: Pieces of text whose ids a task keeps; when it has more, it starts anew.
 KEPT = 500_000
@@ -324,19 +324,6 @@ def joiner(path: str) -> str:
     return " "
 
 
-def rounds(batch: pa.RecordBatch, text: int = 1, most: int = 4_000_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """A batch in parts whose texts have at most so many characters together, and one row at least."""
-    texts = batch.column(text).to_pylist()
-    start = chars = 0
-    for i, t in enumerate(texts):
-        if chars + len(t) > most and i > start:
-            yield batch.slice(start, i - start), texts[start:i]
-            start, chars = i, 0
-        chars += len(t)
-    if start < len(texts):
-        yield batch.slice(start), texts[start:]
-
-
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Ids of each whole text and what they decode to: (id, ids array<int>, decoded string).
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,3 +47,15 @@ def slots(df: DataFrame) -> int:
 def whole_row(df: DataFrame, name: str = "doc") -> Column:
     """All columns of a row as one struct, so that what an operator adds clashes with no name."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
+def rounds(batch: pa.RecordBatch, text: int = 1, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """A batch in parts whose texts have at most so many bytes together, and one row at least."""
+    ends = np.cumsum(pc.binary_length(batch.column(text)).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < batch.num_rows:
+        base = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, base + most, "right")))
+        part = batch.slice(start, stop - start)
+        yield part, part.column(text).to_pylist()
+        start = stop

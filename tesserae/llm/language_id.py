@@ -71,18 +71,16 @@ class Model:
 
     def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
         """Language and score (the language's share of the positive parts of all decision values) of each text."""
-        clean = [letters(t) for t in texts]
-        known = [i for i, t in enumerate(clean) if t.strip()]
         lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.langs:
-            return lang, score
-        for k in range(0, len(known), 64):
-            part = known[k : k + 64]
-            f = presence([places(clean[i]) for i in part]) @ self.weights + self.bias
+        for k in range(0, len(texts) if self.langs else 0, 64):
+            clean = {i: c for i, t in enumerate(texts[k : k + 64], k) if (c := letters(t)).strip()}
+            if not clean:
+                continue
+            f = presence([places(c) for c in clean.values()]) @ self.weights + self.bias
             best = f.argmax(1)
             share = np.clip(f, 1e-6, None)
-            share = share[np.arange(len(part)), best] / share.sum(1)
-            for i, b, s in zip(part, best, share):
+            share = share[np.arange(len(best)), best] / share.sum(1)
+            for i, b, s in zip(clean, best, share):
                 lang[i], score[i] = self.langs[b], float(min(1.0, s))
         return lang, score
 

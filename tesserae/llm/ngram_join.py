@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_back, id_of, slots, text_of
+from tesserae.llm.common import id_back, id_of, rounds, slots, text_of
 from tesserae.llm.components import components
 from tesserae.session import written
 
@@ -100,9 +100,9 @@ def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """Of each row: (id, n, s1, s2, screen), with the set's size, its hash, and its prefix in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in (part for whole in batches for part in rounds(whole)):
             n, s1, s2, screen = [], [], [], []
-            for text in b.column(1).to_pylist():
+            for text in texts:
                 s = shingles(text, size)
                 x, y = set_hash(s)
                 n.append(len(s))
@@ -301,9 +301,9 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     left = written(classes.select("node", "n", "s1", "s2").join(hits, "node").filter(F.col("_hits") >= least).drop("_hits"), "screened")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, found in (part for batch in batches for part in rounds(batch, 3)):
             nodes, tokens, bits = [], [], []
-            for node, s1, s2, text in zip(*(c.to_pylist() for c in b.columns)):
+            for node, s1, s2, text in zip(*(b.column(k).to_pylist() for k in range(3)), found):
                 s = shingles(text, size)
                 if set_hash(s) == (s1, s2):
                     nodes.append(node)

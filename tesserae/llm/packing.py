@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.bpe import Merges, encoder, rounds
-from tesserae.llm.common import slots, text_of
+from tesserae.llm.bpe import Merges, encoder
+from tesserae.llm.common import rounds, slots, text_of
 from tesserae.session import written
 
 CAPACITY = 4096

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import text_of
+from tesserae.llm.common import rounds, text_of
 
 #: Fixed order of kinds at one start: the base ones, then those confirmed by structure.
 KINDS = ("assign", "access", "hex", "pem", "der", "derhex", "sshkey", "jwt")
@@ -176,9 +176,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b, texts in (part for whole in batches for part in rounds(whole)):
             rows = []
-            for text in b.column(1).to_pylist():
+            for text in texts:
                 spans = spans_of(text)
                 base = [s for s in spans if s[1] < 3]
                 rows.append((*(sum(k == i for _, k, _ in base) for i in range(3)), hashlib.sha256(listed(base).encode()).hexdigest(), listed(spans)))

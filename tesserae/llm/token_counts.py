@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.bpe import Merges, encoder, rounds
-from tesserae.llm.common import text_of
+from tesserae.llm.bpe import Merges, encoder
+from tesserae.llm.common import rounds, text_of
 
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
