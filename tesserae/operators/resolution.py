@@ -44,9 +44,8 @@ class ResolveConfig:
 def normalize_name(col: Column) -> Column:
     """Upper-case letters, digits and single spaces, without one trailing company suffix; null is empty."""
     up = F.upper(F.replace(F.coalesce(col, F.lit("")), F.lit("ß"), F.lit(" ")))
-    plain = F.regexp_replace(up, "[^A-Z0-9 ]", " ")
-    bare = F.regexp_replace(plain, rf"\s+(?:{'|'.join(SUFFIXES)})\s*\z", "")
-    return F.trim(F.regexp_replace(bare, r"\s+", " "))
+    words = F.regexp_replace(up, "[^A-Z0-9]+", " ")
+    return F.trim(F.regexp_replace(words, rf" (?:{'|'.join(SUFFIXES)}) ?\z", ""))
 
 
 def blocking_keys(df: DataFrame, name: str) -> DataFrame:
