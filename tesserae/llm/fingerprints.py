@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.llm.common import id_back, id_of, row_hash, slots, text_of
-from tesserae.session import written
+from tesserae.llm.ngram_join import set_components
 
 #: Fixed list: anchors, common function words of English, German, French and Spanish.
 ANCHORS = frozenset(
@@ -97,6 +97,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.select("id", "_f.fingerprint", "_f.n_signatures")
 
 
+def _elements(text: str) -> np.ndarray:
+    return np.unique(signatures(text)).astype(np.int64)
+
+
+def near_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Documents whose fingerprints reach percent / 100, by component: (id, n_elements, component_id, class_id).
+
+    Sets meet only where their lengths allow the threshold, and only on their rarest signatures; see
+    ngram_join.set_components for the cases. Texts of equal signatures are one class.
+    """
+    return set_components(docs, _elements, percent, id_col, text_col)
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows in ranges of ids: (_part, _ahead, _id, _row, _text), sorted in each partition.
 

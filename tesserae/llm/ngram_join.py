@@ -20,8 +20,8 @@ two ends are already known to be connected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,8 @@ from tesserae.llm.common import id_back, id_of, rounds, slots, text_of
 from tesserae.llm.components import components
 from tesserae.session import written
 
+#: What makes a text's sorted distinct 64-bit elements.
+Elements = Callable[[str], np.ndarray]
 #: Elements counted beyond this are equally frequent for the order; it bounds what a task holds of one run.
 FREQUENT = 1000
 #: Longest l, and the cost of verifying a pair in index rows.
@@ -96,14 +98,14 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
     return F.ceil(F.lit(percent) * (a + b) / F.lit(100.0 + percent) - F.lit(1e-9))
 
 
-def _sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets(docs: DataFrame, elements: Elements, percent: int) -> DataFrame:
     """Of each row: (id, n, s1, s2, screen), with the set's size, its hash, and its prefix in hash order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in (part for whole in batches for part in rounds(whole)):
             n, s1, s2, screen = [], [], [], []
             for text in texts:
-                s = shingles(text, size)
+                s = elements(text)
                 x, y = set_hash(s)
                 n.append(len(s))
                 s1.append(x)
@@ -291,8 +293,8 @@ def _labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
     return index.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame | None:
-    """Links between classes that connect all that are connected; None where no two classes can be linked."""
+def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int) -> DataFrame:
+    """Links between classes that connect all that are connected."""
     parts = slots(docs)
     screened = classes.select(F.explode("screen").alias("token"), "node")
     ordered = screened.repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
@@ -304,7 +306,7 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
         for b, found in (part for batch in batches for part in rounds(batch, 3)):
             nodes, tokens, bits = [], [], []
             for node, s1, s2, text in zip(*(b.column(k).to_pylist() for k in range(3)), found):
-                s = shingles(text, size)
+                s = elements(text)
                 if set_hash(s) == (s1, s2):
                     nodes.append(node)
                     tokens.append(s)
@@ -316,8 +318,8 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     # a merge join at any size: what is left of the screening grows with the input and is never broadcast
     texts = docs.join(left.select(F.col("node").alias("_id"), "s1", "s2").hint("merge"), "_id").select("_id", "s1", "s2", "_text")
     sets = written(texts.mapInArrow(whole, "node long, tokens array<long>, b0 long, b1 long, b2 long, b3 long"), "sets")
-    elements = sets.select(F.explode("tokens").alias("token"), "node", F.size("tokens").cast("long").alias("n"))
-    ordered = elements.repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
+    rows = sets.select(F.explode("tokens").alias("token"), "node", F.size("tokens").cast("long").alias("n"))
+    ordered = rows.repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
     index = written(_index(ordered.mapInArrow(_counted, "node long, n long, token long, df int"), percent), "index")
     links = None
     for _ in range(ROUNDS):
@@ -358,28 +360,32 @@ def _links(docs: DataFrame, classes: DataFrame, size: int, percent: int) -> Data
     return rest if links is None else links.union(rest)
 
 
-def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The component of each row in the graph of links: (id, n_shingles, component_id, class_id).
+def set_components(docs: DataFrame, elements: Elements, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The component of each row where texts link whose sets reach percent / 100: (id, n_elements, component_id, class_id).
 
-    Two documents link when their sets of `size`-word shingles have a Jaccard coefficient of percent /
-    100 or more. class_id is the smallest id with an equal set, component_id the smallest id reached
-    by links. Documents without words have empty sets and link with nothing. A null id is after all
-    others. Rows that repeat an id with another text have their own n_shingles and share the id's
+    `elements` gives a text's sorted distinct 64-bit elements. class_id is the smallest id with an equal
+    set, component_id the smallest id reached by links. Empty sets link with nothing. A null id is after
+    all others. Rows that repeat an id with another text have their own n_elements and share the id's
     links. One row for each row; an empty table gives none.
     """
     rows = docs.select(id_of(id_col).alias("_id"), text_of(text_col).alias("_text"))
-    sets = written(_sets(rows, size, percent), "screens")
+    sets = written(_sets(rows, elements, percent), "screens")
     keys = written(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node")), "classes")
     single = keys.groupBy("node").agg(F.min(F.struct("s1", "s2")).alias("_s")).select(F.col("node").alias("id"), F.col("_s.s1").alias("s1"), F.col("_s.s2").alias("s2"))
     classes = sets.join(single, ["id", "s1", "s2"], "left_semi").withColumnRenamed("id", "node")
-    links = _links(rows, written(classes, "representatives"), size, percent)
+    links = _links(rows, written(classes, "representatives"), elements, percent)
     twins = sets.select("id", "s1", "s2").join(keys, ["s1", "s2"]).filter("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     # copies hang on their class, so components are found among classes; the twins of a repeated id join its classes
-    both = keys.groupBy("node").count().filter("count > 1").isEmpty()
-    labels = components(links if both else links.union(twins))
+    unique = keys.groupBy("node").count().filter("count > 1").isEmpty()
+    labels = components(links if unique else links.union(twins))
     out = sets.select("id", "n", "s1", "s2").join(keys, ["s1", "s2"], "left").withColumn("node", F.coalesce("node", "id"))
     out = out.join(labels, "node", "left")
-    return out.select(id_back("id").alias("id"), F.col("n").alias("n_shingles"), id_back(F.coalesce("label", "node")).alias("component_id"), id_back("node").alias("class_id"))
+    return out.select(id_back("id").alias("id"), F.col("n").alias("n_elements"), id_back(F.coalesce("label", "node")).alias("component_id"), id_back("node").alias("class_id"))
+
+
+def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """set_components of the shingles of `size` words; n_elements is called n_shingles. Documents without words have none."""
+    return set_components(docs, partial(shingles, size=size), percent, id_col, text_col).withColumnRenamed("n_elements", "n_shingles")
 
 
 def op2(docs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -170,6 +171,17 @@ def test_fingerprints(spark, data):
     assert fingerprints.pruned_jaccard(np.arange(10), np.arange(5), 0.6) == 0
 
 
+def test_near_fingerprints(spark, data):
+    docs = table(spark, data, "documents")
+    signs = {r["doc_id"]: np.unique(fingerprints.signatures(r["text"])) for r in docs.collect()}
+    root = {i: i for i in signs}
+    for _ in range(3):
+        for a, b in itertools.combinations(sorted(signs), 2):
+            if len(signs[a]) and len(signs[b]) and fingerprints.pruned_jaccard(signs[a], signs[b], 0.8):
+                root[a] = root[b] = min(root[a], root[b])
+    assert {r["id"]: r["component_id"] for r in fingerprints.near_components(docs, 80).collect()} == root
+
+
 def test_encoding_is_the_librarys(docs, library, spark, data):
     rows = docs.select("doc_id", "text").union(table(spark, data, "documents").select("doc_id", "text"))
     got = sorted(map(tuple, bpe.encode_decode(rows, TOKENIZER).collect()), key=str)
