@@ -132,12 +132,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A column struct(lang, score) for each whole text: `und` and 0 for a null one or one without letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
 
-    @F.pandas_udf("lang string, score double")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("lang string, score double")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for b in batches:
-            lang, score = m.predict(b.tolist())
-            yield pd.DataFrame({"lang": lang, "score": score})
+            lang: list[str] = []
+            score: list[float] = []
+            for k in range(0, len(b), 64):  # few texts at a time are Python strings
+                found = m.predict(b.slice(k, 64).to_pylist())
+                lang += found[0]
+                score += found[1]
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
 
     return run(text_of(text_col))
 

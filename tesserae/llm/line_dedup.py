@@ -126,16 +126,16 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row as a struct `doc`, with n_lines, n_dropped and `kept`, the text of the lines that stay."""
 
-    @F.pandas_udf("string")
-    def kept(text: pd.Series, bits: pd.Series) -> pd.Series:
-        def one(t: str, b: bytes | None) -> str:
-            if b is None:
-                return t
-            data = zlib.decompress(b)
-            stays = np.unpackbits(np.frombuffer(data, np.uint8, offset=4), count=struct.unpack_from("<I", data)[0])
-            return "\n".join(line for line, s in zip(t.split("\n"), stays) if s)
-
-        return pd.Series([one(t, b) for t, b in zip(text, bits)])
+    def one(t: str, b: bytes | None) -> str:
+        if b is None:
+            return t
+        data = zlib.decompress(b)
+        stays = np.unpackbits(np.frombuffer(data, np.uint8, offset=4), count=struct.unpack_from("<I", data)[0])
+        return "\n".join(line for line, s in zip(t.split("\n"), stays) if s)
+
+    @F.arrow_udf("string")
+    def kept(text: pa.Array, bits: pa.Array) -> pa.Array:
+        return pa.array((one(t.as_py(), b.as_py()) for t, b in zip(text, bits)), pa.string())
 
     marked = docs.select(whole_row(docs), id_of(id_col).alias("_id"), row_hash(text_col).alias("_row"), text_of(text_col).alias("_text"))
     joined = marked.join(bitmaps.select(F.col("id").alias("_id"), F.col("row").alias("_row"), F.col("keep_bitmap").alias("_bits"), F.col("n_dropped").alias("_n")), ["_id", "_row"], "left")

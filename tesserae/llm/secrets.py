@@ -15,7 +15,6 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -192,9 +191,10 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", text_col: str = "text") -> DataFrame:
     """docs with every secret in the text replaced by the mark; a null text stays null, other columns as they were."""
-    @F.pandas_udf("string")
-    def clean(text: pd.Series) -> pd.Series:
-        return pd.Series([t if t is None else redacted(t, spans_of(t), mark) for t in text])
+    @F.arrow_udf("string")
+    def clean(text: pa.Array) -> pa.Array:
+        # scalars become Python strings one at a time
+        return pa.array((t if (t := x.as_py()) is None else redacted(t, spans_of(t), mark) for x in text), pa.string())
 
     return docs.withColumn(text_col, clean(F.col(text_col)))
 
