@@ -355,7 +355,8 @@ def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int
         & (F.col("xpos") <= F.col("xn") - need + l - 1)
         & (F.col("ypos") <= F.col("yn") - need + l - 1)
     )
-    pairs = x.join(y, meet).groupBy(F.col("xnode").alias("a"), F.col("ynode").alias("b")).agg(F.count(F.lit(1)).alias("_c"), F.max(l).alias("_l"))
+    # a token makes a pair in one direction only, but which one depends on its main label
+    pairs = x.join(y, meet).groupBy(F.least("xnode", "ynode").alias("a"), F.greatest("xnode", "ynode").alias("b")).agg(F.count(F.lit(1)).alias("_c"), F.max(l).alias("_l"))
     rest = written(_verified(pairs.filter("_c >= _l").select("a", "b"), sets, percent), "links")
     return rest if links is None else links.union(rest)
 

@@ -122,6 +122,28 @@ def test_ngram_join(spark, size, percent):
     assert {r["id"]: r["n_shingles"] for r in got} == {i: len(shingles_of(t, size)) for i, t in rows.items()}
 
 
+def test_ngram_join_counts_a_pair_over_main_labels(spark):
+    """A (of a component of three) and B (alone) share tokens that those two have most of, and a passage of a larger component."""
+    rows, k = {}, 0
+    for g in range(6):
+        own = itertools.count()
+        new = lambda n: [f"g{g}w{next(own)}" for _ in range(n)]
+        both, passage, near, core, hub = new(6), new(13), new(19), new(27), new(34)
+        texts = [both + passage + near + new(2)]  # A, then B
+        texts += [both + passage + new(21)]
+        texts += [near + new(21) for _ in range(2)]  # with A
+        texts += [core + passage for _ in range(10)]  # the larger component
+        texts[4:] = [t[:-1] + new(1) if i else t for i, t in enumerate(texts[4:])]
+        texts += [both + hub]  # B's central node, with which it doesn't link
+        texts += [hub[a : a + 17] + new(23) for a in (0, 17) for _ in range(3)]
+        for t in texts:
+            rows[k] = " ".join(t)
+            k += 1
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r["id"]: r["component_id"] for r in ngram_join.ngram_components(df, 1, 30).collect()}
+    assert got == brute_components(rows, 1, 30)
+
+
 def test_counted_runs_over_batches():
     import pyarrow as pa
 
