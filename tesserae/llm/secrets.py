@@ -3,7 +3,8 @@
 Plain patterns give assignments, access keys and hex strings. Beyond them, strings that may be encoded
 keys are decoded, and are reported only if what they hold parses: DER whose nested lengths close and
 whose fields are a private key's, key files whose length-prefixed fields fill them, and signed tokens
-whose header is JSON that names an algorithm.
+whose header is JSON that names an algorithm. A bare key's span ends where its own lengths say, whatever
+words or base64 follow.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import binascii
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +30,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Candidates: a DER sequence of two-byte or short length begins with M and A to P in base64, with 30 in hex.
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
-DER64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P][A-Za-z0-9+/]{38,}={0,2}")
+#: Bare keys may be wrapped: line breaks, also escaped ones, stand among their characters; where they end their lengths say.
+BREAK = r"(?:\s|\\[nr])"
+DER64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P]")
 DERHEX = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{62,}")
-SSH64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/\s]{40,}={0,2}")
+SSH64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE")
+RUN = re.compile(rf"{BREAK}*([A-Za-z0-9+/]+)")
+PAD = re.compile(rf"{BREAK}*=")
+BROKEN = re.compile(BREAK)
+#: Bytes of the shortest bare key.
+LEAST = 30
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
 
 
@@ -82,26 +90,41 @@ def private_der(data: bytes) -> bool:
     return False
 
 
-def private_ssh(data: bytes) -> bool:
-    """An OpenSSH private key: its magic, then cipher, kdf, options, a count of keys, and that many keys and their secrets, filling it."""
+def der_size(data: bytes) -> int:
+    """The bytes of a DER sequence that begins with an integer or a sequence, as its own length states; 0 if data begins with none."""
+    top = tlv(data, 0, 1 << 40)
+    return top[2] if top and top[0] == 0x30 and data[top[1] : top[1] + 1] in (b"\x02", b"\x30") else 0
+
+
+def ssh_size(data: bytes) -> int:
+    """The bytes of an OpenSSH private key: its magic, then cipher, kdf, options, a count of keys, and that many keys and their secrets.
+
+    0 if data begins with none; if data is too short, the bytes that are needed to read on.
+    """
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
-    at = len(magic)
+        return 0
+    at, left, counted = len(magic), 3, False
+    while left:
+        if at + 4 > len(data):
+            return at + 4
+        at += 4 + int.from_bytes(data[at : at + 4], "big")
+        if at > len(data):
+            return at
+        left -= 1
+        if not left and not counted:
+            if at + 4 > len(data):
+                return at + 4
+            n = int.from_bytes(data[at : at + 4], "big")
+            if not 1 <= n <= 64:
+                return 0
+            at, left, counted = at + 4, n + 1, True
+    return at
 
-    def string() -> bytes | None:
-        nonlocal at
-        n = int.from_bytes(data[at : at + 4], "big")
-        if at + 4 + n > len(data):
-            return None
-        at += 4 + n
-        return data[at - n : at]
 
-    if any(string() is None for _ in range(3)):
-        return False
-    n = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    return 1 <= n <= 64 and all(string() is not None for _ in range(n + 1)) and at == len(data)
+def private_ssh(data: bytes) -> bool:
+    """An OpenSSH private key that fills data."""
+    return ssh_size(data) == len(data) > 0
 
 
 def unbase64(text: str, url: bool = False) -> bytes:
@@ -113,6 +136,34 @@ def unbase64(text: str, url: bool = False) -> bytes:
         return b""
 
 
+def taken(text: str, at: int, n: int) -> tuple[str, int] | None:
+    """The n characters of base64 from a place on, breaks aside, and the end of the last; None if there are fewer."""
+    out: list[str] = []
+    while n and len(text) - at >= n and (m := RUN.match(text, at)):
+        out.append(m[1][:n])
+        n -= len(out[-1])
+        at = m.start(1) + len(out[-1])
+    return None if n else ("".join(out), at)
+
+
+def bare_end(text: str, at: int, size_of: Callable[[bytes], int], private: Callable[[bytes], bool]) -> int | None:
+    """Where the bare base64 key at a place ends, by the size that its own fields state, padding included; None if there is none."""
+    size, need = LEAST, 0
+    while size > need:
+        need = size
+        if (found := taken(text, at, -(-4 * need // 3))) is None:
+            return None
+        data = unbase64(found[0])[:need]
+        size = size_of(data)
+    if size < LEAST or not private(data[:size]):
+        return None
+    chars, end = found
+    for _ in range(-len(chars) % 4):
+        if m := PAD.match(text, end):
+            end = m.end()
+    return end
+
+
 def signed_token(token: str) -> bool:
     """A JSON web token: header and payload are JSON objects, the header names an algorithm, the signature decodes."""
     header, payload, signature = token.split(".")
@@ -137,15 +188,19 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     if "PRIVATE KEY-----" in text:
         out += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if private_der(d := unbase64(m[2])) or private_ssh(d)]
     if "M" in text:
+        files, after = [(a, b) for a, k, b in out if k == 3], 0
         for m in DER64.finditer(text):
-            if private_der(unbase64(m[0])):
-                out.append((m.start(), 4, m.end()))
+            if m.start() >= after and (after_it := bare_end(text, m.start(), der_size, private_der)):
+                after = after_it
+                # the body of a key file in lines is that file's
+                if not (BROKEN.search(text, m.start(), after) and any(a <= m.start() < b for a, b in files)):
+                    out.append((m.start(), 4, after))
     if "30" in text:
         for m in DERHEX.finditer(text):
             if len(m[0]) % 2 == 0 and private_der(bytes.fromhex(m[0])):
                 out.append((m.start(), 5, m.end()))
     if "b3BlbnNzaC1rZXktdjE" in text:
-        out += [(m.start(), 6, m.end()) for m in SSH64.finditer(text) if private_ssh(unbase64(m[0]))]
+        out += [(m.start(), 6, z) for m in SSH64.finditer(text) if (z := bare_end(text, m.start(), ssh_size, private_ssh))]
     if "eyJ" in text:
         out += [(m.start(), 7, m.end()) for m in JWT.finditer(text) if signed_token(m[0])]
     return sorted(out)

@@ -315,6 +315,26 @@ def test_secrets(spark):
     assert clean[4] == "k [SECRET]" and clean[7] == "k [SECRET]" and clean[10] is None and clean[9] == cases[9][0]
 
 
+def test_bare_keys_end_where_their_lengths_say():
+    rng = random.Random(7)
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrapped = lambda t, n, by: by.join(re.findall(f".{{1,{n}}}", t))
+    for extra in range(3):  # each number of padding characters
+        numbers = b"".join(der(2, b"\x01" + rng.randbytes(n)) for n in (128, 3, 128, 64, 64, 64, 64, 64 + extra))
+        rsa = b64(der(0x30, der(2, b"\0") + numbers))
+        parts = string(b"none") + string(b"none") + string(b"") + (1).to_bytes(4, "big") + string(b"pub" * 20) + string(rng.randbytes(150 + extra))
+        ssh = b64(b"openssh-key-v1\0" + parts)
+        for kind, key in (("der", rsa), ("sshkey", ssh)):
+            for form in (key, key.rstrip("="), *(wrapped(key, n, by) for n in (64, 76) for by in ("\n", "\r\n", "\n  ", "\\n"))):
+                for tail in ("", " and then some prose.", "\nand more words of any kind", ", x", "\n" + "A" * 200):
+                    assert secrets.listed(secrets.spans_of("k: " + form + tail)) == f"{kind}:3:{3 + len(form)}"
+            two = f"{key.rstrip('=')} then\n{wrapped(key, 64, chr(10))} end"
+            assert secrets.redacted(two, secrets.spans_of(two), "*") == "* then\n* end"
+            assert not secrets.spans_of("k: " + key.rstrip("=")[:-1] + ". prose")
+    assert not secrets.spans_of("MAKE IT SO and MIIEvQ then " + "MIIEpAIBAAKCAQEA " * 50)
+
+
 PAGES = [(1, "http://a/x y", "<p>é</p>"), (5, None, "<p>é</p>"), (3, "http://b", None), (4, "u\r\nv", ""), (None, "http://c", "<p>é</p>"), (2, "http://d", "z" * 3_000_000), (5, None, "<p>é</p>")]
 
 
