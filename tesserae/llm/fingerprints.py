@@ -1,7 +1,9 @@
 """Operator 3, document fingerprints by spot signatures.
 
 Each common word (anchor) of a text begins a signature: the anchor and the chain of content words that
-follow it. A fingerprint is the set of a text's signatures. Fingerprints are compared by the Jaccard
+follow it. Where anchors are missing, as in a language that has none listed, content words chosen by their
+hash begin signatures too, so that no stretch of a text is left out. A fingerprint is the set of a text's
+signatures. Fingerprints are compared by the Jaccard
 coefficient, which is not computed where the sizes of the sets alone keep it under the threshold, and
 which stops as soon as too few signatures are left.
 
@@ -34,14 +36,26 @@ ANCHORS = frozenset(
 )
 #: Content words in a chain, and the step from one to the next.
 CHAIN, STEP = 3, 1
+#: Of any so many content words in a row without an anchor, the one with the smallest hash is one; in a text without anchors, of any CHAIN * STEP + 1.
+GAP = 8
 _WORD = re.compile(r"[^\W_]+")
 
 
+def hashed_spots(content: list[str], start: int, stop: int, gap: int) -> list[tuple[str, int]]:
+    """Of each gap content words in a row between two places the first with the smallest hash, and the place after it."""
+    if stop - start < gap:
+        return []
+    h = np.fromiter((zlib.crc32(w.encode()) for w in content[start:stop]), np.uint32, stop - start)
+    least = np.lib.stride_tricks.sliding_window_view(h, gap).argmin(1)
+    return [(content[start + i], start + i + 1) for i in np.unique(least + np.arange(len(least))).tolist()]
+
+
 def signatures(text: str, chain: int = CHAIN, step: int = STEP, anchors: frozenset[str] = ANCHORS) -> np.ndarray:
     """The sorted 32-bit hashes of a text's signatures.
 
     The start of the text counts as an anchor, so any text with a word has a signature; chains at the
-    end are shorter. A text of other symbols alone has the hash of its symbols, white space aside; an
+    end are shorter. Stretches of GAP or more content words have anchors by hash; in a text without an
+    anchor all that are longer than a chain have, so its signatures are not those of its start alone. A text of other symbols alone has the hash of its symbols, white space aside; an
     empty one none.
     """
     words = _WORD.findall(text.lower())
@@ -58,6 +72,11 @@ def signatures(text: str, chain: int = CHAIN, step: int = STEP, anchors: frozens
     if len(spots) == 1 and not content:
         return np.zeros(0, np.uint32)
     reach = chain * step
+    gap = GAP if len(spots) > 1 else reach + 1
+    ends = [i for _, i in spots] + [len(content)]
+    for start, stop in zip(ends, ends[1:]):
+        if stop - start >= gap:
+            spots += hashed_spots(content, start, stop, gap)
     found = {" ".join((a, *content[i : i + reach : step])) for a, i in spots}
     return np.sort(np.fromiter((zlib.crc32(x.encode()) for x in found), np.uint32, len(found)))
 

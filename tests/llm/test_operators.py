@@ -193,6 +193,23 @@ def test_fingerprints(spark, data):
     assert fingerprints.pruned_jaccard(np.arange(10), np.arange(5), 0.6) == 0
 
 
+def test_fingerprints_of_texts_without_anchors():
+    rng = random.Random(8)
+    words = [f"szó{k}" for k in range(300)]
+    like = lambda a, b: fingerprints.pruned_jaccard(*(np.unique(fingerprints.signatures(t)) for t in (a, b)))
+    for n in (9, 60, 900):
+        for few in ([], ["the"]):  # no anchor, or one at the start
+            start = few + rng.sample(words, 3)
+            a, b = (" ".join(start + [rng.choice(words) for _ in range(n)]) for _ in range(2))
+            assert like(a, b) < 0.6 and like(a, a) == 1
+            if n > 9:
+                assert len(fingerprints.signatures(a)) > n // 8 and like(a, b) < 0.2
+                assert 0.4 < like(a, fingerprints.edited(a, b)) < 0.8
+                one = a.split()
+                one[n // 2] = "other"
+                assert like(a, " ".join(one)) > 0.7
+
+
 def test_near_fingerprints(spark, data):
     docs = table(spark, data, "documents")
     signs = {r["doc_id"]: np.unique(fingerprints.signatures(r["text"])) for r in docs.collect()}
