@@ -2,10 +2,10 @@
 
 Each common word (anchor) of a text begins a signature: the anchor and the chain of content words that
 follow it. Where anchors are missing, as in a language that has none listed, content words chosen by their
-hash begin signatures too, so that no stretch of a text is left out. A fingerprint is the set of a text's
-signatures. Fingerprints are compared by the Jaccard
-coefficient, which is not computed where the sizes of the sets alone keep it under the threshold, and
-which stops as soon as too few signatures are left.
+hash begin signatures too, so that no stretch of GAP words is left out. A fingerprint is the set of a text's
+signatures. The query compares fingerprints by the plain Jaccard coefficient, without a threshold, so
+nothing is pruned. The search of all fingerprints, near_components, is operator 2's prefix join with its
+condition on lengths; it is reached by no query and has no partitions by length of its own.
 
 To compare each document with the next one, ids are cut into ranges and every range also gets the
 first document of the one after it, so that all texts move once and no task sees more than its range.
