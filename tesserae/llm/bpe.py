@@ -6,7 +6,9 @@ first merge across a boundary could only join a node of the right edge of one to
 a node of the left edge of the next one's. All adjacent pairs of all new words of a batch are tested
 together with array operations, and only words with a failing pair go through the merges one by one.
 
-Words repeat, so each task keeps the ids of the words that it has seen, up to a fixed number.
+Words repeat. Texts of Latin-1 characters are cut into words by array operations over a megabyte of text
+at a time, each distinct word is looked up or encoded once, and a text's ids are gathered from its words'.
+A worker keeps the ids of the words that it has seen, up to a fixed number.
 """
 
 from __future__ import annotations
@@ -15,9 +17,9 @@ import hashlib
 import heapq
 import json
 import re
-from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,17 +28,20 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import rounds, text_of
 
-#: Pieces of text whose ids a task keeps; when it has more, it starts anew.
-KEPT = 500_000
+#: Words whose ids a worker keeps; when it has more, it starts anew.
+KEPT = 300_000
+#: Bytes of text whose distinct words are looked up together.
+TEXT = 3 << 20
 #: Words of at most so many bytes are merged together, longer ones each alone.
 SHORT = 32
-#: Pieces longer than this are encoded each time, so that what a task keeps has a size bound.
-KEPT_CHARS = 64
+#: Longer words are proposed one by one, and not kept when a worker starts anew.
+LONG = 64
 
 _FAR = np.iinfo(np.int64).max
-#: Fixed pattern of the word tokenizer's file; on text of the first 256 code points _WORDS gives the same pieces.
+#: Fixed pattern of the word tokenizer's file; on text of the first 256 code points cut_words gives the same pieces.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORDS = re.compile(r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\s0-9a-zªµºß-öø-ÿ²³¹¼½¾]+")
+#: What decode() puts between tokens of a file without a decoder.
+GAP = " "
 
 
 def byte_chars() -> list[str]:
@@ -93,6 +98,56 @@ class Merges:
         for t in self.inner:
             self.reach[t[:2]] = max(len(t), self.reach.get(t[:2], 1))
         self.names = {i: t for t, i in vocab.items()}
+        self._plant()
+
+    def _plant(self) -> None:
+        """The proposed tokens as a tree of bytes: sorted (node, byte) keys with the node below each, and the tokens that end at a node."""
+        nodes: dict[bytes, int] = {b"": 0}
+        keys, below = [], []
+        for t in (*self.inner, *self.ending):
+            for k in range(1, len(t) + 1):
+                if t[:k] not in nodes:
+                    keys.append(nodes[t[: k - 1]] * 256 + t[k - 1])
+                    nodes[t[:k]] = len(nodes)
+                    below.append(nodes[t[:k]])
+        order = np.argsort(keys)
+        self.edge, self.below = np.append(np.array(keys, np.int64)[order], _FAR), np.append(np.array(below, np.int64)[order], 0)
+        self.ends = np.full((2, len(nodes)), -1, np.int32)  # tokens within words, tokens at the end
+        for row, tokens in enumerate((self.inner, self.ending)):
+            self.ends[row, [nodes[t] for t in tokens]] = list(tokens.values())
+        self.second = np.zeros(1 << 16, np.int32)  # the node of each two bytes, 0 for none
+        for t, node in nodes.items():
+            if len(t) == 2:
+                self.second[t[0] << 8 | t[1]] = node
+
+    def proposed(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """`longest` of many words at a time: owners and tokens. One token of every word in a round, one byte of every token in a step."""
+        size = np.array([len(w) for w in words], np.int64)
+        end = np.cumsum(size)
+        at, data = end - size, np.frombuffer(b"".join(words) + b"\0", np.uint8).astype(np.int64)
+        live, owners, tokens = np.flatnonzero(size), [], []
+        while len(live):
+            p, left = at[live], end[live] - at[live]
+            best, reach = np.where(left == 1, self.last[data[p]], self.byte[data[p]]), np.ones(len(p), np.int64)
+            node = np.where(left > 1, self.second[data[p] << 8 | data[p + 1]], 0)
+            some, depth = np.flatnonzero(node), 2
+            node = node[some]
+            while len(some):
+                last = left[some] == depth
+                found = self.ends[last.astype(np.int8), node]
+                ok = found >= 0
+                best[some[ok]], reach[some[ok]] = found[ok], depth
+                some, node = some[~last], node[~last]
+                key = node * 256 + data[p[some] + depth]
+                i = np.searchsorted(self.edge, key)
+                hit = self.edge[i] == key
+                some, node = some[hit], self.below[i[hit]]
+                depth += 1
+            owners.append(live)
+            tokens.append(best)
+            at[live] += reach
+            live = live[at[live] < end[live]]
+        return by_owner(owners, tokens)
 
     def _whole(self, spelled: dict[int, tuple[bytes, bool]]) -> list[int]:
         """Tokens that the merges give for their own spelling: base ones, and those whose two halves are whole and fit."""
@@ -223,105 +278,208 @@ class Merges:
                     heapq.heappush(heap, (m[0], k, m[1]))
         return [t for t in ids if t >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Each word's tokens: proposed, tested pair by pair in one go, and merged where a pair fails."""
-        out = [self.longest(w) for w in words]
-        flat = np.fromiter((t for o in out for t in o), np.int64)
-        if len(flat) < 2:
-            return out
-        owner = np.repeat(np.arange(len(out)), [len(o) for o in out])
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The words' tokens in a row, and how many each has: proposed, tested pair by pair in one go, and merged where a pair fails."""
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        owner, flat = self.proposed([b"" if len(w) > LONG else w for w in words] if long else words)
+        if long:
+            lists = [self.longest(words[i]) for i in long]
+            owner, flat = by_owner([owner, *(np.full(len(x), i) for i, x in zip(long, lists))], [flat, *lists])
         at = np.flatnonzero(owner[1:] == owner[:-1])
-        pairs, back = np.unique(flat[at] * self.size + flat[at + 1], return_inverse=True)
+        pairs, back = np.unique(flat[at].astype(np.int64) * self.size + flat[at + 1], return_inverse=True)
         bad = ~self.fit(pairs // self.size, pairs % self.size)[back]
-        failing = np.unique(owner[at[bad]]).tolist()
-        for i, ids in zip(failing, self.merged([words[i] for i in failing])):
-            out[i] = ids
-        return out
+        failing = np.unique(owner[at[bad]])
+        if len(failing):
+            lists = self.merged([words[i] for i in failing.tolist()])
+            good = ~np.isin(owner, failing)
+            sizes = [len(x) for x in lists]
+            owner, flat = by_owner([owner[good], np.repeat(failing, sizes)], [flat[good], np.fromiter((t for x in lists for t in x), np.int64, sum(sizes))])
+        return flat.astype(np.int32), np.bincount(owner, minlength=len(words))
 
 
-class Encoder:
-    """Whole texts to ids like the library's encode(add_special_tokens=False) without truncation or padding.
+def by_owner(owners: list, values: list) -> tuple[np.ndarray, np.ndarray]:
+    """Owners in ascending order and their values, those of one owner in the order in which they came."""
+    if not owners:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    owner, value = np.concatenate(owners), np.concatenate(values)
+    order = np.argsort(owner, kind="stable")
+    return owner[order], value[order]
+
+
+def _classes() -> np.ndarray:
+    """What each of the first 256 code points is to the word pattern: 0 white space, 1 a letter, 2 a number, 3 any other."""
+    kinds = (str.isspace, str.isalpha, str.isnumeric)
+    return np.array([next((k for k, is_one in enumerate(kinds) if is_one(chr(i))), 3) for i in range(256)], np.uint8)
 
-    `value` turns the ids of a piece of text into what is kept and joined for it.
+
+_CLASS, _LOWER = _classes(), bytes(ord(chr(i).lower()) for i in range(256))
+_ONE, _TWO = np.frombuffer(b"stmd", np.uint8), [tuple(w) for w in (b"re", b"ve", b"ll")]
+#: What the word pattern of the file and Python take for white space differently.
+_DOUBTFUL = re.compile("[\x1c-\x1f]")
+
+
+def cut_words(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of Latin-1 text in lower case: their places, their bytes in a row, and where each begins there (and the end).
+
+    Words are maximal runs of letters or of other symbols, and single numbers. An apostrophe that begins
+    a run of symbols and stands before the letters of a fixed ending takes them with it.
     """
+    x = np.frombuffer(data + b"\n\n", np.uint8)
+    kind = _CLASS[x]
+    begins = np.empty(len(x), bool)
+    begins[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == 2
+    full = kind != 0
+    begins &= full
+    mark = np.flatnonzero((x == 39) & begins)
+    if len(mark):
+        a, b = x[mark + 1], x[mark + 2]
+        n = np.isin(a, _ONE).astype(np.int64)
+        for c, d in _TWO:
+            n[(a == c) & (b == d)] = 2
+        mark, n = mark[n > 0], n[n > 0]
+        begins[mark + 1] = False
+        after = mark + 1 + n
+        begins[after] |= kind[after] == 1
+    at = np.flatnonzero(begins)
+    place = np.cumsum(full, dtype=np.int32)
+    return at, x[full], np.append(place[at] - 1, place[-1]).astype(np.int32)
+
+
+class Encoder:
+    """Whole texts to ids like the library's encode(add_special_tokens=False) without truncation or padding."""
 
-    def __init__(self, path: str, value: Callable[[list[int], Merges], object]):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.merges, self.value = Merges(spec["model"]), value
+        self.merges = Merges(spec["model"])
         self.library = Tokenizer.from_file(path)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.merges.names |= {i: t for t, i in self.special.items()}
         self.split = re.compile("|".join(map(re.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.plain = WORD_PATTERN in json.dumps(spec["pre_tokenizer"], ensure_ascii=False).replace("\\\\", "\\")
-        self.kept: dict[str | int, object] = {}
+        self._keep([], np.zeros(0, np.int32), np.zeros(0, np.int64))
+
+    def _keep(self, words: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Start with these words alone: their places by word, their ids in a row, how many each has, and the batches that had each."""
+        self.words, self.ids, self.sizes = words, ids, sizes
+        self.place = {w: i for i, w in enumerate(words)}
+        self.batches = np.ones(len(words), np.int64)
+
+    def _forget(self) -> None:
+        """Beyond KEPT words or their usual number of ids, keep those that several batches had, or none if these are too many."""
+        if len(self.words) <= KEPT and len(self.ids) <= KEPT * 8:
+            return
+        stays = (self.batches > 1) & np.array([isinstance(w, int) or len(w) <= LONG for w in self.words])
+        stays &= stays.sum() <= KEPT // 2
+        self._keep([w for w, s in zip(self.words, stays.tolist()) if s], self.ids[np.repeat(stays, self.sizes)], self.sizes[stays])
+
+    def _latin(self, text: str) -> bytes | None:
+        """The text in Latin-1 and lower case where cut_words does what the library does, else None."""
+        if not self.plain or _DOUBTFUL.search(text) or (self.split and self.split.search(text)):
+            return None
+        try:
+            return text.encode("latin-1").translate(_LOWER)
+        except UnicodeEncodeError:
+            return None
+
+    def _pieces(self, text: str) -> list[str | int]:
+        """The words of any text by the library's own normaliser and splitter; special tokens as their ids."""
+        parts: list[str | int] = []
+        at = 0
+        for m in self.split.finditer(text) if self.split else ():
+            parts += self._words(text[at : m.start()])
+            parts.append(self.special[m[0]])
+            at = m.end()
+        return parts + self._words(text[at:])
 
     def _words(self, text: str) -> list[str]:
-        """The pieces that are encoded each alone: by _WORDS on plain text, else the library's own."""
-        if self.plain and not any(c in text for c in "\x1c\x1d\x1e\x1f"):
-            try:
-                text.encode("latin-1")
-            except UnicodeEncodeError:
-                pass
-            else:
-                return _WORDS.findall(text.lower())
         norm = self.library.normalizer.normalize_str(text) if self.library.normalizer else text
         return [norm[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(norm)]
 
-    def batch(self, texts: list[str]) -> list[list]:
-        """For each text the values of its words, in order."""
-        cut: list[list[str | int]] = []
-        new: set[str | int] = set()
-        for text in texts:
-            parts: list[str | int] = []
-            at = 0
-            if self.split and any(s in text for s in self.special):
-                for m in self.split.finditer(text):
-                    parts += self._words(text[at : m.start()])
-                    parts.append(self.special[m[0]])
-                    at = m.end()
-                text = text[at:]
-            parts += self._words(text)
-            cut.append(parts)
-            new.update(parts)
-        if len(self.kept) > KEPT:
-            self.kept = {}
-        kept, value, merges = self.kept, self.value, self.merges
-        new -= kept.keys()
-        words = [w for w in new if isinstance(w, str)]
-        for w, ids in zip(words, merges.encode_words([w.encode() for w in words])):
-            kept[w] = value(ids, merges)
-        kept.update((i, value([i], merges)) for i in new if isinstance(i, int))
-        out = [list(map(kept.__getitem__, parts)) for parts in cut]
-        for w in words:
-            if len(w) > KEPT_CHARS:
-                del kept[w]
-        return out
-
-
-def ids_bytes(ids: list[int], _: Merges) -> bytes:
-    return array("I", ids).tobytes()
-
-
-def ids_and_names(ids: list[int], m: Merges) -> tuple[int, str, str]:
-    return len(ids), " ".join(map(str, ids)), " ".join(map(m.names.__getitem__, ids))
-
-
-@lru_cache(maxsize=4)
-def encoder(path: str, value: Callable) -> Encoder:
-    """One encoder for each file and kind of value in a worker, kept between its tasks."""
-    return Encoder(path, value)
-
-
-def joiner(path: str) -> str:
-    """What decode() puts between tokens: a space where the file names no decoder."""
+    def _places(self, words: list) -> np.ndarray:
+        """Where distinct words are kept: Latin-1 bytes, strings, or ids of special tokens. New ones are encoded together."""
+        at = np.fromiter(map(self.place.get, words, repeat(-1)), np.int64, len(words))
+        fresh = np.flatnonzero(at < 0)
+        self.batches[at[at >= 0]] += 1
+        if len(fresh):
+            new = [words[i] for i in fresh.tolist()]
+            spelled = [b"" if isinstance(w, int) else w.encode() if isinstance(w, str) else w if w.isascii() else w.decode("latin-1").encode() for w in new]
+            ids, sizes = self.merges.encode_words(spelled)
+            special = np.array([w if isinstance(w, int) else -1 for w in new])
+            if (special >= 0).any():
+                ids = np.insert(ids, np.cumsum(sizes)[special >= 0], special[special >= 0])
+                sizes[special >= 0] = 1
+            at[fresh] = len(self.words) + np.arange(len(new))
+            self.place.update(zip(new, at[fresh].tolist()))
+            self.words += new
+            self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+            self.batches = np.concatenate([self.batches, np.ones(len(new), np.int64)])
+        return at
+
+    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and how many each has."""
+        self._forget()
+        owners, words, latin, plain = [], [], [], []
+        for i, text in enumerate(texts):
+            if (data := self._latin(text)) is not None:
+                plain.append(i)
+                latin.append(data)
+            elif parts := self._pieces(text):
+                distinct = dict.fromkeys(parts)
+                at = dict(zip(distinct, self._places(list(distinct)).tolist()))
+                owners.append(np.full(len(parts), i))
+                words.append(np.array([at[p] for p in parts]))
+        if plain:
+            at, letters, bounds = cut_words(b"\n".join(latin))
+            found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(bounds), pa.py_buffer(letters)]).dictionary_encode()
+            words.append(self._places(found.dictionary.to_pylist())[found.indices.to_numpy()])
+            ends = np.searchsorted(at, np.cumsum([len(d) + 1 for d in latin]))
+            owners.append(np.repeat(np.array(plain), np.diff(ends, prepend=0)))
+        owner, word = by_owner(owners, words) if len(owners) > 1 else (owners[0], words[0]) if owners else by_owner([], [])
+        starts = np.append(0, np.cumsum(self.sizes)) * 4
+        packed = pa.Array.from_buffers(pa.large_binary(), len(self.sizes), [None, pa.py_buffer(starts), pa.py_buffer(self.ids)]).take(pa.array(word))
+        ids = np.frombuffer(packed.buffers()[2], np.int32) if len(word) else np.zeros(0, np.int32)
+        sizes = np.bincount(owner, self.sizes[word], len(texts)).astype(np.int64) if len(word) else np.zeros(len(texts), np.int64)
+        return ids, sizes
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a file in a worker, kept between its tasks."""
+    return Encoder(path)
+
+
+def spelled(ids: np.ndarray, table: pa.BinaryArray) -> tuple[memoryview, np.ndarray]:
+    """Table's bytes of each id, in a row, and where each begins there (and the end)."""
+    out = table.take(pa.array(ids))
+    data = out.buffers()[2]
+    return memoryview(data or b""), np.frombuffer(out.buffers()[1], np.int64, len(out) + 1) if len(out) else np.zeros(1, np.int64)
+
+
+@lru_cache(maxsize=1)
+def tables(path: str) -> tuple[pa.BinaryArray, pa.BinaryArray]:
+    """Of each id its decimal number and its token, with what stands between them in a text before each."""
+    names = encoder(path).merges.names
+    last = max(names) + 1
+    return tuple(pa.array([f.encode() for f in x], pa.large_binary()) for x in ([f" {i}" for i in range(last)], [GAP + names.get(i, "") for i in range(last)]))
+
+
+def texts_of(ids: np.ndarray, ends: np.ndarray, table: pa.BinaryArray) -> list[bytes]:
+    """What the ids of each text are in a table, without what stands before the first."""
+    data, place = spelled(ids, table)
+    stops = place[ends].tolist()
+    return [bytes(data[a + 1 : b]) for a, b in zip([0, *stops], stops)]
+
+
+def joined_by_space(path: str) -> None:
+    """Refuse files that name a decoder: without one, decode() puts a space between tokens."""
     with open(path, encoding="utf-8") as f:
-        decoder = json.load(f).get("decoder")
-    if decoder is not None:
-        raise ValueError("only files without a decoder are decoded here")
-    return " "
+        if json.load(f).get("decoder") is not None:
+            raise ValueError("only files without a decoder are decoded here")
 
 
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,15 +491,16 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     not read.
     """
 
+    joined_by_space(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, gap = encoder(path, ids_and_names), joiner(path)
-        for whole in batches:
-            for b, texts in rounds(whole):
-                ids, decoded = [], []
-                for values in enc.batch(texts):
-                    ids.append([int(i) for _, s, _ in values for i in s.split()])
-                    decoded.append(gap.join(d for _, _, d in values if d))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
+        enc = encoder(path)
+        for b, texts in (part for whole in batches for part in rounds(whole, most=TEXT)):
+            ids, sizes = enc.batch(texts)
+            ends = np.cumsum(sizes)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(ids))
+            decoded = [t.decode() for t in texts_of(ids, ends, tables(path)[1])]
+            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(decoded, pa.string())], ["id", "ids", "decoded"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, ids array<int>, decoded string")
@@ -350,16 +509,14 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode_decode with the ids and the decoded text as digests: (id, n_tokens, ids_sha256, decoded_sha256)."""
 
+    joined_by_space(path)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, gap = encoder(path, ids_and_names), joiner(path)
-        for whole in batches:
-            for b, texts in rounds(whole):
-                n, ids, decoded = [], [], []
-                for values in enc.batch(texts):
-                    n.append(sum(v[0] for v in values))
-                    ids.append(hashlib.sha256(" ".join([v[1] for v in values if v[0]]).encode()).hexdigest())
-                    decoded.append(hashlib.sha256(gap.join([v[2] for v in values if v[0]]).encode()).hexdigest())
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        enc = encoder(path)
+        for b, texts in (part for whole in batches for part in rounds(whole, most=TEXT)):
+            ids, sizes = enc.batch(texts)
+            digests = [pa.array([hashlib.sha256(t).hexdigest() for t in texts_of(ids, np.cumsum(sizes), table)], pa.string()) for table in tables(path)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes), *digests], ["id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -23,7 +23,7 @@ def text_of(col: str | Column) -> Column:
 
 
 def id_of(col: str | Column) -> Column:
-    """The id as a long, a null one after all others."""
+    """The id as a long, a null one after all others. Ids are integers; the largest long stands for null and comes back as null."""
     c = F.col(col) if isinstance(col, str) else col
     return F.coalesce(c.cast("long"), F.lit(LAST_ID))
 

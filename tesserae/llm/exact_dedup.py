@@ -50,9 +50,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         rows.join(survivors, ["_id", "_row"], "left_semi").select("_id", "_row", F.length("_text").alias("_chars"), F.sha2("_norm", 256).alias("_sha")), "full"
     )
     groups = written(
-        full.groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.max(F.struct("_chars", (-F.col("_id")).alias("_neg"))).alias("_best")).filter("_size > 1"), "groups"
+        full.groupBy("_sha").agg(F.count(F.lit(1)).alias("_size"), F.min(F.struct((-F.col("_chars")).alias("_fewer"), "_id")).alias("_best")).filter("_size > 1"), "groups"
     )
-    grouped = full.join(groups, "_sha").select("_id", "_row", "_chars", "_size", (-F.col("_best._neg")).alias("_keep"), F.col("_best._chars").alias("_most")).distinct()
+    grouped = full.join(groups, "_sha").select("_id", "_row", "_chars", "_size", F.col("_best._id").alias("_keep"), (-F.col("_best._fewer")).alias("_most")).distinct()
     out = slim.select("_id", "_row").distinct().join(grouped, ["_id", "_row"], "left")
     keep = F.coalesce("_keep", "_id")
     return out.select(

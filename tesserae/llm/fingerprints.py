@@ -3,9 +3,10 @@
 Each common word (anchor) of a text begins a signature: the anchor and the chain of content words that
 follow it. Where anchors are missing, as in a language that has none listed, content words chosen by their
 hash begin signatures too, so that no stretch of GAP words is left out. A fingerprint is the set of a text's
-signatures. The query compares fingerprints by the plain Jaccard coefficient, without a threshold, so
-nothing is pruned. The search of all fingerprints, near_components, is operator 2's prefix join with its
-condition on lengths; it is reached by no query and has no partitions by length of its own.
+signatures. The search of all fingerprints, near_components, deals them out by partitions of set length,
+where a set can only reach the threshold with sets of its own and the two next partitions, and prunes
+within by prefixes, positions and parities before whole sets are compared; it shares that join with
+operator 2. The query compares the pairs that its contract names, each with the exact coefficient.
 
 To compare each document with the next one, ids are cut into ranges and every range also gets the
 first document of the one after it, so that all texts move once and no task sees more than its range.
@@ -123,8 +124,8 @@ def _elements(text: str) -> np.ndarray:
 def near_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents whose fingerprints reach percent / 100, by component: (id, n_elements, component_id, class_id).
 
-    Sets meet only where their lengths allow the threshold, and only on their rarest signatures; see
-    ngram_join.set_components for the cases. Texts of equal signatures are one class.
+    Sets meet only in partitions of length that allow the threshold, and only on their rarest signatures;
+    see ngram_join.set_components for the cases. Texts of equal signatures are one class.
     """
     return set_components(docs, _elements, percent, id_col, text_col)
 
@@ -155,7 +156,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     more = F.struct(F.col("_to").alias("to"), F.lit(True).alias("ahead"))
     dealt = joined.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, more))))
     dealt = dealt.select(F.col("_at.to").alias("_part"), F.col("_at.ahead").alias("_ahead"), "_id", "_row", "_text")
-    return dealt.repartition(max(1, len(firsts)), "_part").sortWithinPartitions("_part", "_ahead", "_id", "_row")
+    return dealt.repartitionByRange(max(1, len(firsts)), "_part").sortWithinPartitions("_part", "_ahead", "_id", "_row")
 
 
 def edited(text: str, following: str) -> str:

@@ -6,7 +6,8 @@ spectrum), the text lower-cased and with each run of non-letters as one space, n
 of their own numbers. Nyström: the kernel's map is taken from its values at landmarks, a fixed number
 of labelled texts per language; on it one ridge regression per language against the rest is solved.
 Both are linear in a text's presence vector, so landmarks, whitening and regression fold into one
-weight per place and language, and a batch of texts is scored by one matrix product.
+weight per place and language, and a batch of texts is scored by one product of its presence matrix,
+held by rows of set places, with those weights.
 
 Only the landmarks and the regression's rows are samples, of LANDMARKS and ROWS labelled texts for
 each language, those with the smallest hashes of their ids; every text is scored as a whole.
@@ -15,6 +16,7 @@ each language, those with the smallest hashes of their ids; every text is scored
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,13 +34,25 @@ NGRAM, BITS = 4, 16
 LANDMARKS, ROWS = 40, 400
 RIDGE = 1e-3
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
 _MIX = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F)]
 
 
+_OTHER = re.compile(r"[\W\d_]+")
+#: Numbers that are no decimal digits, as in ²½Ⅳ: not of Unicode's category L, though \W leaves them.
+_NUMBERS = {i: " " for i, c in enumerate(map(chr, range(sys.maxunicode + 1))) if c.isalnum() and not c.isalpha() and not c.isdecimal()}
+_LATIN_NUMBERS = re.compile("[" + "".join(chr(i) for i in _NUMBERS if i < 256) + "]")
+
+
 def letters(text: str) -> str:
     """The text as it is compared: lower case, each run without letters as one space, a space at both ends."""
-    return " " + _OTHER.sub(" ", text.lower()).strip() + " "
+    text = text.lower()
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+            text = _LATIN_NUMBERS.sub(" ", text)
+        except UnicodeEncodeError:
+            text = text.translate(_NUMBERS)
+    return " " + _OTHER.sub(" ", text).strip() + " "
 
 
 def places(text: str) -> np.ndarray:
@@ -69,20 +83,24 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
 
-    def predict(self, texts: list[str]) -> tuple[list[str], list[float]]:
-        """Language and score (the language's share of the positive parts of all decision values) of each text."""
-        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        for k in range(0, len(texts) if self.langs else 0, 64):
-            clean = {i: c for i, t in enumerate(texts[k : k + 64], k) if (c := letters(t)).strip()}
-            if not clean:
-                continue
-            f = presence([places(c) for c in clean.values()]) @ self.weights + self.bias
+    def decide(self, found: list[np.ndarray]) -> np.ndarray:
+        """Decision values of texts, given by the places of each, one at least: a row for each text."""
+        sizes = np.array([len(p) for p in found])
+        sums = np.add.reduceat(self.weights[np.concatenate(found)], np.cumsum(sizes) - sizes, axis=0)
+        return sums / np.sqrt(sizes)[:, None] + self.bias
+
+    def predict(self, texts: list[str]) -> tuple[list[str], list[float], list[float]]:
+        """Of each text the language, the score (its share of the positive parts of all decision values) and its decision value, 1 at most."""
+        lang, score, value = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
+        clean = {i: c for i, t in enumerate(texts) if (c := letters(t)).strip()} if self.langs else {}
+        if clean:
+            f = self.decide([places(c) for c in clean.values()])
             best = f.argmax(1)
-            share = np.clip(f, 1e-6, None)
-            share = share[np.arange(len(best)), best] / share.sum(1)
-            for i, b, s in zip(clean, best, share):
-                lang[i], score[i] = self.langs[b], float(min(1.0, s))
-        return lang, score
+            top = f[np.arange(len(best)), best]
+            share = np.clip(top, 1e-6, None) / np.clip(f, 1e-6, None).sum(1)
+            for i, b, s, v in zip(clean, best, share, top):
+                lang[i], score[i], value[i] = self.langs[b], float(min(1.0, s)), float(min(1.0, max(0.0, v)))
+        return lang, score, value
 
 
 def solve(found: list[np.ndarray], langs: list[str], marks: list[bool], ridge: float = RIDGE) -> Model:
@@ -106,17 +124,20 @@ def solve(found: list[np.ndarray], langs: list[str], marks: list[bool], ridge: f
 def fit(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = LANDMARKS, rows: int = ROWS) -> Model:
     """Learn from rows with a language (and which allowed says may be learned from).
 
-    For each language the rows with the smallest hashes of their ids are taken, up to `rows`. The
-    driver gets the places of their whole texts, 2**BITS at most for each. Texts without letters
+    For each language the rows with the smallest hashes of their ids are taken, up to `rows`; rows of
+    one id are one, that with the smallest text. The driver gets the places of their whole texts, 2**BITS at most for each. Texts without letters
     teach nothing; without any row left, every language is unknown.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull())
     if allowed is not None:
         labelled = labelled.filter(allowed)
     keyed = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"), text_of(text_col).alias("_text"))
+    # only hashes that can be among the smallest go on, so what meets in a task does not grow with the input
+    totals = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    low = F.lit(-(2.0**63)) + F.lit(2.0**64) * (4 * rows + 100) / F.col("_n")
+    few = keyed.select("lang", "_h").join(F.broadcast(totals), "lang").filter(F.col("_h") <= low)  # a row for each language
     order = Window.partitionBy("lang").orderBy("_h")
-    keys = keyed.select("lang", "_h").withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows)
-    keys = keys.groupBy("lang", "_h").agg(F.min("_r").alias("_r"))
+    keys = few.groupBy("lang", "_h").agg(F.lit(1).alias("_one")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).select("lang", "_h", "_r")
 
     @F.pandas_udf("array<int>")
     def placed(text: pd.Series) -> pd.Series:
@@ -129,20 +150,16 @@ def fit(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id",
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
-    """A column struct(lang, score) for each whole text: `und` and 0 for a null one or one without letters."""
+    """A column struct(lang, score, value) for each whole text: `und`, 0 and 0 for a null one or one without letters."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a fixed size for each language
 
-    @F.arrow_udf("lang string, score double")
+    @F.arrow_udf("lang string, score double, value double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = shared.value
         for b in batches:
-            lang: list[str] = []
-            score: list[float] = []
-            for k in range(0, len(b), 64):  # few texts at a time are Python strings
-                found = m.predict(b.slice(k, 64).to_pylist())
-                lang += found[0]
-                score += found[1]
-            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang", "score"])
+            found = [m.predict(b.slice(k, 16).to_pylist()) for k in range(0, len(b), 16)]  # few texts at a time are Python strings
+            columns = [pa.array([x for part in column for x in part], t) for column, t in zip(zip(*found), (pa.string(), pa.float64(), pa.float64()))]
+            yield pa.StructArray.from_arrays(columns, ["lang", "score", "value"])
 
     return run(text_of(text_col))
 

@@ -103,7 +103,7 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = MIN_CHARS, id_col: str = "doc
     one empty line. Documents that lose nothing, and empty tables, give no rows.
     """
     rows = docs.select(id_of(id_col).alias("_id"), row_hash(text_col).alias("_row"), text_of(text_col).alias("_text"))
-    lines = line_keys(rows, min_chars)
+    lines = written(line_keys(rows, min_chars), "lines")  # else the ranges' sampling would split all texts once more
     ordered = lines.repartitionByRange(slots(docs), "h1", "h2", "id", "pos").sortWithinPartitions("h1", "h2", "id", "pos")
     marks = written(ordered.mapInArrow(_stream, "h1 long, h2 long, id long, row long, pos int, n_lines int, said int"), "marks")
     firsts = marks.filter(F.col("said") == EDGE).groupBy("h1", "h2").agg(F.min("id").alias("_first"))  # two rows for each task at most

@@ -11,7 +11,7 @@ prefix costs more index rows but asks for more shared elements.
 4. Groups of near copies would make pairs by the square of their size. So each class is first verified
    against one central class that it meets in the index, in rounds; classes found linked share a label.
    What remains to be compared are pairs with different labels: exactly those pairs that meet in the
-   index, whose 256-bit parities don't already differ in more bits than the sets may in elements, and
+   index, in partitions of set length where a set meets its own and the two next ones, whose 256-bit parities don't already differ in more bits than the sets may in elements, and
    that share l elements, are verified on whole sets.
 
 Components come from the verified links. Nothing is capped: all that the rounds do is spare pairs whose
@@ -22,6 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import partial, reduce
+from math import log
 
 import numpy as np
 import pyarrow as pa
@@ -342,12 +343,17 @@ def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int
     bits = sets.select("node", "b0", "b1", "b2", "b3").dropDuplicates(["node"])
     mixed = written(rows.join(main, "token").join(bits, "node"), "mixed-rows")
     x, y = (mixed.select(*[F.col(c).alias(f"{p}{c}") for c in ("token", "node", "n", "pos", "matches", "label", "_main", "b0", "b1", "b2", "b3")]) for p in "xy")
-    x = x.filter("xlabel != x_main")
+    width = max(log(100 / percent), 0.01) * 1.001  # of the partitions of set length: sets that link are in the same or in neighbouring ones
+    part = lambda n: F.floor(F.log(n) / width)
+    near = F.explode(F.array(*[part(F.col("xn")) + k for k in (-1, 0, 1)]))
+    x = x.filter("xlabel != x_main").withColumn("xpart", near)
+    y = y.withColumn("ypart", part(F.col("yn")))
     l = F.least("xmatches", "ymatches")  # noqa: E741
     need = overlap(F.col("xn"), F.col("yn"), percent)
     apart = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"xb{k}").bitwiseXOR(F.col(f"yb{k}"))) for k in range(4)])
     meet = (
         (F.col("xtoken") == F.col("ytoken"))
+        & (F.col("xpart") == F.col("ypart"))
         & (F.col("xlabel") != F.col("ylabel"))
         & ((F.col("ylabel") == F.col("y_main")) | (F.col("xnode") < F.col("ynode")))
         & (need <= F.least("xn", "yn"))

@@ -11,16 +11,16 @@ frequent, is ranked in one task.
 
 from __future__ import annotations
 
-import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.bpe import Merges, encoder
+from tesserae.llm.bpe import TEXT, encoder
 from tesserae.llm.common import rounds, slots, text_of
 from tesserae.session import written
 
@@ -29,28 +29,26 @@ CAPACITY = 4096
 END = 1
 
 
-def ids_packed(ids: list[int], _: Merges) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encoded documents in pieces of at most capacity ids: (id, piece, start, length, ids_crc32).
 
     The ids of the whole text, then the end id. A null or empty text is the end id alone.
     """
-    last = struct.pack("<I", end)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, ids_packed)
-        for whole in batches:
-            for b, texts in rounds(whole):
-                rows: list[tuple] = []
-                for i, values in zip(b.column(0).to_pylist(), enc.batch(texts)):
-                    data = b"".join(values) + last
-                    for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[at : at + 4 * capacity]
-                        rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["id", "piece", "start", "length", "ids_crc32"])
+        enc = encoder(path)
+        for b, texts in (part for whole in batches for part in rounds(whole, most=TEXT)):
+            ids, sizes = enc.batch(texts)
+            ends = np.cumsum(sizes)
+            data = memoryview(np.insert(ids, ends, end).astype("<u4"))  # each document's end id after its own
+            sizes = sizes + 1
+            n_pieces = -(-sizes // capacity)
+            piece = np.arange(n_pieces.sum()) - np.repeat(np.cumsum(n_pieces) - n_pieces, n_pieces)
+            start = piece * capacity
+            length = np.minimum(np.repeat(sizes, n_pieces) - start, capacity)
+            at = np.repeat(ends + np.arange(len(ends)) + 1 - sizes, n_pieces) + start
+            crc = [zlib.crc32(data[a:z]) for a, z in zip(at.tolist(), (at + length).tolist())]
+            row = pa.array(np.repeat(np.arange(len(sizes)), n_pieces))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(row), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crc, pa.int64())], ["id", "piece", "start", "length", "ids_crc32"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "id long, piece int, start long, length long, ids_crc32 long")

@@ -29,7 +29,9 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Candidates: a DER sequence of two-byte or short length begins with M and A to P in base64, with 30 in hex.
-PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
+PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:(?:\s|\\[nr])*(?:Proc-Type|DEK-Info): ?[A-Za-z0-9,-]+)*)([A-Za-z0-9+/=\s\\]+)-----END \1PRIVATE KEY-----")
+#: Headers of an encrypted key file: a cipher and its starting value.
+SEALED = re.compile(r"Proc-Type: ?4,ENCRYPTED[\s\S]*DEK-Info: ?[A-Z0-9-]+,([0-9A-Fa-f]{16}|[0-9A-Fa-f]{32})\Z")
 #: Bare keys may be wrapped: line breaks, also escaped ones, stand among their characters; where they end their lengths say.
 BREAK = r"(?:\s|\\[nr])"
 DER64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P]")
@@ -71,23 +73,50 @@ def fields(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | None:
     return out
 
 
+# DER of the arcs that schemes of password-encrypted keys are under (PKCS#5, PKCS#12).
+SEALING = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+# Tags of what may follow the key in PKCS#8 (attributes, public key) and in SEC1 (curve, public key).
+AFTER_KEY, AFTER_SCALAR = {0xA0, 0xA1, 0x81}, {0xA0, 0xA1}
+
+
+def inner_key(data: bytes) -> bool:
+    """What the octets of PKCS#8 hold: one value that fills them, a sequence of parsed fields from an integer on, the octets of a curve key, or an integer."""
+    top = tlv(data, 0, len(data))
+    if not top or top[2] != len(data):
+        return False
+    size = top[2] - top[1]
+    if top[0] == 0x30:
+        parts = fields(data, *top[1:])
+        return bool(parts) and len(parts) > 1 and parts[0][0] == 0x02 and all(t == 0x02 for t, _, _ in parts[:9] if len(parts) >= 9) and size >= 16
+    return top[0] == 0x04 and size in (32, 56, 57) or top[0] == 0x02 and size >= 16
+
+
 def private_der(data: bytes) -> bool:
-    """A DER private key: PKCS#1 (nine integers), PKCS#8 (version, algorithm, octets), its encrypted form, or SEC1."""
+    """A DER private key: PKCS#1 (nine integers), PKCS#8 (version, algorithm, a key that parses), its encrypted form, or SEC1."""
     top = tlv(data, 0, len(data))
     if not top or top[0] != 0x30 or top[2] != len(data) or not (parts := fields(data, *top[1:])):
         return False
-    tags = [t for t, _, _ in parts]
-    if tags[0] == 0x02:
-        if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
-            return parts[1][2] - parts[1][1] >= 32
-        if tags[1:3] == [0x30, 0x04]:
-            inside = fields(data, *parts[1][1:])
-            return bool(inside) and inside[0][0] == 0x06 and parts[2][2] - parts[2][1] >= 16
-        return tags[1:2] == [0x04] and data[parts[0][1] : parts[0][2]] == b"\x01" and 16 <= parts[1][2] - parts[1][1] <= 66
+    tags, values = [t for t, _, _ in parts], [data[a:b] for _, a, b in parts]
     if tags == [0x30, 0x04]:
-        inside = fields(data, *parts[0][1:])
-        return bool(inside) and inside[0][0] == 0x06 and parts[1][2] - parts[1][1] >= 16
-    return False
+        scheme = fields(values[0], 0, len(values[0]))
+        if not scheme or [t for t, _, _ in scheme] != [0x06, 0x30]:
+            return False
+        return values[0][scheme[0][1] : scheme[0][2]].startswith(SEALING) and bool(fields(values[0], *scheme[1][1:])) and len(values[1]) >= 16
+    if tags[0] != 0x02 or values[0] not in (b"\0", b"\x01"):
+        return False
+    if len(tags) >= 9 and all(t == 0x02 for t in tags[:9]):
+        return len(values[1]) >= 32
+    if tags[1:3] == [0x30, 0x04]:
+        algorithm = fields(values[1], 0, len(values[1]))
+        return bool(algorithm) and algorithm[0][0] == 0x06 and len(algorithm) <= 2 and set(tags[3:]) <= AFTER_KEY and inner_key(values[2])
+    return tags[1:2] == [0x04] and values[0] == b"\x01" and 16 <= len(values[1]) <= 66 and set(tags[2:]) <= AFTER_SCALAR
+
+
+def key_file(headers: str, body: bytes) -> bool:
+    """The body of a key file: a private key, or under headers of encryption whole cipher blocks."""
+    if SEALED.search(re.sub(r"\\[nr]", "\n", headers)):
+        return len(body) >= 16 and len(body) % 8 == 0
+    return private_der(body) or private_ssh(body)
 
 
 def der_size(data: bytes) -> int:
@@ -186,7 +215,7 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if "PRIVATE KEY-----" in text:
-        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if private_der(d := unbase64(m[2])) or private_ssh(d)]
+        out += [(m.start(), 3, m.end()) for m in PEM.finditer(text) if key_file(m[2], unbase64(m[3]))]
     if "M" in text:
         files, after = [(a, b) for a, k, b in out if k == 3], 0
         for m in DER64.finditer(text):

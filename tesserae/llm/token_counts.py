@@ -14,25 +14,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tesserae.llm.bpe import Merges, encoder
+from tesserae.llm.bpe import TEXT, encoder
 from tesserae.llm.common import rounds, text_of
+from tesserae.session import written
 
 #: Lengths in a block of the suffix sums.
 BLOCK = 1024
 
 
-def n_ids(ids: list[int], _: Merges) -> int:
-    return len(ids)
-
-
 def encoded_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The number of ids of each whole text, without special tokens: (n_tokens). A null text has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(path, n_ids)
-        for whole in batches:
-            for _, texts in rounds(whole, 0):
-                yield pa.RecordBatch.from_arrays([pa.array(map(sum, enc.batch(texts)), pa.int64())], ["n_tokens"])
+        enc = encoder(path)
+        for _, texts in (part for whole in batches for part in rounds(whole, 0, TEXT)):
+            yield pa.RecordBatch.from_arrays([pa.array(enc.batch(texts)[1])], ["n_tokens"])
 
     return docs.select(text_of(text_col).alias("text")).mapInArrow(run, "n_tokens long")
 
@@ -80,4 +76,4 @@ def limits(histogram: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def op4(docs: DataFrame, path: str) -> DataFrame:
     """One row per encoded length of documents, as `limits` says."""
-    return limits(length_histogram(encoded_lengths(docs, path)))
+    return limits(written(length_histogram(encoded_lengths(docs, path)), "histogram"))

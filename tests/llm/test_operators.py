@@ -93,6 +93,12 @@ def test_sql(spark, data, name):
     assert sorted(str([r[c] for c in cols]) for r in got.collect()) == want
 
 
+def test_exact_dedup_at_the_ends_of_ids(spark):
+    least = -(1 << 63)
+    df = spark.createDataFrame([(least, "a b"), (5, "ab"), (least + 1, "a b")], "doc_id long, text string")
+    assert {r["doc_id"]: r["keep_id"] for r in exact_dedup.op1(df).collect()} == {least: least, 5: least, least + 1: least}
+
+
 def test_exact_dedup_keeps_the_longest(docs):
     out = {(r["doc_id"], r["text_sha256"]): r for r in exact_dedup.op1(docs).collect()}
     by = {k[0]: v for k, v in out.items()}
@@ -122,6 +128,25 @@ def test_ngram_join(spark, size, percent):
     assert {r["id"]: r["n_shingles"] for r in got} == {i: len(shingles_of(t, size)) for i, t in rows.items()}
 
 
+@pytest.mark.parametrize("seed, size, percent", [(107, 3, 90), (101, 3, 90), (102, 1, 50), (103, 3, 60)])
+def test_ngram_join_of_chains_with_shared_paragraphs(spark, seed, size, percent):
+    """Chains of copies that drift word by word and share paragraphs with other chains, many tables as one by a word of their own."""
+    rng = random.Random(seed)
+    words = [f"w{k}" for k in range(3000)]
+    rows, k, most = {}, 0, 8
+    for world in range(most):
+        passages = [[rng.choice(words) for _ in range(rng.randint(20, 60))] for _ in range(12)]
+        for _ in range(12):
+            text = [w for p in rng.sample(passages, 3) for w in p] + [rng.choice(words) for _ in range(rng.randint(10, 60))]
+            for _ in range(rng.randint(4, 10)):
+                rows[k] = " ".join(f"{w}.{world}" for w in text)
+                k += 1
+                text = [rng.choice(words) if rng.random() < 1 / rng.randint(70, 100) else w for w in text]
+    df = spark.createDataFrame(list(rows.items()), "doc_id long, text string").repartition(4)
+    got = {r["id"]: r["component_id"] for r in ngram_join.ngram_components(df, size, percent).collect()}
+    assert got == brute_components(rows, size, percent)
+
+
 def test_ngram_join_counts_a_pair_over_main_labels(spark):
     """A (of a component of three) and B (alone) share tokens that those two have most of, and a passage of a larger component."""
     rows, k = {}, 0
@@ -235,10 +260,40 @@ def test_encoding_is_the_librarys(docs, library, spark, data):
 
 
 def test_speculation_equals_merging():
-    m = bpe.encoder(TOKENIZER, bpe.ids_bytes).merges
+    m = bpe.encoder(TOKENIZER).merges
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdeinorst") for _ in range(rng.randint(1, 60))).encode() for _ in range(3000)]
-    assert m.encode_words(words) == [m._merged_long(w) for w in words] == m.merged(words)
+    words += [b"", b"x", b"a" * 300, "é日本".encode()] + ["".join(rng.choice("abcé") for _ in range(200)).encode() for _ in range(5)]
+    ids, sizes = m.encode_words(words)
+    split = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    assert split == [m._merged_long(w) if w else [] for w in words] and split[:3000] == m.merged(words[:3000])
+    owner, tokens = m.proposed(words)
+    assert [x.tolist() for x in np.split(tokens, np.searchsorted(owner, np.arange(1, len(words))))] == [m.longest(w) for w in words]
+
+
+def test_words_of_odd_texts(library):
+    rng = random.Random(3)
+    letters = "abcdST'’`srtvemld 0123²½é!? \n\t.É'ß\xa0\x85\x1c_-µ日<|>"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(4000)] + ["x <|endoftext|>y", "'s'sa", "!'s", "''re", "I'LL'd"]
+    enc = bpe.encoder(TOKENIZER)
+    for _ in range(2):  # new words, then kept ones
+        ids, sizes = enc.batch(texts)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    ids, sizes = enc.batch([""])
+    assert not len(ids) and sizes.tolist() == [0]
+
+
+def test_words_are_forgotten(library, monkeypatch):
+    monkeypatch.setattr(bpe, "KEPT", 20)
+    enc = bpe.Encoder(TOKENIZER)
+    rng = random.Random(9)
+    for k in range(8):
+        texts = ["the <|endoftext|> same " + "".join(rng.choice("abcdefgh日 ") for _ in range(90)) for _ in range(3)] + ["z" * 100] * (k % 2)
+        ids, sizes = enc.batch(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    enc._forget()
+    assert len(enc.words) <= 20 and "z" * 100 not in enc.words
 
 
 def test_token_counts(docs, library):
@@ -297,6 +352,41 @@ def der(tag: int, body: bytes) -> bytes:
     return bytes([tag]) + size + body
 
 
+def test_only_keys_that_parse_are_reported():
+    rng = random.Random(12)
+    b64 = lambda b: base64.b64encode(b).decode()
+    oid = lambda h: der(6, bytes.fromhex(h))
+    null, octets = der(5, b""), rng.randbytes(32)
+    digest = der(0x30, der(0x30, oid("608648016503040201") + null) + der(4, octets))  # of a public sha256
+    junk = der(0x30, der(2, b"\0") + der(0x30, oid("2a864886f70d010101") + null) + der(4, b"just some plain words that are no key at all"))
+    curve = der(0x30, der(2, b"\0") + der(0x30, oid("2b6570")) + der(4, der(4, octets)))
+    scheme = der(0x30, oid("2a864886f70d01050d") + der(0x30, der(0x30, oid("2a864886f70d01050c") + der(0x30, der(4, octets[:8]) + der(2, b"\x08"))) + der(0x30, oid("60864801650304012a") + der(4, octets[:16]))))
+    sealed = der(0x30, scheme + der(4, rng.randbytes(64)))
+    sec1 = der(0x30, der(2, b"\x01") + der(4, octets) + der(0xA0, oid("2a8648ce3d030107")))
+    for good in (curve, sealed, sec1):
+        assert secrets.listed(secrets.spans_of("k: " + b64(good) + " end")) == f"der:3:{3 + len(b64(good))}"
+    for bad in (digest, junk, der(0x30, der(2, b"\x05") + der(4, octets)), der(0x30, der(0x30, oid("2a864886f70d01050d") + null) + der(4, octets)), sec1[:-3]):
+        assert not secrets.spans_of("k: " + b64(bad) + " end")
+    for kind, body, ok in (("4,ENCRYPTED", rng.randbytes(64), True), ("4,ENCRYPTED", rng.randbytes(63), False), ("4,CLEAR", rng.randbytes(64), False)):
+        for by in ("\n", "\r\n", "\\n"):
+            text = by.join(["x -----BEGIN RSA PRIVATE KEY-----", f"Proc-Type: {kind}", "DEK-Info: AES-128-CBC," + "0A" * 16, "", *re.findall(".{1,64}", b64(body)), "-----END RSA PRIVATE KEY-----"])
+            assert [k for _, k, _ in secrets.spans_of(text)] == [3] * ok
+
+
+def test_base_secrets_of_the_whole_table(spark, data):
+    """Counts and places by the contract's patterns, found here one by one."""
+    docs = table(spark, data.replace("sf0.001", "sf0.01"), "documents")
+    patterns = [("assign", r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8), ("access", r"(AKIA[A-Z0-9]+)", 16), ("hex", r"([0-9a-f]+)", 32)]
+    got = {r["doc_id"]: r for r in secrets.op5(docs).collect()}
+    for row in docs.collect():
+        text, found = row["text"] or "", []
+        for order, (kind, pattern, least) in enumerate(patterns):
+            found += [(m.start(), order, f"{kind}:{m.start()}:{m.end()}") for m in re.finditer(pattern, text, re.A) if len(m[1]) >= least]
+        r = got[row["doc_id"]]
+        assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(o == k for _, o, _ in found) for k in range(3)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(x for *_, x in sorted(found)).encode()).hexdigest()
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     number = lambda n: der(2, b"\x01" + rng.randbytes(n))
@@ -412,6 +502,12 @@ def test_language_of_nothing(docs):
     assert {r["lang_pred"] for r in language_id.op10(none).collect()} == {"und"}
 
 
+def test_letters_are_unicodes():
+    for text in ("²½①", "Ⅳ ٣ 123", "_-!?", "\u0301"):
+        assert language_id.letters(text).strip() == ""
+    assert language_id.letters("a²B½é日_c") == " a b é日 c "
+
+
 def test_kernel_is_folded_exactly():
     texts = ["the cat sat on the mat", "der hund und die katze", "the dog and the cat", "die maus ist im haus"]
     found = [language_id.places(language_id.letters(t)) for t in texts]
