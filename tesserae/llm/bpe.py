@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import rounds, text_of
+from tesserae.llm.common import rounds, text_of, tidy
 
 #: Words whose ids a worker keeps; when it has more, it starts anew.
-KEPT = 300_000
+KEPT = 200_000
 #: Bytes of text whose distinct words are looked up together.
-TEXT = 3 << 20
+TEXT = 1 << 20
 #: Words of at most so many bytes are merged together, longer ones each alone.
 SHORT = 32
 #: Longer words are proposed one by one, and not kept when a worker starts anew.
@@ -493,6 +493,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     joined_by_space(path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b, texts in (part for whole in batches for part in rounds(whole, most=TEXT)):
@@ -511,6 +512,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     joined_by_space(path)
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b, texts in (part for whole in batches for part in rounds(whole, most=TEXT)):

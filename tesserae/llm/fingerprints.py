@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_back, id_of, row_hash, slots, text_of
+from tesserae.llm.common import id_back, id_of, row_hash, slots, text_of, tidy
 from tesserae.llm.ngram_join import set_components
 
 #: Fixed list: anchors, common function words of English, German, French and Spanish.
@@ -177,6 +177,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
     names = [c.split()[0] for c in schema.split(", ")]
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # range, id, text, signatures of the row before
         for b in batches:

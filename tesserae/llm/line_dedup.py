@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import WHITE, id_of, rounds, row_hash, slots, text_of, whole_row
+from tesserae.llm.common import WHITE, id_of, rounds, row_hash, slots, text_of, tidy, whole_row
 from tesserae.session import written
 
 #: Keys of fewer code points are never dropped.
@@ -33,6 +33,7 @@ DROP, WAIT, EDGE = 1, 0, 2
 def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """Hash, document and position of every line whose key is long enough: (h1, h2, id, row, pos, n_lines)."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in (part for whole in batches for part in rounds(whole, 2)):
             hashes, lines, found = [], [], []

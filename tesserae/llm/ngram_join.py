@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_back, id_of, rounds, slots, text_of
+from tesserae.llm.common import id_back, id_of, rounds, slots, text_of, tidy
 from tesserae.llm.components import components
 from tesserae.session import written
 
@@ -102,6 +102,7 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
 def _sets(docs: DataFrame, elements: Elements, percent: int) -> DataFrame:
     """Of each row: (id, n, s1, s2, screen), with the set's size, its hash, and its prefix in hash order."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, texts in (part for whole in batches for part in rounds(whole)):
             n, s1, s2, screen = [], [], [], []
@@ -207,6 +208,7 @@ def _index(rows: DataFrame, percent: int) -> DataFrame:
     class has: low for the centre of a group of near copies.
     """
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -243,6 +245,7 @@ def _index(rows: DataFrame, percent: int) -> DataFrame:
 def _central(percent: int):
     """Of index rows with labels sorted by (token, score, node): the most central node with another label, for each row that may link with it."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, tops = None, []  # of a run: its first row, and its first row of another label
         for b in batches:
@@ -267,6 +270,7 @@ def _central(percent: int):
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose whole sets reach the threshold."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
@@ -303,6 +307,7 @@ def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int
     least = 1 + F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / 20)  # l of the smallest set that could be a partner
     left = written(classes.select("node", "n", "s1", "s2").join(hits, "node").filter(F.col("_hits") >= least).drop("_hits"), "screened")
 
+    @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, found in (part for batch in batches for part in rounds(batch, 3)):
             nodes, tokens, bits = [], [], []

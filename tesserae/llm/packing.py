@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.bpe import TEXT, encoder
-from tesserae.llm.common import rounds, slots, text_of
+from tesserae.llm.common import rounds, slots, text_of, tidy
 from tesserae.session import written
 
 CAPACITY = 4096
@@ -34,6 +34,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END,
 
     The ids of the whole text, then the end id. A null or empty text is the end id alone.
     """
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b, texts in (part for whole in batches for part in rounds(whole, most=TEXT)):

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tesserae.llm.bpe import TEXT, encoder
-from tesserae.llm.common import rounds, text_of
+from tesserae.llm.common import rounds, text_of, tidy
 from tesserae.session import written
 
 #: Lengths in a block of the suffix sums.
@@ -25,6 +25,7 @@ BLOCK = 1024
 def encoded_lengths(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """The number of ids of each whole text, without special tokens: (n_tokens). A null text has none."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for _, texts in (part for whole in batches for part in rounds(whole, 0, TEXT)):
