@@ -15,8 +15,9 @@ from tesserae.llm.common import id_of, whole_row
 from tesserae.llm.queries import tokenizer_path
 from tesserae.session import ship, table, written
 
-#: Texts whose best language has a smaller share of the decision values are of no known language.
-MIN_SCORE = 0.26
+#: Texts whose best decision value (1: like the language's own texts, 0: like all others') is smaller are of no known
+#: language, however many languages there are: the second limit for texts of SHORT characters or more, whose values vary less.
+MIN_VALUES, SHORT = (0.25, 0.45), 200
 #: Near duplicates: words in a shingle, and the percentage of similarity.
 WORDS, PERCENT = 5, 80
 
@@ -29,11 +30,15 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language is the likely one, go. A null text has none."""
+    """Documents without letters, or whose best decision value is under the limit for their length, go. A null text has no letters.
+
+    Where no document has a language to learn from, none is known and all go.
+    """
     ship(spark)
     model = language_id.fit(docs)
     marked = docs.select(whole_row(docs), language_id.predict(docs, model).alias("_p"))
-    return marked.filter((F.col("_p.lang") != language_id.UNKNOWN) & (F.col("_p.score") >= MIN_SCORE)).select("doc.*")
+    least = F.when(F.length("doc.text") < SHORT, MIN_VALUES[0]).otherwise(MIN_VALUES[1])
+    return marked.filter((F.col("_p.lang") != language_id.UNKNOWN) & (F.col("_p.value") >= least)).select("doc.*")
 
 
 def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
