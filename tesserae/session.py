@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -31,22 +32,24 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, and any other is refused."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
     given = spark.sparkContext._jsc.sc().getCheckpointDir()
     if given.isEmpty():
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
     return given.get().rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
+    """A new path in the shared folder, removed by release() or when the driver ends."""
     path = f"{shared_dir(spark)}/tesserae/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_remove_written)
+    atexit.unregister(release)
+    atexit.register(release)
     _written.append((spark, path))
     return path
 
@@ -59,14 +62,16 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _remove_written() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Remove all tables written so far. Call it when the results that read them are stored; the driver's end does it too."""
+    while _written:
+        spark, path = _written.pop()
         try:
             jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
             p = jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(conf).delete(p, True)
-        except Exception:  # the session has ended; the cluster's own cleaning takes the folder
-            return
+        except Exception:  # that session has ended; the cluster's own cleaning takes the folder
+            continue
 
 
 def ship(spark: SparkSession) -> None:
