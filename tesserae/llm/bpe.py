@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import rounds, text_of, tidy
 
 #: Words whose ids a worker keeps; when it has more, it starts anew.
-KEPT = 200_000
+KEPT = 120_000
 #: Bytes of text whose distinct words are looked up together.
 TEXT = 1 << 20
 #: Words of at most so many bytes are merged together, longer ones each alone.
