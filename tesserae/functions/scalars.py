@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +69,16 @@ def iso_date(col: Column) -> Column:
     return F.substring(col, 1, 10).try_cast("date")
 
 
+def json_at(col: Column, place: int) -> Column:
+    """The element at a place (from 0) of a JSON array in a text: texts without their quotes, others as JSON; null where there is none."""
+    return F.get_json_object(col, f"$[{place}]")
+
+
+def checked(col: Column, holds: Column, message: str) -> Column:
+    """The value where the condition holds; where it does not, or is unknown, the query fails with the message and the value."""
+    return F.when(holds, col).otherwise(F.raise_error(F.concat_ws(": ", F.lit(message), F.coalesce(col.cast("string"), F.lit("null")))))
+
+
 def euclidean(a: Column, b: Column) -> Column:
     """Distance of two equally long vectors, summed in double."""
     squares = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
@@ -79,35 +90,61 @@ def ratio(a: Column, b: Column) -> Column:
     return F.try_divide(a.cast("double"), b.cast("double"))
 
 
+#: Cells of the character tables that one step of a batch compares at most.
+_CELLS = 1 << 20
+
+
+def _characters(texts: list[str], width: int) -> np.ndarray:
+    """Code points of texts, a row for each, zeros after the end."""
+    return np.array(texts, f"<U{max(width, 1)}").view(np.uint32).reshape(len(texts), max(width, 1))
+
+
+def jaro_winkler_batch(a: list[str], b: list[str]) -> np.ndarray:
+    """Similarities of pairs of texts: Jaro, and above 0.7 a tenth of the rest for each of up to four equal first characters.
+
+    Pairs are taken together by their lengths. At each place of the left texts the first free equal
+    character within reach is taken in all right texts at once.
+    """
+    la, lb = (np.fromiter(map(len, x), np.int64, len(x)) for x in (a, b))
+    out = np.zeros(len(a))
+    order = np.lexsort((lb, la))
+    at = 0
+    while at < len(order):
+        rows = order[at : at + max(1, _CELLS // max(1, int(la[order[at]] + lb[order[at]])))]
+        width = np.maximum.accumulate(la[rows]) + np.maximum.accumulate(lb[rows])
+        rows = rows[: max(1, int(np.searchsorted(width * np.arange(1, len(rows) + 1), _CELLS)))]
+        at += len(rows)
+        out[rows] = _together([a[i] for i in rows], [b[i] for i in rows], la[rows], lb[rows])
+    return out
+
+
+def _together(a: list[str], b: list[str], la: np.ndarray, lb: np.ndarray) -> np.ndarray:
+    x, y = _characters(a, int(la.max())), _characters(b, int(lb.max()))
+    reach = np.maximum(np.maximum(la, lb) // 2 - 1, 0)
+    every, place = np.arange(len(a)), np.arange(y.shape[1])
+    mine, taken = np.zeros(x.shape, bool), np.zeros(y.shape, bool)
+    free = place < lb[:, None]
+    for i in range(int(la.max())):
+        can = free & (y == x[:, i : i + 1]) & (np.abs(place - i) <= reach[:, None]) & (i < la)[:, None]
+        j = can.argmax(1)
+        hit = can[every, j]
+        taken[every[hit], j[hit]], free[every[hit], j[hit]], mine[hit, i] = True, False, True
+    m = mine.sum(1)
+    most = int(m.max(initial=0))
+    first = lambda chars, marked: np.take_along_axis(chars, np.argsort(~marked, axis=1, kind="stable")[:, :most], 1)
+    swaps = ((first(x, mine) != first(y, taken)) & (np.arange(most) < m[:, None])).sum(1) // 2
+    with np.errstate(divide="ignore", invalid="ignore"):
+        jaro = np.where(m > 0, (m / la + m / lb + (m - swaps) / m) / 3, 0.0)
+    k = min(4, x.shape[1], y.shape[1])
+    alike = (x[:, :k] == y[:, :k]) & (np.arange(k) < np.minimum(la, lb)[:, None])
+    prefix = np.minimum.accumulate(alike, axis=1).sum(1)
+    same = np.fromiter((p == q for p, q in zip(a, b)), bool, len(a))
+    return np.where(same, 1.0, np.where(jaro > 0.7, jaro + prefix * 0.1 * (1 - jaro), jaro))
+
+
 def jaro_winkler_of(a: str, b: str) -> float:
-    """Jaro similarity, and above 0.7 a tenth of the rest for each of up to four equal first characters."""
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    reach = max(max(len(a), len(b)) // 2 - 1, 0)
-    taken = [False] * len(b)
-    mine = []
-    for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if not taken[j] and b[j] == c:
-                taken[j] = True
-                mine.append(c)
-                break
-    m = len(mine)
-    if not m:
-        return 0.0
-    theirs = [c for c, t in zip(b, taken) if t]
-    swaps = sum(x != y for x, y in zip(mine, theirs)) // 2
-    jaro = (m / len(a) + m / len(b) + (m - swaps) / m) / 3
-    if jaro <= 0.7:
-        return jaro
-    prefix = 0
-    for x, y in zip(a[:4], b[:4]):
-        if x != y:
-            break
-        prefix += 1
-    return jaro + prefix * 0.1 * (1 - jaro)
+    """jaro_winkler_batch of one pair."""
+    return float(jaro_winkler_batch([a], [b])[0])
 
 
 def jaro_winkler(a: Column, b: Column) -> Column:
@@ -115,6 +152,9 @@ def jaro_winkler(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else jaro_winkler_of(p, q) for p, q in zip(x, y)], dtype="float64")
+        known = (x.notna() & y.notna()).to_numpy()
+        out = np.full(len(x), np.nan)
+        out[known] = jaro_winkler_batch(x[known].tolist(), y[known].tolist())
+        return pd.Series(pd.array(out, "Float64")).mask(~known)
 
     return run(a, b)

@@ -37,7 +37,7 @@ def industry_list(raw: DataFrame, as_of: str | None = None) -> DataFrame:
     high = F.substring_index("code", "-", -1).try_cast("int")
     sectors = rows.filter("level = 1").select("code", low.alias("_lo"), high.alias("_hi")).filter("_lo IS NOT NULL AND _hi IS NOT NULL")
     keyed = rows.withColumn("_two", F.when(F.length("code") == 3, F.substring("code", 1, 2).try_cast("int")))
-    hung = covering_range(keyed, "_two", sectors, "_lo", "_hi", "code", "_sector", widest=10)
+    hung = covering_range(keyed, "_two", sectors, "_lo", "_hi", "code", "_sector")
     code = F.col("code")
     parent = F.when(F.col("level") == 1, None).when(F.length(code) == 3, F.col("_sector")).otherwise(F.substr(code, F.lit(1), F.length(code) - 1))
     return stamp(hung.select("code", "title", "level", parent.alias("parent")), as_of)

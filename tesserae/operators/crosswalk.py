@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tesserae.functions.scalars import mod97, search_corpus
-from tesserae.operators.reshape import examples, union_by_name
+from tesserae.operators.reshape import first_values, union_by_name
 from tesserae.operators.windows import best_per_key
 
 EDGE = ["key_type", "key", "lei", "category", "method", "tier", "confidence"]
@@ -109,7 +109,8 @@ def unadmitted(edges: DataFrame, register: DataFrame) -> DataFrame:
     """The closing gate's findings: edges whose lei neither has remainder 1 nor is published: (edges, distinct_leis, examples); no rows if there are none."""
     known = register.select("lei").distinct()
     bad = edges.filter(F.coalesce(mod97(F.col("lei")) != 1, F.lit(True))).join(known, "lei", "left_anti")
-    return bad.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("lei").alias("distinct_leis"), examples("lei").alias("examples")).filter("edges > 0")
+    counts = bad.agg(F.count(F.lit(1)).alias("edges"), F.countDistinct("lei").alias("distinct_leis")).filter("edges > 0")
+    return counts.crossJoin(F.broadcast(first_values(bad, [], "lei")))  # one row each
 
 
 def coverage_by(edges: DataFrame, keys: Mapping[str, str]) -> DataFrame:

@@ -22,25 +22,44 @@ def parent_by_prefix(df: DataFrame, code: str, lengths: Sequence[int], into: str
     return df.join(best, code, "left")
 
 
-def covering_range(df: DataFrame, key: str, ranges: DataFrame, low: str, high: str, payload: str, into: str, widest: int = 1_000) -> DataFrame:
+def covering_range(df: DataFrame, key: str, ranges: DataFrame, low: str, high: str, payload: str, into: str) -> DataFrame:
     """The first (by low, then payload) of the integer ranges that covers each key; null where none does.
 
-    Ranges are exploded to the cells of a grid of `widest`, so the join is an equi join on the cell
-    with the bounds as a filter, not a nested loop.
+    Each range lies on the grid whose cells are the least power of two not under its width, so it
+    touches two cells at most, however wide it is. Keys are looked up on each grid that has ranges (at
+    most 64), so the join is an equi join on grid and cell with the bounds as a filter.
     """
-    cells = ranges.select(F.col(low).alias("_lo"), F.col(high).alias("_hi"), F.col(payload).alias("_v"))
-    cells = cells.withColumn("_cell", F.explode(F.sequence(F.floor(F.col("_lo") / widest), F.floor(F.col("_hi") / widest))))
-    keys = df.select(key).filter(F.col(key).isNotNull()).distinct().withColumn("_cell", F.floor(F.col(key) / widest))
-    found = keys.join(cells, "_cell").filter(F.col(key).between(F.col("_lo"), F.col("_hi")))
+    cells = ranges.select(F.col(low).cast("long").alias("_lo"), F.col(high).cast("long").alias("_hi"), F.col(payload).alias("_v")).filter("_lo <= _hi")
+    cells = cells.withColumn("_grid", F.least(F.lit(63), F.ceil(F.log2(F.col("_hi").cast("double") - F.col("_lo").cast("double") + 1))).cast("int"))
+    at = lambda c: F.call_function("shiftright", c, F.col("_grid"))
+    cells = cells.withColumn("_cell", F.explode(F.array_distinct(F.array(at(F.col("_lo")), at(F.col("_hi"))))))
+    grids = sorted(r[0] for r in cells.select("_grid").distinct().collect())  # at most 64 numbers
+    keys = df.select(key).filter(F.col(key).isNotNull()).distinct()
+    keys = keys.withColumn("_grid", F.explode(F.array(*map(F.lit, grids)) if grids else F.array().cast("array<int>"))).withColumn("_cell", at(F.col(key).cast("long")))
+    found = keys.join(cells, ["_grid", "_cell"]).filter(F.col(key).between(F.col("_lo"), F.col("_hi")))
     best = found.groupBy(key).agg(F.min(F.struct("_lo", "_v")).alias("_b")).select(key, F.col("_b._v").alias(into))
     return df.join(best, key, "left")
 
 
-def block_pairs(left: DataFrame, right: DataFrame, rules: Sequence[Sequence[str]], left_id: str, right_id: str) -> DataFrame:
+def largest_blocks(left: DataFrame, right: DataFrame, rules: Sequence[Sequence[str]], n: int = 5) -> DataFrame:
+    """The n blocks of each rule with the most pairs: (rule, key, n_left, n_right, n_pairs)."""
+    out = []
+    for rule in rules:
+        has = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in rule])
+        count = lambda d, c: d.filter(has).groupBy(*rule).agg(F.count(F.lit(1)).alias(c))
+        both = count(left, "n_left").join(count(right, "n_right"), list(rule))
+        rows = both.select(F.lit("+".join(rule)).alias("rule"), F.concat_ws("+", *rule).alias("key"), "n_left", "n_right", (F.col("n_left") * F.col("n_right")).alias("n_pairs"))
+        out.append(rows.orderBy(F.col("n_pairs").desc(), "key").limit(n))
+    return reduce(DataFrame.unionAll, out)
+
+
+def block_pairs(left: DataFrame, right: DataFrame, rules: Sequence[Sequence[str]], left_id: str, right_id: str, hot: int | None = None, salts: int = 32) -> DataFrame:
     """Candidate pairs (l_id, r_id) that agree on all columns of at least one rule; a null key never agrees.
 
     One equi join for each rule. A rule leaves out pairs that an earlier rule has found, so each pair
     comes once without a distinct over all pairs, and rows without a rule's keys never reach its shuffle.
+    Where `hot` is given, right rows of keys that have more rows are dealt over `salts` parts by their
+    id, and left rows of those keys go to each part: the pairs stay the same, no task has a whole block.
     """
     found = []
     cols = sorted({c for rule in rules for c in rule})
@@ -50,7 +69,15 @@ def block_pairs(left: DataFrame, right: DataFrame, rules: Sequence[Sequence[str]
     for k, rule in enumerate(rules):
         l_has = reduce(lambda a, b: a & b, [F.col(f"l_{c}").isNotNull() for c in rule])
         r_has = reduce(lambda a, b: a & b, [F.col(f"r_{c}").isNotNull() for c in rule])
-        pairs = l_all.filter(l_has).join(r_all.filter(r_has), agree[k])
+        l_rows, r_rows, on = l_all.filter(l_has), r_all.filter(r_has), agree[k]
+        if hot is not None:
+            l_key, r_key = [f"l_{c}" for c in rule], [f"r_{c}" for c in rule]
+            large = r_rows.groupBy(*r_key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).withColumn("_hot", F.lit(True)).drop("_n")
+            r_rows = r_rows.join(large, r_key, "left").withColumn("_rs", F.when(F.col("_hot"), F.pmod(F.xxhash64("r_id"), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
+            l_rows = l_rows.join(large.toDF(*l_key, "_hot"), l_key, "left")
+            l_rows = l_rows.withColumn("_ls", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
+            on = on & (F.col("_ls") == F.col("_rs"))
+        pairs = l_rows.join(r_rows, on)
         for earlier in agree[:k]:
             pairs = pairs.filter(~F.coalesce(earlier, F.lit(False)))
         found.append(pairs.select("l_id", "r_id"))
@@ -83,3 +110,12 @@ def check_foreign_keys(tables: Mapping[str, DataFrame], edges: Sequence[Mapping[
         else:
             review.append(name)
     return run, review
+
+
+def foreign_key_report(tables: Mapping[str, DataFrame], edges: Sequence[Mapping[str, str]]) -> DataFrame:
+    """(edge, status, orphans): accepted edges are checked and their orphans counted, null keys too; the others are for review and run nothing."""
+    found, review = check_foreign_keys(tables, edges)
+    rows = [df.agg(F.count(F.lit(1)).alias("orphans")).select(F.lit(name).alias("edge"), F.lit("checked").alias("status"), "orphans") for name, df in found.items()]
+    spark = next(iter(tables.values())).sparkSession
+    rows.append(spark.createDataFrame([(name, "review", None) for name in review], "edge string, status string, orphans long"))
+    return reduce(DataFrame.unionAll, rows)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,37 +29,90 @@ def read_before_produce(steps: DataFrame) -> DataFrame:
     return late.join(made.select("asset", "step").distinct(), ["asset", "step"], "left_anti").select("step", "asset", "producer_no")
 
 
-def downstream(edges: DataFrame, seeds: DataFrame, most: int = 1_000) -> DataFrame:
+#: Rounds after which the known nodes become one table.
+COMPACT = 8
+
+
+def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """Nodes that seeds (node) reach over edges (parent, child), seeds themselves left out.
 
-    Each round joins the frontier alone with the edges and drops what is known; edges and
-    frontiers are written tables, so a round never repeats an earlier one. A graph whose longest path has more than `most` rounds raises.
+    Each round joins the frontier alone with the edges and drops what is known; edges and frontiers
+    are written tables, so a round never repeats an earlier one. What is known becomes one table after
+    every COMPACT rounds, so a plan has at most as many inputs however deep the graph is. It ends when
+    a round finds nothing new, as it must in any graph, cycles included.
     """
     edges = written(edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct(), "edges")
-    known = frontier = written(seeds.select("node").distinct(), "closure")
-    out = seeds.select("node").limit(0)
-    for _ in range(most):
+    seeds = written(seeds.select("node").filter("node IS NOT NULL").distinct(), "closure")
+    known = frontier = seeds
+    done = 0
+    while True:
         step = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
         frontier = written(step.join(known, "node", "left_anti"), "closure")
         if frontier.isEmpty():
-            return out
-        known, out = known.union(frontier), out.union(frontier)
-    raise ValueError("the closure did not end")
+            return known.join(seeds, "node", "left_anti")
+        known = known.union(frontier)
+        done += 1
+        if done % COMPACT == 0:
+            known = written(known, "closure")
 
 
-def redact_json(col: Column) -> Column:
-    """JSON object text whose values under secret-looking keys are replaced, at any depth for text, number and literal values.
+_STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
+_COLON = re.compile(r"\s*:\s*")
 
-    Values that are objects or arrays are replaced whole at the top level, as a flat map of the object.
+
+def redacted_text(text: str, needles: Sequence[str] = SECRET_KEYS) -> str | None:
+    """JSON text with every value under a secret-looking key replaced, whatever the value is and however deep; None for text that is no JSON.
+
+    The rest of the text stays as it is written. Keys are compared as they read, escapes resolved.
     """
-    needle = "|".join(SECRET_KEYS)
-    flat = F.regexp_replace(col, rf'(?i)("[^"]*(?:{needle})[^"]*"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|-?[0-9][0-9.eE+-]*|true|false|null|\{{[^{{}}]*\}}|\[[^\[\]]*\])', f'$1"{REDACTED}"')
-    return flat
+    try:
+        json.loads(text)
+        out, at, copied = [], 0, 0
+        while m := _STRING.search(text, at):
+            at = m.end()
+            if (colon := _COLON.match(text, at)) is None:
+                continue
+            at = colon.end()
+            key = json.loads(m[0]).lower()
+            if any(n in key for n in needles):
+                out += [text[copied:at], f'"{REDACTED}"']
+                at = copied = json.JSONDecoder().raw_decode(text, at)[1]
+        return "".join([*out, text[copied:]])
+    except (ValueError, RecursionError):
+        return None
 
 
-def run_history(contracts: DataFrame) -> DataFrame:
-    """Steps of run contracts (run_id, steps array<struct<step, state, attempts, seconds>>): a row for each run and step."""
-    return contracts.select("run_id", F.inline("steps"))
+def redact_json(col: Column) -> Column:
+    """redacted_text of a column, in Arrow batches: null where the text is null or no JSON, so that nothing unread gets through."""
+
+    @F.arrow_udf("string")
+    def run(text: pa.Array) -> pa.Array:
+        return pa.array((None if (t := x.as_py()) is None else redacted_text(t) for x in text), pa.string())
+
+    return run(col)
+
+
+STEPS = "step string, state string, attempts int, started timestamp, ended timestamp, skip_reason string, consumed array<string>, produced array<string>"
+
+
+def run_history(contracts: DataFrame, steps: str = "steps") -> DataFrame:
+    """Steps of run contracts: a row for each run and step, with `seconds` from started to ended where both are there.
+
+    contracts: run_id, and an array of structs that have `step` and any other fields of STEPS; fields
+    that are absent are null. A run without steps gives no rows.
+    """
+    rows = contracts.select("run_id", F.explode(steps).alias("_s"))
+    has = rows.schema["_s"].dataType.fieldNames()
+    wanted = [f.split() for f in STEPS.split(", ")]
+    out = rows.select("run_id", *[(F.col(f"_s.{n}") if n in has else F.lit(None)).cast(t).alias(n) for n, t in wanted])
+    return out.withColumn("seconds", F.col("ended").cast("double") - F.col("started").cast("double"))
+
+
+def run_edges(history: DataFrame) -> DataFrame:
+    """(run_id, step, asset, direction) of what each step of a history consumed and produced, once each; skipped steps count for nothing."""
+    ran = history.filter(F.col("skip_reason").isNull())
+    one = lambda c: ran.select("run_id", "step", F.explode(c).alias("asset"), F.lit(c).alias("direction"))
+    return one("consumed").unionAll(one("produced")).distinct()
 
 
 def latest_state(log: DataFrame, keys: list[str], state: str, ts: str, tie: str) -> DataFrame:

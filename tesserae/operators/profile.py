@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tesserae.operators.fingerprint import dataset_fingerprint
 from tesserae.operators.gates import check_keys
 from tesserae.operators.windows import seeded_sample
+from tesserae.sources.readers import file_manifest
 
 # Fixed patterns of semantic types, first match wins; a date needs separators, so eight digits are an integer.
 SEMANTIC = [
@@ -79,9 +81,21 @@ def infer_semantic_types(df: DataFrame, threshold: float = 0.95, rules: list[tup
     return one.select(F.inline(F.array(*rows)))
 
 
-def describe(df: DataFrame, name: str, overrides: Mapping | None = None) -> str:
+def stored(df: DataFrame, path: str) -> dict:
+    """Size and digest of the files below a path: (path, bytes, hash): a file's own digest, or a fingerprint over the names and digests of several."""
+    files = file_manifest(df.sparkSession, path).filter(~F.col("name").rlike(r"\A[._]"))
+    one = files.agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"), F.max("sha256").alias("sha256")).first()
+    if not one["n"]:
+        raise ValueError(f"no files below {path}")
+    digest = one["sha256"] if one["n"] == 1 else dataset_fingerprint(files.select(F.col("name").alias("path"), "sha256")).first()["fingerprint"]
+    return {"path": path.rstrip("/").rsplit("/", 1)[-1], "bytes": one["bytes"], "hash": f"sha256:{digest}"}
+
+
+def describe(df: DataFrame, name: str, overrides: Mapping | None = None, path: str | None = None) -> str:
     """A dataset descriptor as JSON with sorted keys: inferred fields, curated overrides on top, the engine's stamp last.
 
+    Where the path of the stored table is given, the resource has its size and digest too.
+
     overrides: title, resource {…}, fields {column: {…}}, primaryKey [], foreignKeys []. Overrides of
     columns that df lacks warn; keys that name such columns raise.
     """
@@ -99,6 +113,6 @@ def describe(df: DataFrame, name: str, overrides: Mapping | None = None) -> str:
     relations = list(overrides.get("primaryKey", [])) + [c for fk in overrides.get("foreignKeys", []) for c in fk["fields"]]
     check_keys(df, relations)
     schema = {"fields": fields} | {k: overrides[k] for k in ("primaryKey", "foreignKeys") if k in overrides}
-    resource = {"name": name, "schema": schema} | dict(overrides.get("resource", {}))
+    resource = {"name": name, "schema": schema} | (stored(df, path) if path else {}) | dict(overrides.get("resource", {}))
     package = {"name": name, "resources": [resource]} | ({"title": overrides["title"]} if "title" in overrides else {})
     return json.dumps(package | {"engine": ENGINE}, sort_keys=True, indent=2, default=str)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -36,10 +36,20 @@ def upsert(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFra
 
 
 def listed(col: str | Column, sep: str = ",") -> Column:
-    """Aggregate: distinct values in order, joined."""
+    """Aggregate: all distinct values of a group in order, joined; the result holds them all, so groups must be small."""
     return F.array_join(F.array_sort(F.collect_set(col)), sep)
 
 
-def examples(col: str | Column, n: int = 5, sep: str = ", ") -> Column:
-    """Aggregate: the first n distinct values in order, joined."""
-    return F.array_join(F.slice(F.array_sort(F.collect_set(col)), 1, n), sep)
+def first_values(df: DataFrame, keys: Sequence[str], col: str, n: int = 5, sep: str = ", ", into: str = "examples") -> DataFrame:
+    """The first n distinct values of a column in order, joined: (keys, into), or one row without keys where there is any value.
+
+    Values are made distinct and ranked, of which each task sends n of a group at most, before n are
+    gathered; so no group is gathered whole.
+    """
+    rows = df.select(*keys, F.col(col).alias("_v")).filter(F.col("_v").isNotNull()).distinct()
+    if keys:
+        rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_v"))).filter(F.col("_r") <= n)
+    else:
+        rows = rows.orderBy("_v").limit(n)
+    joined = F.array_join(F.array_sort(F.collect_list("_v")), sep).alias(into)
+    return rows.groupBy(*keys).agg(joined) if keys else rows.agg(joined)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tesserae.functions.scalars import jaro_winkler
 from tesserae.operators.joins import block_pairs
 from tesserae.session import written
+from tesserae.sources.sinks import export_parquet
 
 # Company suffixes that a normalised name loses one of.
 SUFFIXES = "CORPORATION CORP INCORPORATED INC COMPANY CO LIMITED LTD LLC PLC LP HOLDINGS GROUP".split()
@@ -32,6 +33,7 @@ class ResolveConfig:
     keep_from: float = 0.30
     left_country: str = "US"
     home: str = "US"
+    hot_block: int | None = None  # rows of a block from which on it is dealt over several tasks
 
     @classmethod
     def of(cls, **options) -> ResolveConfig:
@@ -117,7 +119,7 @@ def score_pairs(left: DataFrame, right: DataFrame, cfg: ResolveConfig) -> DataFr
     # distinct names and candidate pairs are used several times below
     l_names = written(l_names.withColumn("key", F.col("nname")), "names")
     r_names = written(r_names.withColumn("key", F.struct("nname", "country")), "names")
-    pairs = block_pairs(l_names, r_names, cfg.rules, "key", "key")
+    pairs = block_pairs(l_names, r_names, cfg.rules, "key", "key", cfg.hot_block)
     pairs = written(pairs.select(F.col("l_id").alias("l_nname"), F.col("r_id.nname").alias("r_nname"), F.col("r_id.country").alias("r_country")), "pairs")
     scored = compare(pairs, "l_nname", "r_nname").filter("similarity IS NOT NULL")
     scored = scored.withColumn("match_weight", fs_weight(level_of(F.col("similarity")), cfg.prior))
@@ -179,6 +181,11 @@ def coverage(edges: DataFrame, left: DataFrame) -> DataFrame:
     return by.crossJoin(F.broadcast(total)).select("status", "n", F.round(100.0 * F.col("n") / F.col("_total"), 1).alias("pct"), "avg_p", "exact", "fuzzy")  # one row
 
 
+def export(edges: DataFrame, dest: str, key: str = "l_uid") -> None:
+    """Write the edges as Parquet in an order that is the same for the same edges: by left row, then register row."""
+    export_parquet(edges, dest, [key, "r_uid"])
+
+
 def spot_check(edges: DataFrame, ids: DataFrame, col: str = "l_uid") -> DataFrame:
     """The edges of a short list of ids."""
     return edges.join(ids, col, "left_semi")

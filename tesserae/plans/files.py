@@ -131,26 +131,83 @@ def matching(spark: SparkSession, d: str) -> DataFrame:
     return readers.discover_links(table(spark, d, "pages"), r"[aeiou]\.?\z", limit=2).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query("src_resources", "SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n UNION ALL SELECT 'orders', (SELECT count(*) FROM orders)")
-def resources(spark: SparkSession, d: str) -> DataFrame:
-    found, _ = readers.load_resources(spark, {"resources": [{"name": n, "path": f"{n}.parquet", "format": f} for n, f in (("nation", "parquet"), ("orders", "parquet"), ("pages", "xlsx"))]}, d)
-    out = [df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, df in found.items()]
-    return out[0].union(out[1])
+_FIELDS = [{"name": "c_custkey", "type": "integer"}, {"name": "c_acctbal", "type": "number"}, {"name": "c_mktsegment", "type": "string"}]
 
 
-@query("src_readers")
+@query(
+    "src_resources",
+    "SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n, 'int' AS kind, (SELECT sum(n_nationkey) FROM nation) AS total UNION ALL "
+    + " UNION ALL ".join(f"SELECT '{f}', (SELECT count(*) FROM customer), '{k}', (SELECT sum(c_custkey) FROM customer)" for f, k in (("csv", "bigint"), ("tsv", "bigint"), ("ndjson", "bigint"), ("json", "bigint"))),
+)
+def resources(spark: SparkSession, d: str) -> DataFrame:
+    """Resources of each format by descriptor, with declared types; a format that is not known is left out."""
+    rows, at = table(spark, d, "customer").select(*[f["name"] for f in _FIELDS]), {f: fresh_path(spark, f) for f in ("csv", "tsv", "ndjson", "json")}
+    rows.write.option("header", True).csv(at["csv"])
+    rows.write.option("header", True).option("sep", "\t").csv(at["tsv"])
+    rows.write.json(at["ndjson"])
+    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(at["json"])
+    listed = [{"name": "nation", "path": f"{d}/nation.parquet", "format": "parquet"}, {"name": "sheet", "path": "x.xlsx"}] + [{"name": f, "path": p, "format": f, "schema": {"fields": _FIELDS}} for f, p in at.items()]
+    found, _ = readers.load_resources(spark, {"resources": listed}, "")
+    out = []
+    for name, df in found.items():
+        key = df.columns[0]
+        out.append(df.agg(F.count(F.lit(1)).alias("n"), F.sum(key).alias("total")).select(F.lit(name).alias("name"), "n", F.lit(dict(df.dtypes)[key]).alias("kind"), "total"))
+    return reshape.union_by_name(*out)
+
+
+@query("src_readers", "SELECT 'json' AS reader, (SELECT count(*) FROM customer) AS n UNION ALL SELECT 'json_objects', (SELECT count(*) FROM customer) UNION ALL SELECT 'text', (SELECT count(DISTINCT c_nationkey) FROM customer) UNION ALL SELECT 'blob', (SELECT count(DISTINCT c_nationkey) FROM customer)")
 def any_reader(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that each plain reader finds in a file for each nation."""
     path = fresh_path(spark, "ndjson")
-    table(spark, d, "customer").write.json(path)
-    counts = [readers.read_any(spark, k, path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("reader"), "n") for k in ("json", "json_objects", "text", "blob")]
+    table(spark, d, "customer").coalesce(1).write.partitionBy("c_nationkey").json(path)
+    counts = [readers.read_any(spark, k, f"{path}/*").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("reader"), "n") for k in ("json", "json_objects", "text", "blob")]
     return reshape.union_by_name(*counts)
 
 
-@query("src_manifest")
+_LINES_SQL = "SELECT {0} AS r, sum(length(n_name) + 1) AS bytes, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256 FROM nation GROUP BY ALL"
+
+
+@query("src_manifest", f"SELECT 'r=' || r AS folder, bytes, sha256 FROM ({_LINES_SQL.format('n_regionkey')})")
 def manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and digests of a file of names for each region."""
+    ship(spark)
     path = fresh_path(spark, "parts")
-    sinks.write_partitioned(table(spark, d, "orders"), path, ["o_orderstatus"])
-    return readers.file_manifest(spark, path, r"\.parquet\z").select("name", "bytes", valid_digest(F.col("sha256")).alias("valid"))
+    rows = table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_regionkey", "n_nationkey").select("n_name", F.col("n_regionkey").alias("r"))
+    rows.write.partitionBy("r").text(path)
+    found = readers.file_manifest(spark, path, r"\.txt\Z").filter(valid_digest(F.col("sha256")))
+    return found.select(F.regexp_extract("path", "/(r=[0-9]+)/", 1).alias("folder"), "bytes", "sha256")
+
+
+@query("src_columnar_json_text", "SELECT s_name AS name, CAST(s_suppkey AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS none FROM supplier")
+def columnar_text(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.collect_list(F.array("s_name", F.col("s_suppkey").cast("string"))).alias("data"))
+    body = F.to_json(F.struct(F.array(F.lit("name"), F.lit("id")).alias("fields"), "data")).alias("body")
+    texts = rows.select(body).union(rows.limit(1).select(F.lit("no JSON")))
+    return readers.explode_positional_text(texts, "body", "fields", "data", ["id", "name", "none"])
+
+
+@query("sink_metadata", "SELECT 'n_rows' AS key, CAST(count(*) AS VARCHAR) AS value FROM nation UNION ALL SELECT 'least', min(n_name) FROM nation")
+def metadata(spark: SparkSession, d: str) -> DataFrame:
+    """Key/value metadata that an export's footer carries, read back."""
+    nation, path = table(spark, d, "nation"), fresh_path(spark, "export")
+    facts = nation.agg(F.count(F.lit(1)).cast("string").alias("n_rows"), F.min("n_name").alias("least")).first().asDict()
+    sinks.export_parquet(nation, path, ["n_nationkey"], metadata=facts)
+    kept = spark.read.parquet(path).schema["n_nationkey"].metadata
+    return spark.createDataFrame(sorted(kept.items()), "key string, value string")
+
+
+@query(
+    "sink_table_lifecycle",
+    "SELECT r_regionkey, r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey AND n_nationkey % 2 = 0) AS nations FROM region UNION ALL SELECT r_regionkey + 100, upper(r_name), 0 FROM region",
+)
+def lifecycle(spark: SparkSession, d: str) -> DataFrame:
+    """A table made from a query, rows inserted by name, and a view joined with it."""
+    region = table(spark, d, "region").select("r_regionkey", "r_name")
+    sinks.create_table(spark, "tesserae_regions", region, fresh_path(spark, "regions"))
+    more = region.select(F.upper("r_name").alias("r_name"), (F.col("r_regionkey") + 100).cast(region.schema["r_regionkey"].dataType).alias("r_regionkey"))
+    both = sinks.insert_rows(spark, "tesserae_regions", more)
+    even = sinks.define_view("tesserae_even_nations", table(spark, d, "nation").filter("n_nationkey % 2 = 0"))
+    return both.join(even, F.col("n_regionkey") == F.col("r_regionkey"), "left").groupBy("r_regionkey", "r_name").agg(F.count("n_nationkey").alias("nations"))
 
 
 @query("sink_export_parquet", "SELECT l_orderkey, l_linenumber, l_partkey, l_extendedprice FROM lineitem")
@@ -183,8 +240,10 @@ def registered(spark: SparkSession, d: str) -> DataFrame:
     return sinks.register_files(spark, "tesserae_part", path).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("sink_receipt")
+@query("sink_receipt", f"SELECT bytes, sha256, DATE '2025-01-01' AS as_of, 'pub/' || sha256 AS key FROM ({_LINES_SQL.format(0)})")
 def receipt(spark: SparkSession, d: str) -> DataFrame:
+    """What a folder with one file of names holds."""
+    ship(spark)
     path = fresh_path(spark, "published")
-    sinks.export_parquet(table(spark, d, "customer"), path, ["c_custkey"])
-    return sinks.receipt(spark, path, "2025-01-01", "pub/").select("name", "bytes", "as_of", F.col("key").startswith("pub/").alias("keyed"))
+    table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(path)
+    return sinks.receipt(spark, path, "2025-01-01", "pub/").filter(F.col("name").endswith(".txt")).select("bytes", "sha256", "as_of", "key")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.catalog import query
 from tesserae.operators import fingerprint, gates, lineage, profile
-from tesserae.session import table
+from tesserae.session import fresh_path, ship, table
 from tesserae.streaming.streams import latest_states, save_bursts
 
 _EXPECTED = {"customer": 1500, "supplier": 60, "part": 3000}
@@ -48,10 +50,18 @@ def contract(spark: SparkSession, d: str) -> DataFrame:
     return gates.validate_contract(table(spark, d, "orders"), _CONTRACT).select("column_name", "total", "rejects")
 
 
-@query("gate_derived_contract", "SELECT unnest(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice']) AS column_name, (SELECT count(*) FROM part) AS total, CAST(0 AS BIGINT) AS rejects")
+# what a contract derived from the parts of some sizes says of all parts: values that are not listed, or lengths beyond those seen
+_DERIVED_SQL = "WITH seen AS (SELECT * FROM part WHERE p_size < 20 AND p_partkey % 7 = 1), " + ", ".join(
+    f"r{k} AS (SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS v, (SELECT count(DISTINCT {c}) FROM seen) <= 20 AS listed FROM part), "
+    f"s{k} AS (SELECT column_name, count(v) AS total, count(*) FILTER (CASE WHEN listed THEN v NOT IN (SELECT CAST({c} AS VARCHAR) FROM seen) ELSE length(v) NOT BETWEEN (SELECT min(length(CAST({c} AS VARCHAR))) FROM seen) AND (SELECT max(length(CAST({c} AS VARCHAR))) FROM seen) END) AS rejects FROM r{k} GROUP BY 1)"
+    for k, c in enumerate(("p_partkey", "p_name", "p_brand", "p_type", "p_size"))
+) + " " + " UNION ALL ".join(f"SELECT * FROM s{k}" for k in range(5))
+
+
+@query("gate_derived_contract", _DERIVED_SQL)
 def derived(spark: SparkSession, d: str) -> DataFrame:
-    part = table(spark, d, "part")
-    return gates.validate_contract(part, gates.derive_contract(part)).select("column_name", "total", "rejects")
+    part = table(spark, d, "part").drop("p_retailprice")
+    return gates.validate_contract(part, gates.derive_contract(part.filter("p_size < 20 AND p_partkey % 7 = 1"))).select("column_name", "total", "rejects")
 
 
 @query("gate_licence", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2', 'src3') AND lang IN ('en', 'de') THEN 'green' ELSE 'red' END AS licence_status FROM documents")
@@ -100,17 +110,71 @@ def top(spark: SparkSession, d: str) -> DataFrame:
     return profile.top_values(table(spark, d, "part"), "p_name")
 
 
-@query("profile_semantic_types", "SELECT * FROM (VALUES ('page_id', 'integer'), ('url', 'url'), ('html', 'text')) t(column_name, semantic_type)")
+_SHARES = {"page_id": ("integer", "^[+-]?[0-9]+$"), "url": ("url", "^https?://[^ ]+$"), "html": ("boolean", "^(true|false)$")}
+
+
+@query(
+    "profile_semantic_types",
+    " UNION ALL ".join(f"SELECT '{c}' AS column_name, CASE WHEN avg(CAST(regexp_matches(CAST({c} AS VARCHAR), '{p}') AS INTEGER)) >= 0.95 THEN '{t}' ELSE 'text' END AS semantic_type FROM pages" for c, (t, p) in _SHARES.items()),
+)
 def semantic(spark: SparkSession, d: str) -> DataFrame:
     return profile.infer_semantic_types(table(spark, d, "pages")).select("column_name", "semantic_type")
 
 
-@query("fp_table", "SELECT count(*) AS n_rows, TRUE AS same FROM lineitem")
+@query(
+    "profile_descriptor",
+    """SELECT 'n_nationkey' AS name, 'integer' AS semantic_type, (SELECT count(*) = count(n_nationkey) FROM nation) AS required, NULL AS title, (SELECT sum(length(n_name) + 1) FROM nation) AS bytes, (SELECT 'sha256:' || sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) FROM nation) AS hash
+UNION ALL SELECT 'n_name', 'text', (SELECT count(*) = count(n_name) FROM nation), 'Name', (SELECT sum(length(n_name) + 1) FROM nation), (SELECT 'sha256:' || sha256(string_agg(n_name || chr(10), '' ORDER BY n_name)) FROM nation)""",
+)
+def descriptor(spark: SparkSession, d: str) -> DataFrame:
+    """Fields of a descriptor, with a curated title, and the size and digest of the file beside it."""
+    nation, path = table(spark, d, "nation"), fresh_path(spark, "described")
+    nation.select("n_name").coalesce(1).sortWithinPartitions("n_name").write.text(path)
+    out = json.loads(profile.describe(nation.select("n_nationkey", "n_name"), "nation", {"fields": {"n_name": {"title": "Name"}}, "primaryKey": ["n_nationkey"]}, path))["resources"][0]
+    rows = [(f["name"], f["semantic_type"], f["constraints"]["required"], f.get("title"), out["bytes"], out["hash"]) for f in out["schema"]["fields"]]
+    return spark.createDataFrame(rows, "name string, semantic_type string, required boolean, title string, bytes long, hash string")
+
+
+# the count and the sums of four numbers of 15 hexadecimal digits from each row's digest, hashed
+_PRINT_SQL = "sha256(CAST(count(*) AS VARCHAR) || " + " || ".join(f"':' || CAST(coalesce(sum(CAST('0x' || substr(h, {15 * k + 1}, 15) AS BIGINT)), 0) AS VARCHAR)" for k in range(4)) + ")"
+
+
+@query(
+    "fp_table",
+    f"""SELECT count(*) AS n_rows, {_PRINT_SQL} AS fingerprint, {_PRINT_SQL} AS other FROM (SELECT sha256('{{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_returnflag":"' || l_returnflag || '","l_suppkey":' || l_suppkey || '}}') AS h FROM lineitem)""",
+)
 def table_print(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem")
+    """The fingerprint of a table's columns, and that of the same rows in another order and layout."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
     a = fingerprint.table_fingerprint(rows)
     b = fingerprint.table_fingerprint(rows.repartition(7).select(*reversed(rows.columns))).select(F.col("fingerprint").alias("other"))
-    return a.crossJoin(b).select("n_rows", (F.col("fingerprint") == F.col("other")).alias("same"))  # one row each
+    return a.crossJoin(b).select("n_rows", "fingerprint", "other")  # one row each
+
+
+@query(
+    "fp_dataset",
+    f"""WITH f AS (SELECT 'orders/' || o_orderkey AS path, sha256(o_orderstatus) AS sha256, o_orderkey = (SELECT min(o_orderkey) FROM orders) AS first FROM orders),
+v AS (SELECT 'as it is' AS version, path, sha256 FROM f UNION ALL SELECT 'renamed', CASE WHEN first THEN 'new' ELSE path END, sha256 FROM f UNION ALL SELECT 'changed', path, CASE WHEN first THEN sha256('new') ELSE sha256 END FROM f)
+SELECT version, {_PRINT_SQL} AS fingerprint FROM (SELECT version, sha256('{{"path":"' || path || '","sha256":"' || sha256 || '"}}') AS h FROM v) GROUP BY version""",
+)
+def dataset_print(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    first = F.col("o_orderkey") == F.col("k")
+    rows = orders.crossJoin(F.broadcast(orders.agg(F.min("o_orderkey").alias("k"))))  # one row
+    files = rows.select(F.concat(F.lit("orders/"), F.col("o_orderkey").cast("string")).alias("path"), F.sha2("o_orderstatus", 256).alias("sha256"), first.alias("first"))
+    versions = {
+        "as it is": files,
+        "renamed": files.withColumn("path", F.when(F.col("first"), "new").otherwise(F.col("path"))),
+        "changed": files.withColumn("sha256", F.when(F.col("first"), F.sha2(F.lit("new"), 256)).otherwise(F.col("sha256"))),
+    }
+    out = [fingerprint.dataset_fingerprint(v).select(F.lit(n).alias("version"), "fingerprint") for n, v in versions.items()]
+    return out[0].unionAll(out[1]).unionAll(out[2])
+
+
+@query("gate_count_agreement", "SELECT count(*) AS n_a, (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P') AS n_b FROM orders HAVING count(*) <> (SELECT count(*) FROM orders WHERE o_orderstatus <> 'P')")
+def agreement(spark: SparkSession, d: str) -> DataFrame:
+    orders = table(spark, d, "orders")
+    return gates.count_agreement(orders, orders.filter("o_orderstatus <> 'P'"))
 
 
 @query(
@@ -193,20 +257,60 @@ def closure(spark: SparkSession, d: str) -> DataFrame:
     return lineage.downstream(edges, seeds)
 
 
-@query("lineage_redact", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '{"api_key":"***REDACTED***","k":' || (event_id % 7) || '}' ELSE '{"k": ' || (event_id % 7) || ', "userToken": "***REDACTED***"}' END AS props FROM events""")
+_SECRET = '"***REDACTED***"'
+
+
+@query(
+    "lineage_redact",
+    f"""SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{{"api_key":{_SECRET},"k":' || k || '}}' WHEN 1 THEN '{{"k": ' || k || ', "userToken": {_SECRET}}}' WHEN 2 THEN '{{"password": {_SECRET}, "l":[{{"k":' || k || ', "Auth" : {_SECRET}}}, "token"]}}'
+WHEN 3 THEN '{{"a":{{"b":[{{"p\\u0061sswd":{_SECRET}}}]}},"k":' || k || '}}' END AS props FROM (SELECT event_id, event_id % 7 AS k FROM events)""",
+)
 def redacted(spark: SparkSession, d: str) -> DataFrame:
-    k = (F.col("event_id") % 7).cast("string")
-    even = F.concat(F.lit('{"api_key":"x'), F.col("user_id").cast("string"), F.lit('","k":'), k, F.lit("}"))
-    odd = F.concat(F.lit('{"k": '), k, F.lit(', "userToken": '), F.col("user_id").cast("string"), F.lit("}"))
-    props = F.when(F.col("event_id") % 2 == 0, even).otherwise(odd)
+    ship(spark)
+    k, user = (F.col("event_id") % 7).cast("string"), F.col("user_id").cast("string")
+    forms = [
+        ('{"api_key":"x', user, '","k":', k, "}"),
+        ('{"k": ', k, ', "userToken": ', user, "}"),
+        ('{"password": {"a":{"b":[1,"', user, '"]}}, "l":[{"k":', k, ', "Auth" : [["', user, '"]]}, "token"]}'),
+        ('{"a":{"b":[{"p\\u0061sswd":"\\"', user, '}"}]},"k":', k, "}"),
+        ("no JSON: token=", user),
+    ]
+    props = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        props = F.when(F.col("event_id") % 5 == i, F.concat(*[F.lit(x) if isinstance(x, str) else x for x in form])).otherwise(props)
     return table(spark, d, "events").select("event_id", lineage.redact_json(props).alias("props"))
 
 
-@query("lineage_run_history", "SELECT 'u' || user_id AS run_id, event_type AS step, count(*) AS attempts FROM events GROUP BY 1, 2")
+# a run for each user, with a step for each kind of event
+_RUNS_SQL = """s AS (SELECT 'u' || user_id AS run_id, event_type AS step, count(*) AS n, min(ts) AS a, max(ts) AS z, min(event_id) AS i, max(event_id) AS j FROM events GROUP BY 1, 2)"""
+
+
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    asset = lambda c: F.array(F.concat(F.lit("e"), c.cast("string")))
+    steps = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("step")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("a"), F.max("ts").alias("z"), F.min("event_id").alias("i"), F.max("event_id").alias("j"))
+    skipped = F.col("n") == 1
+    step = F.struct(
+        "step",
+        F.when(skipped, "skipped").otherwise("done").alias("state"),
+        F.col("n").cast("int").alias("attempts"),
+        F.when(~skipped, F.col("a")).alias("started"),
+        F.when(~skipped, F.col("z")).alias("ended"),
+        F.when(skipped, "unchanged").alias("skip_reason"),
+        asset(F.col("i")).alias("consumed"),
+        asset(F.col("j")).alias("produced"),
+    )
+    return steps.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id")).agg(F.collect_list(step).alias("steps"))
+
+
+@query("lineage_run_history", f"WITH {_RUNS_SQL} SELECT run_id, step, CASE WHEN n = 1 THEN 'skipped' ELSE 'done' END AS state, n AS attempts, CASE WHEN n = 1 THEN 'unchanged' END AS skip_reason, CASE WHEN n > 1 THEN round((epoch_us(z) - epoch_us(a)) / 1e6, 3) END AS seconds FROM s")
 def history(spark: SparkSession, d: str) -> DataFrame:
-    steps = table(spark, d, "events").groupBy("user_id", F.col("event_type").alias("step")).agg(F.count(F.lit(1)).alias("attempts"))
-    runs = steps.groupBy(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("run_id")).agg(F.collect_list(F.struct("step", "attempts")).alias("steps"))
-    return lineage.run_history(runs)
+    out = lineage.run_history(runs(spark, d))
+    return out.select("run_id", "step", "state", F.col("attempts").cast("long").alias("attempts"), "skip_reason", F.round("seconds", 3).alias("seconds"))
+
+
+@query("lineage_run_edges", f"WITH {_RUNS_SQL} SELECT run_id, step, 'e' || i AS asset, 'consumed' AS direction FROM s WHERE n > 1 UNION ALL SELECT run_id, step, 'e' || j, 'produced' FROM s WHERE n > 1")
+def run_edges(spark: SparkSession, d: str) -> DataFrame:
+    return lineage.run_edges(lineage.run_history(runs(spark, d)))
 
 
 @query("stream_latest_state", "SELECT user_id, event_type, ts FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")

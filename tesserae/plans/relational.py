@@ -219,10 +219,15 @@ def basic(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-@query("agg_listed", "SELECT r_name, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS nations, array_to_string(list_sort(list(DISTINCT n_name))[:3], ', ') AS first_three, min(n_name) AS least FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
+@query(
+    "agg_listed",
+    """WITH placed AS (SELECT r_name, n_name, dense_rank() OVER (PARTITION BY r_name ORDER BY n_name) AS place FROM nation JOIN region ON n_regionkey = r_regionkey)
+SELECT r_name, string_agg(DISTINCT n_name, ',' ORDER BY n_name) AS nations, string_agg(DISTINCT n_name, ', ' ORDER BY n_name) FILTER (place <= 3) AS first_three, min(n_name) AS least FROM placed GROUP BY r_name""",
+)
 def listed(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    return rows.groupBy("r_name").agg(reshape.listed("n_name").alias("nations"), reshape.examples("n_name", 3).alias("first_three"), F.min("n_name").alias("least"))
+    whole = rows.groupBy("r_name").agg(reshape.listed("n_name").alias("nations"), F.min("n_name").alias("least"))
+    return whole.join(reshape.first_values(rows, ["r_name"], "n_name", 3, into="first_three"), "r_name")
 
 
 @query("agg_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
@@ -267,9 +272,15 @@ def place(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", exprs.position_in(F.col("o_orderstatus"), ["F", "O"]).alias("place"))
 
 
-@query("window_seeded_sample")
+@query("window_seeded_sample", "SELECT least(100, count(*)) AS n_rows, least(100, count(DISTINCT o_orderkey)) AS n_keys, least(100, count(*)) AS n_members, least(100, count(*)) AS n_again FROM orders")
 def sample(spark: SparkSession, d: str) -> DataFrame:
-    return windows.seeded_sample(table(spark, d, "orders"), 100, "o_orderkey").select("o_orderkey")
+    """The size of a sample, its keys, those of them that the table has, and those that a sample of another layout has too."""
+    orders = table(spark, d, "orders").select("o_orderkey")
+    one = windows.seeded_sample(orders, 100, "o_orderkey")
+    other = windows.seeded_sample(orders.repartition(5), 100, "o_orderkey").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("again"))
+    known = orders.distinct().select(F.col("o_orderkey").alias("m"), F.lit(1).alias("member"))
+    rows = one.join(other, F.col("o_orderkey") == F.col("k"), "left").join(known, F.col("o_orderkey") == F.col("m"), "left")
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"), F.count("member").alias("n_members"), F.count("again").alias("n_again"))
 
 
 @query("window_surrogate_id", "SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}') AS row_id FROM customer")
@@ -339,3 +350,39 @@ def upserted(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer")
     new = c.filter("c_nationkey = 3").select("c_custkey", F.lit(0.0).alias("c_acctbal")).union(table(spark, d, "supplier").select(-F.col("s_suppkey") - 1, "s_acctbal"))
     return reshape.upsert(c.select("c_custkey", "c_acctbal"), new, ["c_custkey"])
+
+
+@query("scalar_json_index", "SELECT o_orderkey, o_orderstatus AS first, CAST(o_custkey AS VARCHAR) AS second, CAST(NULL AS VARCHAR) AS fourth FROM orders")
+def json_index(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "orders").select("o_orderkey", F.concat(F.lit('["'), "o_orderstatus", F.lit('", '), F.col("o_custkey").cast("string"), F.lit(", {}]")).alias("j"))
+    return rows.select("o_orderkey", *[scalars.json_at(F.col("j"), k).alias(n) for k, n in ((0, "first"), (1, "second"), (3, "fourth"))])
+
+
+@query("expr_checked", "SELECT o_orderkey, o_totalprice FROM orders")
+def checked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select("o_orderkey", scalars.checked(F.col("o_totalprice"), F.col("o_totalprice") >= 0, "negative price").alias("o_totalprice"))
+
+
+@query(
+    "set_recursive",
+    "WITH RECURSIVE r(top, k, depth) AS (SELECT p_partkey, p_partkey, 0 FROM part UNION ALL SELECT top, k // 3, depth + 1 FROM r WHERE k > 0) SELECT top, max(depth) AS depth, count(*) AS n, CAST(sum(k) AS BIGINT) AS total FROM r GROUP BY top",
+)
+def recursive(spark: SparkSession, d: str) -> DataFrame:
+    """A recursive query over all parts: each number divided until nothing is left."""
+    table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k")).createOrReplaceTempView("recursive_part")
+    return spark.sql(
+        """WITH RECURSIVE r(top, k, depth) MAX RECURSION LEVEL 100 AS (SELECT k, k, 0 FROM recursive_part UNION ALL SELECT top, k DIV 3, depth + 1 FROM r WHERE k > 0)
+SELECT top, max(depth) AS depth, count(*) AS n, sum(k) AS total FROM r GROUP BY top"""
+    )
+
+
+@query(
+    "join_foreign_keys",
+    """SELECT 'orders.o_custkey->customer.c_custkey' AS edge, 'checked' AS status, (SELECT count(*) FROM orders WHERE o_custkey IS NULL OR o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 20)) AS orphans
+UNION ALL SELECT 'customer.c_nationkey->nation.n_nationkey', 'checked', (SELECT count(*) FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation)) UNION ALL SELECT 'supplier.s_nationkey->region.r_regionkey', 'review', NULL""",
+)
+def foreign_keys(spark: SparkSession, d: str) -> DataFrame:
+    tables = {n: table(spark, d, n) for n in ("orders", "nation", "region", "supplier")} | {"customer": table(spark, d, "customer").filter("c_nationkey < 20")}
+    edge = lambda c, ck, p, pk, s: {"child": c, "child_key": ck, "parent": p, "parent_key": pk, "status": s}
+    edges = [edge("orders", "o_custkey", "customer", "c_custkey", "accepted"), edge("supplier", "s_nationkey", "region", "r_regionkey", "proposed"), edge("customer", "c_nationkey", "nation", "n_nationkey", "accepted")]
+    return joins.foreign_key_report(tables, edges)

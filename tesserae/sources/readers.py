@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import io
+import hashlib
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
@@ -64,6 +64,12 @@ def explode_positional(df: DataFrame, fields: str, data: str, names: Sequence[st
     return rows.select(*[F.try_element_at("_d", F.nullif(F.array_position("_f", n), F.lit(0).cast("bigint")).cast("int")).alias(n) for n in names])
 
 
+def explode_positional_text(df: DataFrame, body: str, fields: str, data: str, names: Sequence[str]) -> DataFrame:
+    """explode_positional of JSON texts {fields: […], data: [[…], …]}; texts that are no such JSON give no rows."""
+    parsed = df.select(F.from_json(body, f"`{fields}` array<string>, `{data}` array<array<string>>").alias("_j"))
+    return explode_positional(parsed.select(F.col(f"_j.`{fields}`").alias("_f0"), F.col(f"_j.`{data}`").alias("_d0")), "_f0", "_d0", names)
+
+
 def flatten_jsonapi(pages: DataFrame, body: str, attributes: Sequence[str]) -> DataFrame:
     """Records of JSON:API pages: (id, type, attributes…); pages without data give no rows."""
     schema = f"struct<data:array<struct<id:string,type:string,attributes:struct<{','.join(f'`{a}`:string' for a in attributes)}>>>>"
@@ -77,9 +83,20 @@ def safe_member(name: Column) -> Column:
     return F.coalesce(~bad & (name != ""), F.lit(False))
 
 
-def read_archive_members(spark: SparkSession, path: str, members: Sequence[str] | None = None, pattern: str | None = None) -> DataFrame:
+def file_system(path: str):
+    """The file system of a path and the place in it: local, or any that Arrow knows by its scheme."""
+    from pyarrow import fs
+
+    if path.startswith(("file:", "/")):
+        return fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(path)
+
+
+def read_archive_members(spark: SparkSession, path: str, members: Sequence[str] | None = None, pattern: str | None = None, most_bytes: int = 256 << 20) -> DataFrame:
     """Members of zip archives that are named or match the pattern anywhere: (archive, member, bytes, content, safe).
 
+    Archives are opened by path in the tasks and read member by member, so their size has no limit; a
+    wanted member that unpacks to more than most_bytes, or to more than it states, is an error.
     Directories are left out; the content of unsafe names is not read.
     """
     if not members and not pattern:
@@ -90,16 +107,21 @@ def read_archive_members(spark: SparkSession, path: str, members: Sequence[str]
     unsafe = re.compile(r"\A[/\\]|\A[A-Za-z]:|(?:\A|[/\\])\.\.(?:[/\\]|\Z)")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for archive, content in zip(f["path"], f["content"]):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for info in z.infolist():
-                        if info.is_dir() or not (info.filename in names or rx and rx.search(info.filename)):
-                            continue
-                        safe = not unsafe.search(info.filename)
-                        yield pd.DataFrame({"archive": [archive], "member": [info.filename], "bytes": [info.file_size], "content": [z.read(info) if safe else None], "safe": [safe]})
-
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+        for archive in (p for f in frames for p in f["path"]):
+            system, place = file_system(archive)
+            with system.open_input_file(place) as file, zipfile.ZipFile(file) as z:
+                for info in z.infolist():
+                    if info.is_dir() or not (info.filename in names or rx and rx.search(info.filename)):
+                        continue
+                    safe, content = not unsafe.search(info.filename), None
+                    if safe:
+                        with z.open(info) as member:
+                            content = member.read(most_bytes + 1)
+                        if len(content) > most_bytes:
+                            raise ValueError(f"{info.filename} in {archive} has more than {most_bytes} bytes")
+                    yield pd.DataFrame({"archive": [archive], "member": [info.filename], "bytes": [info.file_size], "content": [content], "safe": [safe]})
+
+    files = spark.read.format("binaryFile").load(path).select("path")  # contents are not read here
     return files.mapInPandas(run, "archive string, member string, bytes long, content binary, safe boolean")
 
 
@@ -144,7 +166,7 @@ def load_resources(spark: SparkSession, descriptor: Mapping, base: str) -> tuple
     kinds = {"integer": "bigint", "number": "double", "boolean": "boolean", "date": "date", "datetime": "timestamp"}
     out, skipped = {}, []
     for r in descriptor.get("resources", []):
-        fmt, path = str(r.get("format", "")).lower() or str(r["path"]).rsplit(".", 1)[-1], f"{base.rstrip('/')}/{r['path']}"
+        fmt, path = str(r.get("format", "")).lower() or str(r["path"]).rsplit(".", 1)[-1], r["path"] if ":" in r["path"].split("/")[0] or r["path"].startswith("/") else f"{base.rstrip('/')}/{r['path']}"
         if fmt == "parquet":
             df = spark.read.parquet(path)
         elif fmt in ("csv", "tsv"):
@@ -179,7 +201,25 @@ def read_any(spark: SparkSession, kind: str, path: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, root: str, pattern: str = "") -> DataFrame:
-    """(path, name, bytes, mtime, sha256) of all files below a folder whose relative path matches; a file is one row in memory."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rows = files.select("path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"), F.sha2("content", 256).alias("sha256"))
-    return rows.filter(F.col("path").rlike(pattern)) if pattern else rows
+    """(path, name, bytes, mtime, sha256) of all files below a folder whose path matches; files are hashed piece by piece in the tasks."""
+    import re
+
+    rx = re.compile(pattern) if pattern else None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            kept = f[[rx is None or bool(rx.search(p)) for p in f["path"]]].copy()
+            digests = []
+            for path in kept["path"]:
+                system, place = file_system(path)
+                h = hashlib.sha256()
+                with system.open_input_stream(place, compression=None) as file:
+                    while data := file.read(8 << 20):
+                        h.update(data)
+                digests.append(h.hexdigest())
+            kept["sha256"] = pd.Series(digests, index=kept.index, dtype="str")
+            yield kept
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)  # contents are not read here
+    rows = files.select("path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
+    return rows.mapInPandas(run, "path string, name string, bytes long, mtime timestamp, sha256 string")

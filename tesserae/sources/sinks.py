@@ -8,7 +8,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.sources.readers import file_manifest
+from tesserae.sources.readers import file_manifest, file_system
 
 
 def with_metadata(df: DataFrame, metadata: Mapping[str, str]) -> DataFrame:
@@ -57,6 +57,26 @@ def register_files(spark: SparkSession, name: str, location: str) -> DataFrame:
     return spark.table(name)
 
 
+def create_table(spark: SparkSession, name: str, rows: DataFrame, location: str) -> DataFrame:
+    """A table from rows at a location, in place of one of that name."""
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows.write.option("path", location).saveAsTable(name)
+    return spark.table(name)
+
+
+def insert_rows(spark: SparkSession, name: str, rows: DataFrame) -> DataFrame:
+    """Rows appended to a table, columns by name."""
+    rows.select(*spark.table(name).columns).write.insertInto(name)
+    spark.catalog.refreshTable(name)
+    return spark.table(name)
+
+
+def define_view(name: str, rows: DataFrame) -> DataFrame:
+    """A view of the session over rows, in place of one of that name."""
+    rows.createOrReplaceTempView(name)
+    return rows.sparkSession.table(name)
+
+
 def receipt(spark: SparkSession, folder: str, as_of: str, prefix: str = "") -> DataFrame:
     """What a publication holds: (name, bytes, sha256, as_of, key) for each data file of a folder."""
     files = file_manifest(spark, folder).select("name", "bytes", "sha256")
@@ -69,9 +89,7 @@ def receipt_json(rows: DataFrame) -> str:
 
 def save_bytes(path: str, data: bytes) -> None:
     """Write one file from a task, to a local path or any that Arrow knows by its scheme."""
-    from pyarrow import fs
-
-    system, place = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if path.startswith(("file:", "/")) else fs.FileSystem.from_uri(path)
+    system, place = file_system(path)
     system.create_dir(place.rsplit("/", 1)[0], recursive=True)
     with system.open_output_stream(place, compression=None) as out:
         out.write(data)

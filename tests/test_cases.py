@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import json
+import random
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.functions.scalars import jaro_winkler_of, mod97, strip_accents
+from tesserae.functions.scalars import checked, jaro_winkler, jaro_winkler_batch, jaro_winkler_of, mod97, strip_accents
 from tesserae.operators import codelists, fingerprint, gates, joins, lineage, profile, reshape, resolution, trending, windows
 from tesserae.sources import readers, sinks
 
@@ -52,6 +54,76 @@ def test_jaro_winkler_values():
     assert jaro_winkler_of("", "a") == 0 and jaro_winkler_of("a", "a") == 1
 
 
+def plain_jaro_winkler(a: str, b: str) -> float:
+    """Character by character."""
+    if a == b:
+        return 1.0
+    reach, free, mine = max(max(len(a), len(b)) // 2 - 1, 0), list(range(len(b))), []
+    for i, c in enumerate(a):
+        if (j := next((j for j in free if abs(i - j) <= reach and b[j] == c), None)) is not None:
+            free.remove(j)
+            mine.append(c)
+    m, theirs = len(mine), [c for j, c in enumerate(b) if j not in free]
+    if not m:
+        return 0.0
+    jaro = (m / len(a) + m / len(b) + (m - sum(x != y for x, y in zip(mine, theirs)) // 2) / m) / 3
+    prefix = next((k for k in range(4) if k >= min(len(a), len(b)) or a[k] != b[k]), 4)
+    return jaro + prefix * 0.1 * (1 - jaro) if jaro > 0.7 else jaro
+
+
+def test_jaro_winkler_of_a_batch(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcé日 ") for _ in range(rng.choice([0, 1, 2, 5, 9, 30, 200])))
+    a = [word() for _ in range(400)]
+    b = [x[::-1] if k % 3 == 0 else x[:-1] + "b" if k % 3 == 1 else word() for k, x in enumerate(a)]
+    assert jaro_winkler_batch(a, b).tolist() == pytest.approx([plain_jaro_winkler(x, y) for x, y in zip(a, b)])
+    assert not len(jaro_winkler_batch([], []))
+    df = spark.createDataFrame([("MARTHA", "MARHTA"), (None, "a"), ("a", None)], "a string, b string")
+    assert [r[0] for r in df.select(jaro_winkler(F.col("a"), F.col("b"))).collect()] == [pytest.approx(0.9611111111), None, None]
+
+
+def test_ranges_of_any_width(spark):
+    rng = random.Random(4)
+    ranges = [(lo := rng.randint(-(10**6), 10**6), lo + rng.choice([0, 1, 7, 1000, 10**9]), f"r{k}") for k in range(40)] + [(-(1 << 62), 1 << 62, "all"), (5, 4, "none")]
+    keys = [rng.randint(-(10**6), 2 * 10**6) for _ in range(200)] + [None, 1 << 62, -(1 << 63)]
+    df = spark.createDataFrame([(k,) for k in keys], "k long")
+    r = spark.createDataFrame(ranges, "lo long, hi long, v string")
+    want = [(k, min(((lo, v) for lo, hi, v in ranges if k is not None and lo <= k <= hi), default=(0, None))[1]) for k in keys]
+    assert rows(joins.covering_range(df, "k", r, "lo", "hi", "v", "found"), "k", "found") == sorted(want, key=str)
+    assert joins.covering_range(df, "k", r.limit(0), "lo", "hi", "v", "found").filter("found IS NOT NULL").count() == 0
+
+
+def test_hot_blocks_keep_their_pairs(spark):
+    left = spark.createDataFrame([(k, "x" if k < 30 else str(k), None if k % 5 == 0 else "y") for k in range(60)], "id int, a string, b string")
+    rules = [["a"], ["a", "b"], ["b"]]
+    plain = rows(joins.block_pairs(left, left, rules, "id", "id"), "l_id", "r_id")
+    assert rows(joins.block_pairs(left, left, rules, "id", "id", hot=5, salts=4), "l_id", "r_id") == plain and len(plain) == len(set(plain))
+
+
+def test_run_history(spark):
+    runs = spark.createDataFrame([("r", [("a", "done"), ("b", "skipped")]), ("s", [])], "run_id string, steps array<struct<step: string, state: string>>")
+    assert rows(lineage.run_history(runs), "run_id", "step", "state", "seconds", "skip_reason") == [("r", "a", "done", None, None), ("r", "b", "skipped", None, None)]
+    assert lineage.run_edges(lineage.run_history(runs)).count() == 0
+
+
+def test_checked_values(spark):
+    df = spark.createDataFrame([(1,), (-1,)], "v int")
+    assert df.filter("v > 0").select(checked(F.col("v"), F.col("v") > 0, "too small")).first()[0] == 1
+    with pytest.raises(Exception, match="too small: -1"):
+        df.select(checked(F.col("v"), F.col("v") > 0, "too small")).collect()
+
+
+def test_archives_are_bounded(spark, tmp_path):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("big.txt", "x" * 1000)
+        z.writestr("small.txt", "y")
+    assert rows(readers.read_archive_members(spark, str(tmp_path / "a.zip"), pattern="txt", most_bytes=1000), "member", "bytes") == [("big.txt", 1000), ("small.txt", 1)]
+    with pytest.raises(Exception, match="more than 999 bytes"):
+        readers.read_archive_members(spark, str(tmp_path / "a.zip"), ["big.txt"], most_bytes=999).collect()
+    with pytest.raises(ValueError):
+        readers.read_archive_members(spark, str(tmp_path / "a.zip"))
+
+
 def test_level_probabilities(spark):
     df = spark.createDataFrame([(1.0,), (0.96,), (0.93,), (0.9,), (0.5,), (None,)], "s double")
     p = resolution.fs_probability(resolution.fs_weight(resolution.level_of(F.col("s"))))
@@ -142,6 +214,12 @@ def test_closure_and_redaction(spark):
     text = '{"api_key": "a", "x": {"Auth": 1, "k": "v"}, "password": {"p": 1}, "harmless": "token"}'
     got = json.loads(spark.createDataFrame([(text,)], "j string").select(lineage.redact_json(F.col("j"))).first()[0])
     assert got == {"api_key": lineage.REDACTED, "x": {"Auth": lineage.REDACTED, "k": "v"}, "password": lineage.REDACTED, "harmless": "token"}
+    deep = lambda t: lineage.redacted_text(t)
+    assert deep('{"password":{"a":{"b":"leak"}}}') == deep('{"password":[[1,"leak"]]}') == '{"password":"***REDACTED***"}'
+    assert deep('[{"tok\\u0065n": "}\\"leak"}, "secret", {"a": {"AccessToken" :null}}]') == '[{"tok\\u0065n": "***REDACTED***"}, "secret", {"a": {"AccessToken" :"***REDACTED***"}}]'
+    assert deep("token=leak") is None and deep('{"token": ') is None and deep("[" * 100_000) is None and deep(' {} ') == " {} "
+    line = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(20)], "parent string, child string")
+    assert lineage.downstream(line, spark.createDataFrame([("n0",), (None,)], "node string")).count() == 20
 
 
 def test_ranks_are_layout_free(spark):
