@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_back, id_of, rounds, slots, text_of, tidy
+from tesserae.llm.common import id_back, id_of, rounds, row_hash, slots, text_of, tidy
 from tesserae.llm.components import components
 from tesserae.session import written
 
@@ -100,11 +100,11 @@ def overlap(a: Column, b: Column, percent: int) -> Column:
 
 
 def _sets(docs: DataFrame, elements: Elements, percent: int) -> DataFrame:
-    """Of each row: (id, n, s1, s2, screen), with the set's size, its hash, and its prefix in hash order."""
+    """Of each row: (id, row, n, s1, s2, screen), with the set's size, its hash, and its prefix in hash order."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, texts in (part for whole in batches for part in rounds(whole)):
+        for b, texts in (part for whole in batches for part in rounds(whole, 2)):
             n, s1, s2, screen = [], [], [], []
             for text in texts:
                 s = elements(text)
@@ -113,9 +113,10 @@ def _sets(docs: DataFrame, elements: Elements, percent: int) -> DataFrame:
                 s1.append(x)
                 s2.append(y)
                 screen.append(s[: plain_prefix(len(s), percent) + screen_matches(len(s)) - 1] if len(s) else s)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(screen, pa.list_(pa.int64()))], ["id", "n", "s1", "s2", "screen"])
+            made = [pa.array(c, pa.int64()) for c in (n, s1, s2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *made, pa.array(screen, pa.list_(pa.int64()))], ["id", "row", "n", "s1", "s2", "screen"])
 
-    return docs.select("_id", "_text").mapInArrow(run, "id long, n long, s1 long, s2 long, screen array<long>")
+    return docs.select("_id", "_row", "_text").mapInArrow(run, "id long, row long, n long, s1 long, s2 long, screen array<long>")
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -298,14 +299,14 @@ def _labelled(index: DataFrame, links: DataFrame | None) -> DataFrame:
     return index.join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
-def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int) -> DataFrame:
-    """Links between classes that connect all that are connected."""
+def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int, repeated: bool) -> DataFrame:
+    """Links between classes that connect all that are connected. Each class has the id and the row hash of a document, `repeated` where several rows may have both."""
     parts = slots(docs)
     screened = classes.select(F.explode("screen").alias("token"), "node")
     ordered = screened.repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
     hits = ordered.mapInArrow(_shared, "node long").groupBy("node").agg(F.count(F.lit(1)).alias("_hits"))
     least = 1 + F.floor(F.ceil(F.lit(percent) * F.col("n") / 100) / 20)  # l of the smallest set that could be a partner
-    left = written(classes.select("node", "n", "s1", "s2").join(hits, "node").filter(F.col("_hits") >= least).drop("_hits"), "screened")
+    left = written(classes.select("node", "id", "row", "n", "s1", "s2").join(hits, "node").filter(F.col("_hits") >= least).drop("_hits"), "screened")
 
     @tidy
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +323,9 @@ def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), *parities], ["node", "tokens", "b0", "b1", "b2", "b3"])
 
     # a merge join at any size: what is left of the screening grows with the input and is never broadcast
-    texts = docs.join(left.select(F.col("node").alias("_id"), "s1", "s2").hint("merge"), "_id").select("_id", "s1", "s2", "_text")
+    of = left.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "node", "s1", "s2").hint("merge")
+    texts = docs.join(of, ["_id", "_row"]).select("node", "s1", "s2", "_text")
+    texts = texts.dropDuplicates(["node"]) if repeated else texts
     sets = written(texts.mapInArrow(whole, "node long, tokens array<long>, b0 long, b1 long, b2 long, b3 long"), "sets")
     rows = sets.select(F.explode("tokens").alias("token"), "node", F.size("tokens").cast("long").alias("n"))
     ordered = rows.repartitionByRange(parts, "token", "node").sortWithinPartitions("token", "node")
@@ -372,27 +375,46 @@ def _links(docs: DataFrame, classes: DataFrame, elements: Elements, percent: int
     return rest if links is None else links.union(rest)
 
 
+def _by_id(sets: DataFrame, keys: DataFrame, links: DataFrame) -> DataFrame:
+    """The component of each id, where ids repeat: (id, component), the classes of one id being linked."""
+    held = written(sets.select("id", "s1", "s2").distinct().join(keys.select("s1", "s2", "node"), ["s1", "s2"]).select("id", "node"), "held")
+    first = held.groupBy("id").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    labels = components(links.union(held.join(written(first, "first"), "id").select(F.col("node").alias("a"), "b")))
+    by_id = written(held.join(labels, "node", "left").groupBy("id").agg(F.min(F.coalesce("label", "node")).alias("label")), "id-labels")
+    return written(by_id.join(by_id.groupBy("label").agg(F.min("id").alias("component")), "label").select("id", "component"), "by-id")
+
+
 def set_components(docs: DataFrame, elements: Elements, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The component of each row where texts link whose sets reach percent / 100: (id, n_elements, component_id, class_id).
 
     `elements` gives a text's sorted distinct 64-bit elements. class_id is the smallest id with an equal
     set, component_id the smallest id reached by links. Empty sets link with nothing. A null id is after
-    all others. Rows that repeat an id with another text have their own n_elements and share the id's
-    links. One row for each row; an empty table gives none.
+    all others. Rows that repeat an id, as all with a null one do, have their own n_elements and class_id,
+    and are one document for the links: what links with the text of any of them links with the id. One row
+    for each row; an empty table gives none.
     """
-    rows = docs.select(id_of(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    rows = docs.select(id_of(id_col).alias("_id"), row_hash(text_col).alias("_row"), text_of(text_col).alias("_text"))
     sets = written(_sets(rows, elements, percent), "screens")
-    keys = written(sets.filter("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("node")), "classes")
-    single = keys.groupBy("node").agg(F.min(F.struct("s1", "s2")).alias("_s")).select(F.col("node").alias("id"), F.col("_s.s1").alias("s1"), F.col("_s.s2").alias("s2"))
-    classes = sets.join(single, ["id", "s1", "s2"], "left_semi").withColumnRenamed("id", "node")
-    links = _links(rows, written(classes, "representatives"), elements, percent)
-    twins = sets.select("id", "s1", "s2").join(keys, ["s1", "s2"]).filter("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    # copies hang on their class, so components are found among classes; the twins of a repeated id join its classes
-    unique = keys.groupBy("node").count().filter("count > 1").isEmpty()
-    labels = components(links if unique else links.union(twins))
-    out = sets.select("id", "n", "s1", "s2").join(keys, ["s1", "s2"], "left").withColumn("node", F.coalesce("node", "id"))
-    out = out.join(labels, "node", "left")
-    return out.select(id_back("id").alias("id"), F.col("n").alias("n_elements"), id_back(F.coalesce("label", "node")).alias("component_id"), id_back("node").alias("class_id"))
+    repeated = not sets.groupBy("id").count().filter("count > 1").isEmpty()
+    # a class goes by the smallest id that has it, or by a number of its own where one id may have several
+    node = F.monotonically_increasing_id() if repeated else F.col("id")
+    keys = sets.filter("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("id", "row")).alias("_r")).select("s1", "s2", "_r.id", "_r.row")
+    keys = written(keys.withColumn("node", node), "classes")
+    classes = sets.join(keys, ["id", "row", "s1", "s2"]).select("node", "id", "row", "n", "s1", "s2", "screen")
+    classes = classes.dropDuplicates(["node"]) if repeated else classes
+    links = _links(rows, written(classes, "representatives"), elements, percent, repeated)
+    # copies hang on their class, so components are found among classes
+    out = sets.select("id", "n", "s1", "s2").join(keys.select("s1", "s2", "node", F.col("id").alias("first")), ["s1", "s2"], "left")
+    if repeated:
+        out = out.join(_by_id(sets, keys, links), "id", "left")
+    else:
+        out = out.join(components(links), "node", "left").withColumn("component", F.coalesce("label", "node"))
+    return out.select(
+        id_back("id").alias("id"),
+        F.col("n").alias("n_elements"),
+        id_back(F.coalesce("component", "id")).alias("component_id"),
+        id_back(F.coalesce("first", "id")).alias("class_id"),
+    )
 
 
 def ngram_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

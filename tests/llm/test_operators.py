@@ -169,6 +169,37 @@ def test_ngram_join_counts_a_pair_over_main_labels(spark):
     assert got == brute_components(rows, 1, 30)
 
 
+def test_ngram_join_of_repeated_and_null_ids(spark):
+    """Rows of one id are one document: whatever links with any of its texts links with it."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(500)]
+    bases = [[rng.choice(words) for _ in range(rng.randint(5, 40))] for _ in range(40)]
+    rows = []
+    for k in range(260):
+        t = list(rng.choice(bases))
+        t[rng.randrange(len(t))] = rng.choice(words)
+        rows.append((rng.choice([k, k, k, k // 2 - 40, None if k % 13 == 0 else k]), " ".join(t)))
+    rows += [(7, ""), (None, None), (900, ""), (901, "w1")] + rows[:6] * 3 + [(i, f" {t}") for i, t in rows[:6]]
+    # each row its own document in the brute force, those of an id linked by a text they all have
+    apart = dict(enumerate(t for _, t in rows))
+    of_row = brute_components(apart, 3, 80)
+    up = {i: i for i, _ in rows}
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for (i, _), c in zip(rows, of_row.values()):
+        a, b = sorted((root(i), root(rows[c][0])), key=lambda x: (x is None, x or 0))
+        up[b] = a
+    want = sorted(((i, len(shingles_of(t, 3)), root(i)) for i, t in rows), key=str)
+    assert len({c for _, _, c in want}) < len({i for i, _, _ in want}) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = ngram_join.ngram_components(df, 3, 80).collect()
+    assert sorted(((r["id"], r["n_shingles"], r["component_id"]) for r in got), key=str) == want
+
+
 def test_counted_runs_over_batches():
     import pyarrow as pa
 
