@@ -104,7 +104,7 @@ def similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "er_largest_blocks",
-    """WITH n AS (SELECT split_part(p_name, ' ', 1) AS key, count(DISTINCT p_name) AS c FROM part GROUP BY 1), t AS (SELECT left(p_type, 3) AS key, count(*) AS c FROM part GROUP BY 1)
+    """WITH n AS (SELECT split_part(p_name, ' ', 1) AS key, count(DISTINCT p_name) AS c FROM part GROUP BY 1)
 (SELECT 'word' AS rule, key, c AS n_left, c AS n_right, c * c AS n_pairs FROM n ORDER BY n_pairs DESC, key LIMIT 5)""",
 )
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
