@@ -1,4 +1,4 @@
-"""The eleven queries of this subpackage, each over its whole table, and their SQL where SQL can express them."""
+"""The queries of this subpackage, each over its whole table, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -13,7 +13,9 @@ from tesserae.llm.language_id import op10
 from tesserae.llm.line_dedup import OP8_SQL, op8
 from tesserae.llm.ngram_join import op2
 from tesserae.llm.packing import op6
+from tesserae.llm.periodic import op12
 from tesserae.llm.secrets import op5
+from tesserae.llm.substring_dedup import OP11_SQL, op11
 from tesserae.llm.token_counts import op4
 from tesserae.llm.warc import OP7_SQL, op7
 from tesserae.session import ship, table
@@ -45,6 +47,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": _over("documents", op8),
         "op10_language_id": _over("documents", op10),
         "op9_bpe": _over("documents", op9, tokenizer=True),
+        "op11_substring_dedup": _over("documents", op11),
+        "op12_periodic_runs": _over("documents", op12),
     }
 
 
@@ -53,4 +57,5 @@ def oracle_sql() -> dict[str, str]:
         "op1_exact_dedup": OP1_SQL,
         "op7_warc": OP7_SQL,
         "op8_line_dedup": OP8_SQL,
+        "op11_substring_dedup": OP11_SQL,
     }
