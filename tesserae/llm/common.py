@@ -66,14 +66,29 @@ def rounds(batch: pa.RecordBatch, text: int = 1, most: int = 1 << 20) -> Iterato
 Batches = Iterator[pa.RecordBatch]
 
 
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
     """A batch function that gives freed memory back to the system when a task is done, as workers stay for the next ones."""
 
     @wraps(run)
     def tidied(batches: Batches) -> Batches:
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-            trim(0)
+        _give_back()
 
     return tidied
+
+
+def tidied(run: Callable[..., pa.Table]) -> Callable[..., pa.Table]:
+    """A function of a group's table that gives freed memory back to the system after each group."""
+
+    def tidy_run(*tables: pa.Table) -> pa.Table:
+        out = run(*tables)
+        _give_back()
+        return out
+
+    return (lambda table: tidy_run(table)) if run.__code__.co_argcount == 1 else (lambda left, right: tidy_run(left, right))

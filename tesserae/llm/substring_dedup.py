@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tesserae.llm.common import id_of, rounds, row_hash, slots, text_of, tidy
+from tesserae.llm.common import id_of, rounds, row_hash, slots, text_of, tidied, tidy
 from tesserae.llm.packed import cuts, joined, mix, pack, range_of, unpack
 from tesserae.session import written
 
 #: Words in a window.
 WINDOW = 13
 #: Bytes of text in a reference block, and for a range of hashes.
-BLOCK_BYTES, RANGE_BYTES = 1 << 24, 24_000_000
+BLOCK_BYTES, RANGE_BYTES = 1 << 23, 24_000_000
 
 FACTORS = T.ArrayType(T.StructType([T.StructField(c, T.LongType()) for c in ("start", "length", "source", "source_start")]))
 
@@ -117,6 +117,7 @@ def _stacked(column: pa.ChunkedArray, width: int) -> list[np.ndarray]:
 def _look_up(parts: int):
     """Of a range of hashes: the windows that a smaller document has, dealt by document."""
 
+    @tidied
     def run(table: pa.Table) -> pa.Table:
         chunks = [unpack(x.as_buffer(), np.int64) for x in table.column("entries") if x.is_valid]
         for c in chunks:
@@ -139,6 +140,7 @@ def _look_up(parts: int):
 def _parse(window: int):
     """Of a share of the documents: their factors, a row per document."""
 
+    @tidied
     def run(table: pa.Table) -> pa.Table:
         ids, rows, pos, source, at = _stacked(table.column("found"), 5)
         order = np.lexsort((pos, rows, ids))
@@ -192,15 +194,22 @@ def factors(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     return _factors(rows, parts, window)
 
 
-def _kept() -> Column:
-    kind = T.StructType([T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
-
-    @F.arrow_udf(kind)
-    def kept(text: pa.Array, factors: pa.Array) -> pa.Array:
-        codec = pa.Codec("zstd")
-        n, gone, out = [], [], []
-        for t, f in zip(text, factors):
-            data = t.as_buffer()
+@tidy
+def _squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, for the one shuffle that they take."""
+    codec = pa.Codec("zstd", compression_level=3)
+    for b, texts in (part for whole in batches for part in rounds(whole, 3)):
+        data = [len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in (t.encode() for t in texts)]
+        yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(data, pa.binary())], ["doc", "_id", "_row", "_text"])
+
+
+@tidy
+def _applied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (doc, compressed text, factors): the words outside factors."""
+    codec = pa.Codec("zstd")
+    for b, texts in (part for whole in batches for part in rounds(whole, 1)):
+        n, left, out = [], [], []
+        for data, f in zip(texts, b.column(2)):
             words = codec.decompress(data[8:], decompressed_size=int.from_bytes(data[:8], "little"), asbytes=True).split()
             n.append(len(words))
             if f.is_valid:
@@ -209,18 +218,10 @@ def _kept() -> Column:
                 np.add.at(edge, start, 1)
                 np.add.at(edge, start + length, -1)
                 words = list(compress(words, np.cumsum(edge)[:-1] == 0))
-            gone.append(n[-1] - len(words))
+            left.append(len(words))
             out.append(b" ".join(words).decode())
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], ["n_words", "n_removed", "kept"])
-
-    return kept
-
-
-@F.arrow_udf(T.BinaryType())
-def _squeezed(text: pa.Array) -> pa.Array:
-    """Texts compressed, for the one shuffle that they take."""
-    codec = pa.Codec("zstd", compression_level=3)
-    return pa.array((len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in (t.as_py().encode() for t in text)), pa.binary())
+        counts = [pa.array(n, pa.int64()), pa.array(np.array(n, np.int64) - np.array(left, np.int64))]
+        yield pa.RecordBatch.from_arrays([b.column(0), *counts, pa.array(out, pa.string())], ["doc", "n_words", "n_removed", "kept"])
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -235,10 +236,13 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
     rows, row, parts = _rows(docs, id_col, text_col)
     found = _factors(rows, parts, window)
     other = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col])
-    texts = docs.select(other.alias("doc"), id_of(id_col).alias("_id"), row.alias("_row"), _squeezed(text_of(text_col)).alias("_text"))
+    plain = docs.select(other.alias("doc"), id_of(id_col).alias("_id"), row.alias("_row"), text_of(text_col).alias("_text"))
+    doc, field = plain.schema["doc"], T.StructField
+    texts = plain.mapInArrow(_squeezed, T.StructType([doc, field("_id", T.LongType()), field("_row", T.LongType()), field("_text", T.BinaryType())]))
     # a merge join at any size: factors grow with the input and are never broadcast
     both = texts.join(found.select(F.col("id").alias("_id"), F.col("row").alias("_row"), "factors").hint("merge"), ["_id", "_row"], "left")
-    return both.select("doc", _kept()("_text", "factors").alias("_k")).select("doc", "_k.n_words", "_k.n_removed", "_k.kept")
+    schema = T.StructType([doc, field("n_words", T.LongType()), field("n_removed", T.LongType()), field("kept", T.StringType())])
+    return both.select("doc", "_text", "factors").mapInArrow(_applied, schema)
 
 
 def op11(docs: DataFrame) -> DataFrame:
@@ -250,7 +254,7 @@ def op11(docs: DataFrame) -> DataFrame:
 OP11_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
-g AS (SELECT doc_id, i, md5(array_to_string(ws[i : i + 12], ' ')) AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM d WHERE len(ws) >= 13)),
+g AS (SELECT doc_id, i, md5(win) AS win FROM (SELECT doc_id, i, string_agg(word, ' ') OVER q AS win, count(*) OVER q AS n FROM w WINDOW q AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING)) WHERE n = 13),
 f AS (SELECT win, min(doc_id) AS first FROM g GROUP BY win),
 c AS (SELECT DISTINCT doc_id, i + k AS i FROM (SELECT g.doc_id, g.i, unnest(range(13)) AS k FROM g JOIN f USING (win) WHERE f.first < g.doc_id)),
 m AS (SELECT w.doc_id, count(*) AS n_words, count(c.i) AS n_removed, coalesce(string_agg(w.word, ' ' ORDER BY w.i) FILTER (c.i IS NULL), '') AS kept FROM w LEFT JOIN c ON c.doc_id = w.doc_id AND c.i = w.i GROUP BY w.doc_id)
