@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tesserae.llm.bpe import op9
+from tesserae.llm.collocations import OP13_SQL, op13
 from tesserae.llm.exact_dedup import OP1_SQL, op1
 from tesserae.llm.fingerprints import op3
 from tesserae.llm.language_id import op10
@@ -49,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_bpe": _over("documents", op9, tokenizer=True),
         "op11_substring_dedup": _over("documents", op11),
         "op12_periodic_runs": _over("documents", op12),
+        "op13_collocations": _over("documents", op13),
     }
 
 
@@ -58,4 +60,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": OP7_SQL,
         "op8_line_dedup": OP8_SQL,
         "op11_substring_dedup": OP11_SQL,
+        "op13_collocations": OP13_SQL,
     }
