@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.session import written
+from tesserae.operators.fixpoint import reachable
 
 # Parts of key names that look like secrets, and what replaces their values.
 SECRET_KEYS = "secret token password passwd credential api_key apikey access_key auth".split()
@@ -29,31 +29,9 @@ def read_before_produce(steps: DataFrame) -> DataFrame:
     return late.join(made.select("asset", "step").distinct(), ["asset", "step"], "left_anti").select("step", "asset", "producer_no")
 
 
-#: Rounds after which the known nodes become one table.
-COMPACT = 8
-
-
 def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """Nodes that seeds (node) reach over edges (parent, child), seeds themselves left out.
-
-    Each round joins the frontier alone with the edges and drops what is known; edges and frontiers
-    are written tables, so a round never repeats an earlier one. What is known becomes one table after
-    every COMPACT rounds, so a plan has at most as many inputs however deep the graph is. It ends when
-    a round finds nothing new, as it must in any graph, cycles included.
-    """
-    edges = written(edges.select("parent", "child").filter("parent IS NOT NULL AND child IS NOT NULL").distinct(), "edges")
-    seeds = written(seeds.select("node").filter("node IS NOT NULL").distinct(), "closure")
-    known = frontier = seeds
-    done = 0
-    while True:
-        step = frontier.join(edges, F.col("node") == F.col("parent")).select(F.col("child").alias("node")).distinct()
-        frontier = written(step.join(known, "node", "left_anti"), "closure")
-        if frontier.isEmpty():
-            return known.join(seeds, "node", "left_anti")
-        known = known.union(frontier)
-        done += 1
-        if done % COMPACT == 0:
-            known = written(known, "closure")
+    """Nodes that seeds (node) reach over edges (parent, child), seeds themselves left out; see fixpoint.reachable."""
+    return reachable(edges, seeds)
 
 
 _STRING = re.compile(r'"(?:[^"\\]|\\.)*"')
@@ -113,8 +91,3 @@ def run_edges(history: DataFrame) -> DataFrame:
     ran = history.filter(F.col("skip_reason").isNull())
     one = lambda c: ran.select("run_id", "step", F.explode(c).alias("asset"), F.lit(c).alias("direction"))
     return one("consumed").unionAll(one("produced")).distinct()
-
-
-def latest_state(log: DataFrame, keys: list[str], state: str, ts: str, tie: str) -> DataFrame:
-    """The newest state of each key in an append-only log."""
-    return log.groupBy(*keys).agg(F.max_by(state, F.struct(ts, tie)).alias(state), F.max(ts).alias(ts))

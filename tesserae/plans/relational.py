@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tesserae.catalog import query
 from tesserae.functions import exprs, scalars
 from tesserae.operators import joins, reshape, windows
+from tesserae.operators.fixpoint import fixpoint
 from tesserae.session import table
 
 
@@ -369,11 +370,20 @@ def checked(spark: SparkSession, d: str) -> DataFrame:
 )
 def recursive(spark: SparkSession, d: str) -> DataFrame:
     """A recursive query over all parts: each number divided until nothing is left."""
-    table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("k")).createOrReplaceTempView("recursive_part")
-    return spark.sql(
-        """WITH RECURSIVE r(top, k, depth) MAX RECURSION LEVEL 100 AS (SELECT k, k, 0 FROM recursive_part UNION ALL SELECT top, k DIV 3, depth + 1 FROM r WHERE k > 0)
-SELECT top, max(depth) AS depth, count(*) AS n, sum(k) AS total FROM r GROUP BY top"""
-    )
+    base = table(spark, d, "part").select(F.col("p_partkey").cast("long").alias("top"), F.col("p_partkey").cast("long").alias("k"), F.lit(0).alias("depth"))
+    all_of = fixpoint(base, lambda last: last.filter("k > 0").selectExpr("top", "k DIV 3 AS k", "depth + 1 AS depth"), distinct=False)
+    return all_of.groupBy("top").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
+
+
+@query(
+    "set_recursive_union",
+    """WITH RECURSIVE m(k) AS (SELECT c_custkey FROM customer UNION SELECT CASE WHEN k % 2 = 0 THEN k // 2 ELSE 3 * k + 1 END FROM m WHERE k > 1 AND k < 1000000000) SELECT count(*) AS n, max(k) AS largest, CAST(sum(k) AS BIGINT) AS total FROM m""",
+)
+def recursive_union(spark: SparkSession, d: str) -> DataFrame:
+    """All numbers that a rule of unknown depth meets from the customers' keys on, each once."""
+    step = lambda last: last.filter("k > 1 AND k < 1000000000").selectExpr("IF(k % 2 = 0, k DIV 2, 3 * k + 1) AS k")
+    met = fixpoint(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k")), step)
+    return met.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("largest"), F.sum("k").alias("total"))
 
 
 @query(
