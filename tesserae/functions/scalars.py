@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 _FIRST, _LAST = 0xA0, 0x24F
 
 
-def _accent_map() -> tuple[str, str]:
+def accent_map() -> tuple[str, str]:
     """Letters of the range that decompose to one base letter and marks, and those base letters."""
     pairs = []
     for code in range(_FIRST, _LAST + 1):
@@ -25,7 +25,7 @@ def _accent_map() -> tuple[str, str]:
 
 def strip_accents(col: Column) -> Column:
     """Letters without their accents: é → e; ß, ł and ø stay."""
-    return F.regexp_replace(F.translate(col, *_accent_map()), r"\p{Mn}", "")
+    return F.regexp_replace(F.translate(col, *accent_map()), r"\p{Mn}", "")
 
 
 def search_corpus(*cols: Column) -> Column:

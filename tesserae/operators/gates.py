@@ -50,15 +50,43 @@ def count_agreement(a: DataFrame, b: DataFrame) -> DataFrame:
     return n(a, "n_a").crossJoin(n(b, "n_b")).filter("n_a != n_b")  # one row each
 
 
+def java_pattern(pattern: str) -> str:
+    """A contract's pattern for Spark: an unescaped `$` outside a class is the end of the text alone, not of a last line."""
+    out, k, within = "", 0, False
+    while k < len(pattern):
+        c = pattern[k]
+        k += 1
+        if c == "\\":
+            out, k = out + pattern[k - 1 : k + 1], k + 1
+        elif within:
+            within = c != "]"
+            out += "\\" + c if c in "[&" else c  # these two mean more in a class of Spark's patterns
+        elif c == "[":
+            within = True
+            if pattern[k : k + 1] == "^":
+                c, k = "[^", k + 1
+            if pattern[k : k + 1] == "]":  # first in a class it stands for itself
+                c, k = c + "\\]", k + 1
+            out += c
+        else:
+            out += r"\z" if c == "$" else c
+    return out
+
+
+def _as_text(value: object) -> str:
+    """A JSON value as a column's text has it: true and false, numbers as they are, texts without quotes."""
+    return value if isinstance(value, str) else json.dumps(value)
+
+
 def _rejects(col: Column, rule: Mapping) -> list[tuple[Column, str]]:
     """Conditions on a value as text that a column rule refuses, with their messages; keywords without force are left out."""
     out = []
     if "enum" in rule:
-        out.append((~col.isin([str(v) for v in rule["enum"]]), "not in the list"))
+        out.append((~col.isin([_as_text(v) for v in rule["enum"]]), "not in the list"))
     if "const" in rule:
-        out.append((col != str(rule["const"]), "not the constant"))
+        out.append((col != _as_text(rule["const"]), "not the constant"))
     if "pattern" in rule:
-        out.append((~col.rlike(rule["pattern"].replace("$", r"\z") if rule["pattern"].endswith("$") else rule["pattern"]), "does not match"))
+        out.append((~col.rlike(java_pattern(rule["pattern"])), "does not match"))
     if "minLength" in rule:
         out.append((F.length(col) < rule["minLength"], "too short"))
     if "maxLength" in rule:

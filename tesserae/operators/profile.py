@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import warnings
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -66,6 +66,59 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
     return df.groupBy(F.col(col).alias("value")).agg(F.count(F.lit(1)).alias("n_rows")).orderBy(F.col("n_rows").desc(), F.col("value").asc_nulls_last()).limit(n)
 
 
+#: Values that a frequency sketch follows for each column, and the accuracy of quantiles (one over the share of ranks they may be off).
+FOLLOWED, ACCURACY = 10_000, 10_000
+
+
+def sketch(df: DataFrame, top: int = 10, quantiles: Sequence[float] = (0.25, 0.5, 0.75), followed: int = FOLLOWED, accuracy: int = ACCURACY, max_enum: int = 20) -> DataFrame:
+    """Frequent values, quantiles and observed constraints of all flat columns from one pass of mergeable sketches.
+
+    (column_name, n_values, frequent, frequent_error, quantiles, constraints). frequent: the `top` values as text with
+    their counts, most first, then by value; a count is off by frequent_error at most, which is 0 where the column has
+    no more values than the sketch follows, and every value of a greater true count than the last one's and the error
+    is listed. quantiles: of numbers alone, values whose rank is off by n / accuracy at most. constraints: what all
+    rows satisfy: required, minimum and maximum of numbers, minLength and maxLength of texts, and enum, the sorted
+    values, where there are max_enum at most. Tasks send sketches of a fixed size for each column; no column is
+    shuffled. Nulls count nowhere; a column without values has neither frequent values nor bounds.
+    """
+    cols = _flat(df)
+    n_top = max(top, max_enum + 1)
+    aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
+    size = 1 << max(3, (int(followed / 0.75) - 1).bit_length())  # places of the sketch's table
+    for k, c in enumerate(cols):
+        x, kind = F.col(f"`{c}`"), df.schema[c].dataType
+        number = isinstance(kind, T.NumericType)
+        plain = F.expr(f"approx_top_k(CAST(`{c}` AS STRING), {n_top}, {followed}) FILTER (WHERE `{c}` IS NOT NULL)")
+        aggs += [
+            F.count(x).alias(f"n{k}"),
+            plain.alias(f"t{k}"),
+            F.approx_count_distinct(x).alias(f"d{k}"),
+            (F.percentile_approx(x.cast("double"), list(quantiles), accuracy) if number else F.max(F.lit(None).cast("array<double>"))).alias(f"q{k}"),
+            F.min(x if number else F.length(x.cast("string"))).cast("double").alias(f"a{k}"),
+            F.max(x if number else F.length(x.cast("string"))).cast("double").alias(f"b{k}"),
+        ]
+        listed = F.coalesce(F.col(f"t{k}"), F.array().cast("array<struct<item:string,count:bigint>>"))
+        ordered = F.array_sort(F.transform(listed, lambda s: F.struct((-s["count"]).alias("count"), s["item"].alias("value"))))
+        frequent = F.transform(F.slice(ordered, 1, top), lambda s: F.struct(s["value"].alias("value"), (-s["count"]).alias("n_rows")))
+        # the sketch drops values only when its table is fuller than three quarters; its counts are then off by 3.5 / size of n at most
+        exact = (F.aggregate(listed, F.lit(0).cast("long"), lambda s, x: s + x["count"]) == F.col(f"n{k}")) | (F.col(f"d{k}") < F.lit(int(size * 0.6)))
+        error = F.when(exact, F.lit(0)).otherwise(F.ceil(F.lit(3.5 / size) * F.col(f"n{k}"))).cast("long")
+        few = exact & (F.size(listed) <= max_enum) & (F.size(listed) > 0)
+        bound = lambda name, col, on: F.when(F.lit(on), F.col(col)).alias(name)
+        constraints = F.struct(
+            (F.col(f"n{k}") == F.col("_rows")).alias("required"),
+            bound("minimum", f"a{k}", number),
+            bound("maximum", f"b{k}", number),
+            F.when(F.lit(not number), F.col(f"a{k}").cast("int")).alias("minLength"),
+            F.when(F.lit(not number), F.col(f"b{k}").cast("int")).alias("maxLength"),
+            F.when(few, F.array_sort(F.transform(listed, lambda s: s["item"]))).alias("enum"),
+        )
+        structs.append(
+            F.struct(F.lit(c).alias("column_name"), F.col(f"n{k}").alias("n_values"), frequent.alias("frequent"), error.alias("frequent_error"), F.col(f"q{k}").alias("quantiles"), constraints.alias("constraints"))
+        )
+    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+
+
 def infer_semantic_types(df: DataFrame, threshold: float = 0.95, rules: list[tuple[str, str]] | None = None) -> DataFrame:
     """The first rule that at least `threshold` of a column's values match, from one pass: (column_name, semantic_type, share)."""
     rules = rules or SEMANTIC
@@ -91,9 +144,11 @@ def stored(df: DataFrame, path: str) -> dict:
     return {"path": path.rstrip("/").rsplit("/", 1)[-1], "bytes": one["bytes"], "hash": f"sha256:{digest}"}
 
 
-def describe(df: DataFrame, name: str, overrides: Mapping | None = None, path: str | None = None) -> str:
+def describe(df: DataFrame, name: str, overrides: Mapping | None = None, path: str | None = None, observed: bool = False) -> str:
     """A dataset descriptor as JSON with sorted keys: inferred fields, curated overrides on top, the engine's stamp last.
 
+    With observed, each field's constraints hold what all rows satisfy (sketch) besides `required`.
+
     Where the path of the stored table is given, the resource has its size and digest too.
 
     overrides: title, resource {…}, fields {column: {…}}, primaryKey [], foreignKeys []. Overrides of
@@ -102,11 +157,12 @@ def describe(df: DataFrame, name: str, overrides: Mapping | None = None, path: s
     overrides = dict(overrides or {})
     kinds = {r["column_name"]: r["semantic_type"] for r in infer_semantic_types(df).collect()}
     cards = {r["column_name"]: r for r in profile(df).collect()}
+    seen = {r["column_name"]: {k: v for k, v in r["constraints"].asDict().items() if v is not None} for r in sketch(df).collect()} if observed else {}
     fields = []
     for f in df.schema.fields:
         entry = {"name": f.name, "type": f.dataType.simpleString()}
         if f.name in cards:
-            entry |= {"semantic_type": kinds[f.name], "constraints": {"required": cards[f.name]["n_nulls"] == 0}}
+            entry |= {"semantic_type": kinds[f.name], "constraints": {"required": cards[f.name]["n_nulls"] == 0} | seen.get(f.name, {})}
         fields.append(entry | dict(overrides.get("fields", {}).get(f.name, {})))
     for stale in sorted(set(overrides.get("fields", {})) - set(df.columns)):
         warnings.warn(f"override of a column that is not there: {stale}", stacklevel=2)

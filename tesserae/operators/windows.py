@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,9 +47,44 @@ def minmax_scale(df: DataFrame, cols: Sequence[str], suffix: str = "_scaled") ->
     return out.drop(*[f"_{n}_{c}" for c in cols for n in ("lo", "hi")])
 
 
+#: Bits of a hash that one count of ranges tells apart, and rows that the last range is sorted with.
+RANGE_BITS, LAST_ROWS = 16, 10_000
+
+
 def seeded_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
-    """n rows with the smallest seeded hashes of a key: the same rows whatever the layout."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    """n rows with the smallest seeded hashes of a key, all if there are fewer: the same rows whatever the layout.
+
+    Rows of equal hashes follow each other by a hash of all their columns. The n-th hash is found from counts by hash
+    range, at most 2**RANGE_BITS of which reach the driver at a time: ranges below it go whole, and the one that holds
+    it is counted again more finely until it has LAST_ROWS rows at most, which alone are sorted. Of rows that are equal
+    in all columns any will do, as they are one another's copies. No task gets all n rows.
+    """
+    if n < 1:
+        return df.limit(0)
+    flip = F.lit(-(1 << 63)).cast("long")  # signed order as unsigned ranges
+    rows = df.withColumns({"_h0": F.xxhash64(F.col(f"`{key}`"), F.lit(seed)).bitwiseXOR(flip), "_h1": F.xxhash64(*[F.col(f"`{c}`") for c in df.columns], F.lit(seed)).bitwiseXOR(flip)})
+    taken, left, place = [], n, F.lit(True)
+    for k in range(128 // RANGE_BITS):
+        bits = F.shiftrightunsigned(f"_h{k * RANGE_BITS // 64}", 64 - RANGE_BITS - k * RANGE_BITS % 64).bitwiseAND(F.lit((1 << RANGE_BITS) - 1).cast("long"))
+        at, count = None, 0
+        for r in sorted(rows.filter(place).groupBy(bits.alias("range")).count().collect()):  # at most 2**RANGE_BITS
+            if r["count"] >= left:
+                at, count = r["range"], r["count"]
+                break
+            left -= r["count"]
+        if at is None:
+            taken.append(place)
+            left = 0
+            break
+        taken.append(place & (bits < at))
+        place = place & (bits == at)
+        if count <= LAST_ROWS or count == left:
+            break
+    whole = rows.filter(reduce(lambda a, b: a | b, taken))
+    if left:
+        last = rows.filter(place)
+        whole = whole.unionByName(last if count == left else last.orderBy("_h0", "_h1").limit(left))
+    return whole.drop("_h0", "_h1")
 
 
 def surrogate_id(df: DataFrame, natural: Sequence[str], into: str = "row_id") -> DataFrame:

@@ -137,7 +137,8 @@ _FIELDS = [{"name": "c_custkey", "type": "integer"}, {"name": "c_acctbal", "type
 @query(
     "src_resources",
     "SELECT 'nation' AS name, (SELECT count(*) FROM nation) AS n, 'int' AS kind, (SELECT sum(n_nationkey) FROM nation) AS total UNION ALL "
-    + " UNION ALL ".join(f"SELECT '{f}', (SELECT count(*) FROM customer), '{k}', (SELECT sum(c_custkey) FROM customer)" for f, k in (("csv", "bigint"), ("tsv", "bigint"), ("ndjson", "bigint"), ("json", "bigint"))),
+    + " UNION ALL ".join(f"SELECT '{f}', (SELECT count(*) FROM customer), '{k}', (SELECT sum(c_custkey) FROM customer)" for f, k in (("csv", "bigint"), ("tsv", "bigint"), ("ndjson", "bigint")))
+    + " UNION ALL SELECT 'json', (SELECT count(*) FROM nation), 'bigint', (SELECT sum(n_nationkey) FROM nation)",
 )
 def resources(spark: SparkSession, d: str) -> DataFrame:
     """Resources of each format by descriptor, with declared types; a format that is not known is left out."""
@@ -145,7 +146,8 @@ def resources(spark: SparkSession, d: str) -> DataFrame:
     rows.write.option("header", True).csv(at["csv"])
     rows.write.option("header", True).option("sep", "\t").csv(at["tsv"])
     rows.write.json(at["ndjson"])
-    rows.agg(F.to_json(F.collect_list(F.struct(*rows.columns))).alias("value")).write.text(at["json"])
+    few = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_custkey"), F.lit(1.5).alias("c_acctbal"), F.col("n_name").alias("c_mktsegment"))
+    few.agg(F.to_json(F.collect_list(F.struct(*few.columns))).alias("value")).write.text(at["json"])  # one array of 25 rows
     listed = [{"name": "nation", "path": f"{d}/nation.parquet", "format": "parquet"}, {"name": "sheet", "path": "x.xlsx"}] + [{"name": f, "path": p, "format": f, "schema": {"fields": _FIELDS}} for f, p in at.items()]
     found, _ = readers.load_resources(spark, {"resources": listed}, "")
     out = []
@@ -159,7 +161,7 @@ def resources(spark: SparkSession, d: str) -> DataFrame:
 def any_reader(spark: SparkSession, d: str) -> DataFrame:
     """Rows that each plain reader finds in a file for each nation."""
     path = fresh_path(spark, "ndjson")
-    table(spark, d, "customer").coalesce(1).write.partitionBy("c_nationkey").json(path)
+    table(spark, d, "customer").repartition("c_nationkey").write.partitionBy("c_nationkey").json(path)  # a file for each nation
     counts = [readers.read_any(spark, k, f"{path}/*").agg(F.count(F.lit(1)).alias("n")).select(F.lit(k).alias("reader"), "n") for k in ("json", "json_objects", "text", "blob")]
     return reshape.union_by_name(*counts)
 
@@ -247,3 +249,37 @@ def receipt(spark: SparkSession, d: str) -> DataFrame:
     path = fresh_path(spark, "published")
     table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_nationkey").select("n_name").write.text(path)
     return sinks.receipt(spark, path, "2025-01-01", "pub/").filter(F.col("name").endswith(".txt")).select("bytes", "sha256", "as_of", "key")
+
+
+@query("sink_row_groups", "SELECT c_nationkey, CAST(g AS INTEGER) AS row_group, least(16, n - 16 * g) AS n_rows FROM (SELECT c_nationkey, count(*) AS n, unnest(range(0, (count(*) + 15) // 16)) AS g FROM customer GROUP BY c_nationkey)")
+def row_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of each row group of a file for each nation, at most 16, as the footers have them."""
+    ship(spark)
+    path = fresh_path(spark, "groups")
+    sinks.write_partitioned(table(spark, d, "customer").repartition("c_nationkey"), path, ["c_nationkey"], row_group_rows=16)
+    return readers.row_groups(spark, path).select(F.regexp_extract("path", "/c_nationkey=([0-9]+)/", 1).cast("int").alias("c_nationkey"), "row_group", "n_rows")
+
+
+@query("sink_sized", "SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, TRUE AS within, TRUE AS as_planned FROM orders GROUP BY 1")
+def sized(spark: SparkSession, d: str) -> DataFrame:
+    """Orders by status in files of a target size: what is read back, whether files have half to one and a half times it, and the planned number."""
+    ship(spark)
+    path, target = fresh_path(spark, "sized"), 24_000
+    orders = table(spark, d, "orders")
+    plan = sinks.write_sized(orders, path, target, ["o_orderstatus"], ["o_orderkey"])
+    status = F.regexp_extract("path", "/o_orderstatus=([^/]+)/", 1).alias("o_orderstatus")
+    files = readers.row_groups(spark, path).groupBy(status, "path").agg(F.sum("bytes").alias("bytes")).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("made"), F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+    rows = spark.read.parquet(path).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
+    within = (F.col("most") <= 1.5 * target) & ((F.col("least") >= 0.5 * target) | (F.col("made") == 1))
+    return rows.join(files, "o_orderstatus").join(plan, "o_orderstatus").select("o_orderstatus", "n", "keys", within.alias("within"), (F.col("made") == F.col("n_files")).alias("as_planned"))
+
+
+@query("src_glob", f"SELECT 'r=' || r AS folder, bytes, sha256 FROM ({_LINES_SQL.format('n_regionkey')}) WHERE r BETWEEN 1 AND 3")
+def glob(spark: SparkSession, d: str) -> DataFrame:
+    """Sizes and digests of the files that a glob finds below nested folders."""
+    ship(spark)
+    path = fresh_path(spark, "nested")
+    rows = table(spark, d, "nation").coalesce(1).sortWithinPartitions("n_regionkey", "n_nationkey").select("n_name", (F.col("n_regionkey") % 2).alias("p"), F.col("n_regionkey").alias("r"))
+    rows.write.partitionBy("p", "r").text(path)
+    found = readers.file_manifest(spark, f"{path}/**/r=[1-3]/*.t?t")
+    return found.select(F.regexp_extract("path", "/(r=[0-9]+)/", 1).alias("folder"), "bytes", "sha256")

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.catalog import query
-from tesserae.operators import fingerprint, gates, lineage, profile
+from tesserae.operators import fingerprint, gates, lineage, packages, profile, reshape
 from tesserae.session import fresh_path, ship, table
-from tesserae.streaming.streams import latest_states, save_bursts
+from tesserae.streaming.streams import STATE_STORE, latest_states, save_bursts
+from tesserae.streaming.streams import debounced as debounced_log
 
 _EXPECTED = {"customer": 1500, "supplier": 60, "part": 3000}
 
@@ -37,17 +38,57 @@ def golden(spark: SparkSession, d: str) -> DataFrame:
     return gates.golden_missing(table(spark, d, "nation"), spark.createDataFrame(_GOLDEN, "n_nationkey int, n_name string, n_regionkey int"))
 
 
-_CONTRACT = {"properties": {"o_orderstatus": {"enum": ["F", "O"]}, "o_orderpriority": {"pattern": "^[1-5]-[A-Z ]+$", "maxLength": 8}, "o_orderkey": {"minLength": 3, "maximum": 10}, "o_custkey": {"type": "string"}}}
+_CONTRACT = {
+    "properties": {
+        "o_orderstatus": {"enum": ["F", "O"]},
+        "o_orderpriority": {"pattern": "^[1-5]-[A-Z ]+$", "maxLength": 8},
+        "o_orderkey": {"minLength": 3, "maximum": 10},
+        "o_custkey": {"type": "string"},
+        "price": {"pattern": r"^\$[1-9][0-9]*$"},
+        "code": {"pattern": "^[^$]+[$][FO]$"},
+        "large": {"enum": [True]},
+        "one": {"const": 1},
+    }
+}
+_CONTRACT_SQL = [
+    ("o_orderstatus", "o_orderstatus", {"not in the list": "o_orderstatus NOT IN ('F', 'O')"}),
+    ("o_orderpriority", "o_orderpriority", {"does not match": "NOT regexp_matches(o_orderpriority, '^[1-5]-[A-Z ]+$')", "too long": "length(o_orderpriority) > 8"}),
+    ("o_orderkey", "CAST(o_orderkey AS VARCHAR)", {"too short": "o_orderkey < 100"}),
+    ("o_custkey", "CAST(o_custkey AS VARCHAR)", {}),
+    ("price", "'$' || o_custkey % 7", {"does not match": "o_custkey % 7 = 0"}),
+    ("code", "CASE WHEN o_custkey % 3 = 0 THEN '$' ELSE 'c' END || o_custkey || '$' || o_orderstatus", {"does not match": "o_custkey % 3 = 0 OR o_orderstatus = 'P'"}),
+    ("large", "CASE WHEN o_custkey > 500 THEN 'true' ELSE 'false' END", {"not in the list": "NOT o_custkey > 500"}),
+    ("one", "CAST(o_custkey % 2 AS VARCHAR)", {"not the constant": "o_custkey % 2 != 1"}),
+]
 
 
 @query(
     "gate_contract",
-    """WITH r AS (SELECT 'o_orderstatus' AS column_name, o_orderstatus AS v, o_orderstatus NOT IN ('F', 'O') AS bad FROM orders UNION ALL SELECT 'o_orderpriority', o_orderpriority, NOT regexp_matches(o_orderpriority, '^[1-5]-[A-Z ]+$') OR length(o_orderpriority) > 8 FROM orders
-UNION ALL SELECT 'o_orderkey', CAST(o_orderkey AS VARCHAR), length(CAST(o_orderkey AS VARCHAR)) < 3 FROM orders UNION ALL SELECT 'o_custkey', CAST(o_custkey AS VARCHAR), FALSE FROM orders)
-SELECT column_name, count(v) AS total, count(*) FILTER (bad) AS rejects FROM r GROUP BY 1""",
+    "WITH r AS ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS column_name, {v} AS v, CASE " + "".join(f"WHEN {c} THEN '{m}' " for m, c in bad.items()) + "WHEN FALSE THEN '' END AS m FROM orders" for n, v, bad in _CONTRACT_SQL)
+    + ") SELECT column_name, count(v) AS total, count(m) AS rejects, min(v || ': ' || m) AS sample_message FROM r GROUP BY 1",
 )
 def contract(spark: SparkSession, d: str) -> DataFrame:
-    return gates.validate_contract(table(spark, d, "orders"), _CONTRACT).select("column_name", "total", "rejects")
+    """Rules of each kind: lists and constants that are no texts, dollar signs that are escaped, in classes, and the end."""
+    k = F.col("o_custkey")
+    text = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    orders = table(spark, d, "orders").withColumns(
+        {
+            "price": F.concat(F.lit("$"), text(k % 7)),
+            "code": F.concat(F.when(k % 3 == 0, "$").otherwise("c"), text(k), F.lit("$"), "o_orderstatus"),
+            "large": k > 500,
+            "one": k % 2,
+        }
+    )
+    return gates.validate_contract(orders, _CONTRACT)
+
+
+@query("packaged_operator", "SELECT 'c_acctbal' AS column_name, count(c_acctbal) AS total, 0 AS rejects FROM customer UNION ALL SELECT 'c_mktsegment', count(*), count(*) FILTER (length(c_mktsegment) > 8) FROM customer")
+def packaged(spark: SparkSession, d: str) -> DataFrame:
+    """A contract check named by operator and version, with its options as data."""
+    check = packages.operator("validate_contract@^1.1")
+    out = check({"df": table(spark, d, "customer")}, {"contract": {"properties": {"c_mktsegment": {"maxLength": 8}, "c_acctbal": {"minimum": 0}}}})
+    return out.select("column_name", "total", "rejects")
 
 
 # what a contract derived from the parts of some sizes says of all parts: values that are not listed, or lengths beyond those seen
@@ -110,6 +151,33 @@ def top(spark: SparkSession, d: str) -> DataFrame:
     return profile.top_values(table(spark, d, "part"), "p_name")
 
 
+_SKETCHED = ("o_orderstatus", "o_orderpriority", "o_totalprice")
+
+
+@query(
+    "profile_sketch",
+    "WITH v AS ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value, count(*) AS n FROM orders WHERE {c} IS NOT NULL GROUP BY 2" for c in _SKETCHED[:2])
+    + """), f AS (SELECT column_name, value, n, row_number() OVER (PARTITION BY column_name ORDER BY n DESC, value) AS k FROM v)
+SELECT column_name, 'frequent ' || k AS fact, value, n AS n_rows FROM f WHERE k <= 10 UNION ALL SELECT column_name, 'enum', string_agg(value, ',' ORDER BY value), sum(n)::BIGINT FROM v GROUP BY 1
+UNION ALL SELECT 'o_totalprice', 'quantile', CAST(round(unnest(quantile_disc(o_totalprice, [0.25, 0.5, 0.75])) * 100) AS BIGINT)::VARCHAR, count(o_totalprice) FROM orders
+UNION ALL SELECT 'o_totalprice', 'bounds', CAST(round(min(o_totalprice) * 100) AS BIGINT) || '-' || CAST(round(max(o_totalprice) * 100) AS BIGINT), count(o_totalprice) FROM orders""",
+)
+def sketched(spark: SparkSession, d: str) -> DataFrame:
+    """Frequent values, quantiles, bounds and lists of values from one pass; with so few values and so fine a sketch they are exact."""
+    one = profile.sketch(table(spark, d, "orders").select(*_SKETCHED), accuracy=1_000_000)
+    cents = lambda x: F.round(x * 100).cast("long").cast("string")
+    c = F.col("constraints")
+    frequent = one.filter("column_name != 'o_totalprice'").select("column_name", F.posexplode("frequent").alias("k", "f"))
+    facts = [
+        frequent.select("column_name", F.concat(F.lit("frequent "), (F.col("k") + 1).cast("string")).alias("fact"), "f.value", "f.n_rows"),
+        one.filter(c["enum"].isNotNull()).select("column_name", F.lit("enum").alias("fact"), F.array_join(c["enum"], ",").alias("value"), F.col("n_values").alias("n_rows")),
+        one.select("column_name", F.lit("quantile").alias("fact"), F.explode("quantiles").alias("q"), "n_values").select("column_name", "fact", cents(F.col("q")).alias("value"), F.col("n_values").alias("n_rows")),
+        one.filter(c["minimum"].isNotNull()).select("column_name", F.lit("bounds").alias("fact"), F.concat_ws("-", cents(c["minimum"]), cents(c["maximum"])).alias("value"), F.col("n_values").alias("n_rows")),
+    ]
+    return reshape.union_by_name(*facts)
+
+
 _SHARES = {"page_id": ("integer", "^[+-]?[0-9]+$"), "url": ("url", "^https?://[^ ]+$"), "html": ("boolean", "^(true|false)$")}
 
 
@@ -135,27 +203,71 @@ def descriptor(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, semantic_type string, required boolean, title string, bytes long, hash string")
 
 
-# the count and the sums of four numbers of 15 hexadecimal digits from each row's digest, hashed
-_PRINT_SQL = "sha256(CAST(count(*) AS VARCHAR) || " + " || ".join(f"':' || CAST(coalesce(sum(CAST('0x' || substr(h, {15 * k + 1}, 15) AS BIGINT)), 0) AS VARCHAR)" for k in range(4)) + ")"
+# a digest tree over rows (k, h): leaves by the first 0, 2 or 4 digits of h, 256 nodes to one
+_PRINT_SQL = """n AS (SELECT k, count(*) AS n_rows, CASE WHEN count(*) <= 4096 THEN 0 WHEN count(*) <= 4096 * 256 THEN 2 ELSE 4 END AS digits FROM h GROUP BY k),
+c AS (SELECT k, h || ':' || count(*) AS e, h FROM h GROUP BY k, h),
+l AS (SELECT k, n_rows, digits, substr(h, 1, digits) AS b, sha256(string_agg(e, ',' ORDER BY e)) AS d FROM c JOIN n USING (k) GROUP BY ALL),
+u AS (SELECT k, n_rows, greatest(digits - 2, 0) AS digits, CASE WHEN digits = 0 THEN '' ELSE substr(b, 1, digits - 2) END AS b, CASE WHEN digits = 0 THEN max(d) ELSE sha256(string_agg(b || ':' || d, ',' ORDER BY b)) END AS d FROM l GROUP BY k, n_rows, digits, CASE WHEN digits = 0 THEN '' ELSE substr(b, 1, digits - 2) END),
+p AS (SELECT k, n_rows, sha256(n_rows || ':' || CASE WHEN digits = 0 THEN max(d) ELSE sha256(string_agg(b || ':' || d, ',' ORDER BY b)) END) AS fingerprint FROM u GROUP BY k, n_rows, digits)"""
 
 
 @query(
     "fp_table",
-    f"""SELECT count(*) AS n_rows, {_PRINT_SQL} AS fingerprint, {_PRINT_SQL} AS other FROM (SELECT sha256('{{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_returnflag":"' || l_returnflag || '","l_suppkey":' || l_suppkey || '}}') AS h FROM lineitem)""",
+    f"""WITH h AS (SELECT 1 AS k, sha256('{{"l_linenumber":' || l_linenumber || ',"l_orderkey":' || l_orderkey || ',"l_returnflag":"' || l_returnflag || '","l_suppkey":' || l_suppkey || '}}') AS h FROM lineitem), {_PRINT_SQL} SELECT n_rows, fingerprint FROM p""",
 )
 def table_print(spark: SparkSession, d: str) -> DataFrame:
-    """The fingerprint of a table's columns, and that of the same rows in another order and layout."""
-    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag")
-    a = fingerprint.table_fingerprint(rows)
-    b = fingerprint.table_fingerprint(rows.repartition(7).select(*reversed(rows.columns))).select(F.col("fingerprint").alias("other"))
-    return a.crossJoin(b).select("n_rows", "fingerprint", "other")  # one row each
+    return fingerprint.table_fingerprint(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag"))
+
+
+_TWO_SQL = """a AS (SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 50 != 1), b AS (SELECT o_orderkey, CASE WHEN o_orderkey % 40 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 60 != 1 UNION ALL SELECT o_orderkey, o_orderstatus, o_custkey FROM orders WHERE o_orderkey % 70 = 3)"""
+
+
+def two_versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Two versions of the orders: rows removed, changed and repeated."""
+    orders, k = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey"), F.col("o_orderkey")
+    changed = orders.filter(k % 60 != 1).withColumn("o_orderstatus", F.when(k % 40 == 0, "X").otherwise(F.col("o_orderstatus")))
+    return orders.filter(k % 50 != 1), changed.unionByName(orders.filter(k % 70 == 3))
+
+
+@query(
+    "fp_differing_buckets",
+    f"""WITH {_TWO_SQL}, j AS (SELECT 1 AS t, * FROM a UNION ALL SELECT 2, * FROM b), h AS (SELECT t, sha256('{{"o_custkey":' || o_custkey || ',"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}}') AS h FROM j),
+c AS (SELECT t, h, count(*) AS c FROM h GROUP BY ALL), l AS (SELECT t, substr(h, 1, 4) AS bucket, sum(c)::BIGINT AS n, sha256(string_agg(h || ':' || c, ',' ORDER BY h)) AS d FROM c GROUP BY ALL)
+SELECT coalesce(x.bucket, y.bucket) AS bucket, coalesce(x.n, 0) AS n_a, coalesce(y.n, 0) AS n_b FROM (SELECT * FROM l WHERE t = 1) x FULL JOIN (SELECT * FROM l WHERE t = 2) y ON x.bucket = y.bucket WHERE x.d IS DISTINCT FROM y.d""",
+)
+def differing(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprint.differing_buckets(*two_versions(spark, d), 4)
+
+
+@query(
+    "fp_differing_rows",
+    f"""WITH {_TWO_SQL}, x AS (SELECT *, count(*) AS n_a FROM a GROUP BY ALL), y AS (SELECT *, count(*) AS n_b FROM b GROUP BY ALL)
+SELECT o_orderkey, o_orderstatus, o_custkey, coalesce(n_a, 0) AS n_a, coalesce(n_b, 0) AS n_b FROM x FULL JOIN y USING (o_orderkey, o_orderstatus, o_custkey) WHERE n_a IS DISTINCT FROM n_b""",
+)
+def differing_rows(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprint.differing_rows(*two_versions(spark, d), 4)
+
+
+@query(
+    "fp_verified_content",
+    """WITH r AS (SELECT doc_id AS locator, sha256(text) AS actual, CASE doc_id % 5 WHEN 0 THEN upper(sha256(text)) WHEN 1 THEN ' ' WHEN 2 THEN NULL WHEN 3 THEN substr(sha256(text), 2) ELSE sha256(text || 'x') END AS declared FROM documents),
+j AS (SELECT *, CASE WHEN coalesce(trim(declared), '') = '' THEN 'blank' WHEN length(declared) < 64 THEN 'malformed' WHEN lower(declared) != actual THEN 'mismatch' END AS reason FROM r)
+SELECT locator, actual AS sha256, coalesce(reason, 'kept ' || count(*) FILTER (reason IS NULL) OVER (PARTITION BY actual)) AS verdict FROM j""",
+)
+def verified(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each declared digest: kept, with the number of kept locators of that content, or why it is refused."""
+    k, digest = F.col("doc_id") % 5, F.sha2("text", 256)
+    said = F.when(k == 0, F.upper(digest)).when(k == 1, " ").when(k == 3, F.substring(digest, 2, 63)).when(k == 4, F.sha2(F.concat("text", F.lit("x")), 256))
+    objects, locators, refused = fingerprint.verified_content(table(spark, d, "documents").withColumn("declared", said), "doc_id", "text", "declared")
+    kept = locators.join(objects, "sha256").select("locator", "sha256", F.concat(F.lit("kept "), F.col("n_locators").cast("string")).alias("verdict"))
+    return kept.unionByName(refused.select("locator", "sha256", F.col("reason").alias("verdict")))
 
 
 @query(
     "fp_dataset",
     f"""WITH f AS (SELECT 'orders/' || o_orderkey AS path, sha256(o_orderstatus) AS sha256, o_orderkey = (SELECT min(o_orderkey) FROM orders) AS first FROM orders),
-v AS (SELECT 'as it is' AS version, path, sha256 FROM f UNION ALL SELECT 'renamed', CASE WHEN first THEN 'new' ELSE path END, sha256 FROM f UNION ALL SELECT 'changed', path, CASE WHEN first THEN sha256('new') ELSE sha256 END FROM f)
-SELECT version, {_PRINT_SQL} AS fingerprint FROM (SELECT version, sha256('{{"path":"' || path || '","sha256":"' || sha256 || '"}}') AS h FROM v) GROUP BY version""",
+v AS (SELECT 'as it is' AS version, path, sha256 FROM f UNION ALL SELECT 'renamed', CASE WHEN first THEN 'new' ELSE path END, sha256 FROM f UNION ALL SELECT 'changed', path, CASE WHEN first THEN sha256('new') ELSE sha256 END FROM f),
+h AS (SELECT version AS k, sha256('{{"path":"' || path || '","sha256":"' || sha256 || '"}}') AS h FROM v), {_PRINT_SQL} SELECT k AS version, fingerprint FROM p""",
 )
 def dataset_print(spark: SparkSession, d: str) -> DataFrame:
     orders = table(spark, d, "orders")
@@ -325,3 +437,29 @@ r AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNB
 )
 def bursts(spark: SparkSession, d: str) -> DataFrame:
     return save_bursts(log(spark, d).filter("kind = 'save'"), "user_id", "ts", "event_type", gap="2 hours")
+
+
+@query(
+    "stream_debounce",
+    f"""WITH {_LOG_SQL}, a AS (SELECT *, lag(event_type) OVER w AS ps, row_number() OVER w AS rn FROM log WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), b AS (SELECT * FROM a WHERE rn = 1 OR event_type IS DISTINCT FROM ps),
+c AS (SELECT *, lag(kind) OVER w AS pk, epoch_us(ts) - lag(epoch_us(ts)) OVER w AS gap FROM b WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+r AS (SELECT *, sum(CASE WHEN kind = 'save' AND pk = 'save' AND gap <= 7200000000 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS run FROM c)
+SELECT user_id, event_id, kind, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id, run ORDER BY ts DESC, event_id DESC) AS k FROM r) WHERE k = 1""",
+)
+def debounced_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The whole log as a stream, with a last row far ahead, so that the watermark passes all others."""
+    ship(spark)
+    rows = log(spark, d)
+    closing = rows.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast(rows.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr("INTERVAL 10 DAYS")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit("end").alias("event_type"), F.lit("save").alias("kind"))
+    source, out, state = (fresh_path(spark, f"stream-{x}") for x in ("in", "out", "state"))
+    rows.unionByName(closing).write.parquet(source)
+    stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, STATE_STORE)
+    try:
+        judged = debounced_log(stream, "user_id", "ts", "event_type", "kind", "event_id", gap_seconds=7_200)
+        judged.writeStream.format("parquet").option("checkpointLocation", state).trigger(availableNow=True).start(out).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+    return spark.read.schema(judged.schema).parquet(out).filter("user_id != -1").select("user_id", "event_id", "kind", "event_type")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.catalog import query
 from tesserae.functions import exprs, scalars
+from tesserae.functions.sql import define_functions, set_variables
 from tesserae.operators import joins, reshape, windows
 from tesserae.operators.fixpoint import fixpoint
 from tesserae.session import table
@@ -273,15 +276,20 @@ def place(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", exprs.position_in(F.col("o_orderstatus"), ["F", "O"]).alias("place"))
 
 
-@query("window_seeded_sample", "SELECT least(100, count(*)) AS n_rows, least(100, count(DISTINCT o_orderkey)) AS n_keys, least(100, count(*)) AS n_members, least(100, count(*)) AS n_again FROM orders")
+@query("window_seeded_sample", "SELECT n AS asked, least(n, count(*)) AS n_rows, least(n, count(*)) AS n_members, 0 AS n_passed_over, least(n, count(*)) AS n_again FROM orders, (VALUES (100), (11000), (100000000)) AS v(n) GROUP BY n")
 def sample(spark: SparkSession, d: str) -> DataFrame:
-    """The size of a sample, its keys, those of them that the table has, and those that a sample of another layout has too."""
+    """Samples of several sizes: rows, those that the table has, rows left out though their hash is smaller than one taken, and rows that a sample of another layout has too."""
     orders = table(spark, d, "orders").select("o_orderkey")
-    one = windows.seeded_sample(orders, 100, "o_orderkey")
-    other = windows.seeded_sample(orders.repartition(5), 100, "o_orderkey").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("again"))
-    known = orders.distinct().select(F.col("o_orderkey").alias("m"), F.lit(1).alias("member"))
-    rows = one.join(other, F.col("o_orderkey") == F.col("k"), "left").join(known, F.col("o_orderkey") == F.col("m"), "left")
-    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("o_orderkey").alias("n_keys"), F.count("member").alias("n_members"), F.count("again").alias("n_again"))
+    out = []
+    for n in (100, 11_000, 100_000_000):
+        one = windows.seeded_sample(orders, n, "o_orderkey").select(F.col("o_orderkey").alias("k"), F.lit(1).alias("taken"))
+        other = windows.seeded_sample(orders.repartition(5), n, "o_orderkey").select(F.col("o_orderkey").alias("j"), F.lit(1).alias("again"))
+        rows = orders.join(one, F.col("o_orderkey") == F.col("k"), "left").join(other, F.col("o_orderkey") == F.col("j"), "left")
+        hashed = rows.withColumn("h", F.xxhash64("o_orderkey", F.lit(42)))
+        most = hashed.agg(F.max(F.when(F.col("taken") == 1, F.col("h"))).alias("most"))
+        counts = hashed.crossJoin(F.broadcast(most)).agg(F.count("taken").alias("n_members"), F.count_if(F.col("taken").isNull() & (F.col("h") < F.col("most"))).alias("n_passed_over"), F.count_if((F.col("taken") == 1) & (F.col("again") == 1)).alias("n_again"))  # one row
+        out.append(one.agg(F.count(F.lit(1)).alias("n_rows")).crossJoin(counts).select(F.lit(n).alias("asked"), "*"))
+    return reshape.union_by_name(*out)
 
 
 @query("window_surrogate_id", "SELECT c_custkey, sha256('{\"c_custkey\":' || c_custkey || ',\"c_name\":\"' || c_name || '\"}') AS row_id FROM customer")
@@ -377,12 +385,11 @@ def recursive(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     "set_recursive_union",
-    """WITH RECURSIVE m(k) AS (SELECT c_custkey FROM customer UNION SELECT CASE WHEN k % 2 = 0 THEN k // 2 ELSE 3 * k + 1 END FROM m WHERE k > 1 AND k < 1000000000) SELECT count(*) AS n, max(k) AS largest, CAST(sum(k) AS BIGINT) AS total FROM m""",
+    """WITH RECURSIVE m(k) AS (SELECT c_custkey FROM customer UNION SELECT unnest([k // 3, k // 7]) FROM m WHERE k > 0) SELECT count(*) AS n, max(k) AS largest, CAST(sum(k) AS BIGINT) AS total FROM m""",
 )
 def recursive_union(spark: SparkSession, d: str) -> DataFrame:
-    """All numbers that a rule of unknown depth meets from the customers' keys on, each once."""
-    step = lambda last: last.filter("k > 1 AND k < 1000000000").selectExpr("IF(k % 2 = 0, k DIV 2, 3 * k + 1) AS k")
-    met = fixpoint(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k")), step)
+    """All numbers that two rules meet from the customers' keys on, each once."""
+    met = fixpoint(table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("k")), lambda last: last.filter("k > 0").selectExpr("explode(array(k DIV 3, k DIV 7)) AS k"))
     return met.agg(F.count(F.lit(1)).alias("n"), F.max("k").alias("largest"), F.sum("k").alias("total"))
 
 
@@ -396,3 +403,19 @@ def foreign_keys(spark: SparkSession, d: str) -> DataFrame:
     edge = lambda c, ck, p, pk, s: {"child": c, "child_key": ck, "parent": p, "parent_key": pk, "status": s}
     edges = [edge("orders", "o_custkey", "customer", "c_custkey", "accepted"), edge("supplier", "s_nationkey", "region", "r_regionkey", "proposed"), edge("customer", "c_nationkey", "nation", "n_nationkey", "accepted")]
     return joins.foreign_key_report(tables, edges)
+
+
+@query(
+    "sql_functions",
+    """SELECT o_orderkey, CAST(o_orderkey % 97 AS INTEGER) AS remainder, CAST(o_custkey AS VARCHAR) AS customer, regexp_extract(o_orderpriority, '"?([^"]*)', 1) AS priority, CAST(o_custkey * 1000 AS INTEGER) AS amount, DATE '2025-02-03' AS as_of, CAST(NULL AS VARCHAR) AS note,
+o_totalprice / nullif(o_custkey % 5, 0) AS share FROM orders WHERE o_totalprice > 100000""",
+)
+def sql_functions(spark: SparkSession, d: str) -> DataFrame:
+    """The library's scalars and session variables in a SQL text."""
+    define_functions(spark, "t_")
+    set_variables(spark, {"t_least": 100000.0, "t_as_of": datetime.date(2025, 2, 3), "t_note": ""})
+    table(spark, d, "orders").createOrReplaceTempView("t_orders")
+    return spark.sql(
+        """SELECT o_orderkey, t_mod97(' ' || o_orderkey) AS remainder, t_unpad('000' || o_custkey) AS customer, t_json_at('["' || o_orderpriority || '"]', 0) AS priority, t_thousands(o_custkey || ',000') AS amount, t_as_of AS as_of,
+CAST(t_note AS STRING) AS note, t_ratio(o_totalprice, o_custkey % 5) AS share FROM t_orders WHERE o_totalprice > t_least"""
+    )

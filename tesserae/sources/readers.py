@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
@@ -101,8 +102,6 @@ def read_archive_members(spark: SparkSession, path: str, members: Sequence[str]
     """
     if not members and not pattern:
         raise ValueError("give members or a pattern")
-    import re
-
     names, rx = set(members or ()), re.compile(pattern) if pattern else None
     unsafe = re.compile(r"\A[/\\]|\A[A-Za-z]:|(?:\A|[/\\])\.\.(?:[/\\]|\Z)")
 
@@ -200,10 +199,77 @@ def read_any(spark: SparkSession, kind: str, path: str) -> DataFrame:
     return readers[kind]()
 
 
+def _segment(glob: str) -> re.Pattern:
+    """A path segment's glob as a pattern: * and ? within the segment, [abc], [a-z] and [!abc]."""
+    out, k = "", 0
+    while k < len(glob):
+        c = glob[k]
+        end = glob.find("]", k + 2) if c == "[" else -1  # a class holds one character at least
+        if end > 0:
+            inner = glob[k + 1 : end]
+            inner, sign = (inner[1:], "^") if inner[0] in "!^" else (inner, "")
+            if inner:
+                out += f"[{sign}" + re.sub(r"([\\\[\]^&|~])", r"\\\1", inner) + "]"
+                k = end + 1
+                continue
+        out += {"*": "[^/]*", "?": "[^/]"}.get(c, re.escape(c))
+        k += 1
+    return re.compile(out + r"\Z")
+
+
+def glob_files(spark: SparkSession, glob: str) -> list[tuple[str, int, float]]:
+    """(path, bytes, seconds of the last change) of the files that a glob names, by path.
+
+    `*` and `?` stay within a path segment, `[a-c]` and `[!a-c]` are one character, `**` is any number of folders, none
+    included, and, at the end, all files below. A folder is listed only if something below it can match. Names that
+    begin with `_` or `.` match only segments that begin alike. Any scheme that Spark knows; a folder that is not there
+    has no files.
+    """
+    parts = glob.split("/")
+    fixed = next((k for k, s in enumerate(parts) if re.search(r"[*?\[]", s)), len(parts) - 1)
+    root, rest = "/".join(parts[:fixed]) or "/", [s for s in parts[fixed:] if s]
+    rules = [None if s == "**" else _segment(s) for s in rest]
+
+    def closed(states: set[int]) -> set[int]:
+        out = set(states)
+        for k in sorted(states):
+            while k < len(rules) and rules[k] is None:
+                k += 1
+                out.add(k)
+        return out
+
+    def moved(states: set[int], name: str) -> set[int]:
+        out = set()
+        for k in states:
+            if k < len(rules) and (name[0] not in "_." or (rest[k][:1] == name[0])):
+                if rules[k] is None:
+                    out.add(k)
+                elif rules[k].match(name):
+                    out.add(k + 1)
+        return closed(out)
+
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found: list[tuple[str, int, float]] = []
+    folders = [(place, closed({0}))] if system.exists(place) else []
+    while folders:
+        folder, states = folders.pop()
+        for f in system.listStatus(folder):
+            name = f.getPath().getName()
+            to = moved(states, name)
+            if f.isDirectory():
+                if any(k < len(rules) for k in to):
+                    folders.append((f.getPath(), to))
+            elif len(rules) in to:
+                found.append((f.getPath().toString(), f.getLen(), f.getModificationTime() / 1000))
+    return sorted(found)
+
+
 def file_manifest(spark: SparkSession, root: str, pattern: str = "") -> DataFrame:
-    """(path, name, bytes, mtime, sha256) of all files below a folder whose path matches; files are hashed piece by piece in the tasks."""
-    import re
+    """(path, name, bytes, mtime, sha256) of all files below a folder, or that a glob names (glob_files), whose path matches the pattern.
 
+    Files are hashed piece by piece in the tasks.
+    """
     rx = re.compile(pattern) if pattern else None
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -220,6 +286,28 @@ def file_manifest(spark: SparkSession, root: str, pattern: str = "") -> DataFram
             kept["sha256"] = pd.Series(digests, index=kept.index, dtype="str")
             yield kept
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)  # contents are not read here
+    if re.search(r"[*?\[]", root):
+        listed = spark.createDataFrame(glob_files(spark, root), "path string, length long, at double")
+        files = listed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("modificationTime", F.timestamp_seconds("at"))
+    else:
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)  # contents are not read here
     rows = files.select("path", F.regexp_extract("path", r"([^/]*)\z", 1).alias("name"), F.col("length").alias("bytes"), F.col("modificationTime").alias("mtime"))
     return rows.mapInPandas(run, "path string, name string, bytes long, mtime timestamp, sha256 string")
+
+
+def row_groups(spark: SparkSession, root: str) -> DataFrame:
+    """(path, row_group, n_rows, bytes) of the Parquet files below a folder, from their footers alone, read in the tasks."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import pyarrow.parquet as pq
+
+        for path in (p for f in frames for p in f["path"]):
+            system, place = file_system(path)
+            with system.open_input_file(place) as file:
+                footer = pq.ParquetFile(file).metadata
+            groups = [footer.row_group(k) for k in range(footer.num_row_groups)]
+            size = [sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups]
+            yield pd.DataFrame({"path": path, "row_group": range(len(groups)), "n_rows": [g.num_rows for g in groups], "bytes": size})
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(root).select("path")
+    return files.mapInPandas(run, "path string, row_group int, n_rows long, bytes long")

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameWriter, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tesserae.sources.readers import file_manifest, file_system
+from tesserae.session import fresh_path, written
+from tesserae.sources.readers import file_manifest, file_system, row_groups
 
 
 def with_metadata(df: DataFrame, metadata: Mapping[str, str]) -> DataFrame:
@@ -17,16 +19,27 @@ def with_metadata(df: DataFrame, metadata: Mapping[str, str]) -> DataFrame:
     return df.withMetadata(first, {k: metadata[k] for k in sorted(metadata)}) if metadata else df
 
 
-def export_parquet(df: DataFrame, dest: str, order_by: Sequence[str], compression: str = "zstd", block_bytes: int | None = None, metadata: Mapping[str, str] | None = None, single_file: bool = False) -> None:
-    """Write df sorted by order_by over its files, nulls last; give a total order for the same rows in the same places."""
+def export_parquet(
+    df: DataFrame, dest: str, order_by: Sequence[str], compression: str = "zstd", block_bytes: int | None = None, metadata: Mapping[str, str] | None = None, single_file: bool = False, row_group_rows: int | None = None
+) -> None:
+    """Write df sorted by order_by over its files, nulls last; give a total order for the same rows in the same places.
+
+    Row groups end at block_bytes, or at row_group_rows rows, whichever comes first.
+    """
     order = [F.col(c).asc_nulls_last() for c in order_by]
     out = with_metadata(df, metadata or {})
     parts = 1 if single_file else int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = out.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    writer = out.write.mode("overwrite").option("compression", compression)
-    if block_bytes:
-        writer = writer.option("parquet.block.size", block_bytes)
-    writer.parquet(dest)
+    grouped(out.write.mode("overwrite").option("compression", compression), block_bytes, row_group_rows).parquet(dest)
+
+
+def grouped(writer: DataFrameWriter, block_bytes: int | None = None, row_group_rows: int | None = None) -> DataFrameWriter:
+    """A Parquet writer whose row groups have at most so many bytes, and so many rows."""
+    if row_group_rows is not None and row_group_rows < 1:
+        raise ValueError("row_group_rows must be 1 or more")
+    for option, value in (("parquet.block.size", block_bytes), ("parquet.block.row.count.limit", row_group_rows)):
+        writer = writer.option(option, value) if value else writer
+    return writer
 
 
 def csv_line(df: DataFrame, into: str = "line") -> DataFrame:
@@ -44,12 +57,49 @@ def write_csv_lines(df: DataFrame, dest: str, order_by: Sequence[str]) -> None:
     csv_line(df).orderBy(*order).select("line").write.mode("overwrite").text(dest)
 
 
-def write_partitioned(df: DataFrame, dest: str, by: Sequence[str], max_rows: int | None = None) -> None:
+def write_partitioned(df: DataFrame, dest: str, by: Sequence[str], max_rows: int | None = None, row_group_rows: int | None = None) -> None:
     """A folder for each value of `by`, files split at max_rows; rows of a value may come from several tasks."""
-    writer = df.write.mode("overwrite").partitionBy(*by)
+    writer = grouped(df.write.mode("overwrite").partitionBy(*by), row_group_rows=row_group_rows)
     (writer.option("maxRecordsPerFile", max_rows) if max_rows else writer).parquet(dest)
 
 
+def write_sized(df: DataFrame, dest: str, target_bytes: int, by: Sequence[str] = (), sort: Sequence[str] = (), row_group_rows: int | None = None) -> DataFrame:
+    """Parquet files of about target_bytes each, in a folder for each value of `by`: the plan (by, bytes, n_files) as it was made.
+
+    The rows are written once to the shared folder, and the bytes that a row takes there are read from the footers;
+    a value's share of them follows from the lengths of its rows as text. It gets bytes / target_bytes files, rounded,
+    one at least, so that only values with less than a file's bytes have a smaller one; its rows are dealt to these
+    evenly, each file by a task of its own. What a file takes in the end follows its own compression: within half the
+    target and one and a half times it for rows alike. `sort` orders the rows of each file. Null values have a folder too.
+    """
+    if target_bytes < 1:
+        raise ValueError("target_bytes must be 1 or more")
+    spark = df.sparkSession
+    path = fresh_path(spark, "sized")
+    df.write.option("compression", "zstd").parquet(path)
+    rows = spark.read.schema(df.schema).parquet(path)
+    measured = row_groups(spark, path).agg(F.sum("bytes")).first()[0] or 0
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")
+    keys = rows.select(*[F.col(f"`{c}`") for c in by], width.alias("_w")).groupBy(*by).agg(F.sum("_w").alias("_w"))
+    keys = written(keys, "keys")  # a row for each folder
+    total = keys.agg(F.sum("_w")).first()[0] or 1
+    share = F.col("_w") * (measured / total)
+    keys = keys.select(*by, share.cast("long").alias("bytes"), F.greatest(F.lit(1), F.round(share / target_bytes)).cast("long").alias("n_files"))
+    before = F.coalesce(F.sum("n_files").over(Window.orderBy(*by or [F.lit(0)]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    plan = written(keys.withColumn("_first", before), "plan")
+    n_files = plan.agg(F.sum("n_files")).first()[0] or 1
+    to = plan.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "n_files", "_first")
+    meet = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)], F.lit(True))
+    # the stored rows have the same numbers in every attempt of a task
+    dealt = rows.withColumn("_at", F.xxhash64(F.monotonically_increasing_id())).join(to, meet)
+    dealt = dealt.withColumn("_file", (F.col("_first") + F.pmod("_at", F.col("n_files"))).cast("int")).select(*df.columns, "_file")
+    dealt = dealt.repartitionById(int(n_files), F.col("_file")).drop("_file")
+    dealt = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*by, *sort)]) if sort else dealt
+    writer = grouped(dealt.write.mode("overwrite").option("compression", "zstd"), row_group_rows=row_group_rows)
+    (writer.partitionBy(*by) if by else writer).parquet(dest)
+    return plan.drop("_first")
+
+
 def register_files(spark: SparkSession, name: str, location: str) -> DataFrame:
     """An external table over existing Parquet files, in place of one of that name."""
     spark.sql(f"DROP TABLE IF EXISTS {name}")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -45,3 +47,36 @@ def test_gated(spark, data, tmp_path):
     q = streams.gated(source, lambda b: gates.duplicate_keys(b, ["o_orderstatus"]), "keys", lambda b, i: None).start()
     with pytest.raises(Exception, match="keys"):
         q.processAllAvailable()
+
+
+@pytest.fixture
+def state_store(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, streams.STATE_STORE)
+    yield
+    spark.conf.set(name, before)
+
+
+def test_debounced_over_restarts(spark, tmp_path, state_store):
+    rng = random.Random(3)
+    log, n = [], 0
+    for key in ("a", "b", None):
+        at = 1_000_000
+        for _ in range(60):
+            at += rng.choice([0, 3_000, 10_000, 10_001, 11_000, 40_000])
+            n += 1
+            log.append((key, at, n, rng.choice(["x", "y", None]), rng.choice(["save", "save", "save", "checkpoint"])))
+    schema = "key string, ms long, n long, state string, kind string"
+    rows = spark.createDataFrame(log, schema).select("key", F.timestamp_millis("ms").alias("ts"), "n", "state", "kind")
+    want = streams.debounced(rows, "key", "ts", "state", "kind", "n")
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    log.sort(key=lambda r: r[1] + rng.randrange(-20_000, 20_000))  # out of order within the watermark
+    parts = [log[k : k + 37] for k in range(0, len(log), 37)] + [[("end", 10**10, n + 1, "z", "save")]]
+    for part in parts:  # each part is a run of the query of its own, from the checkpoint
+        spark.createDataFrame(part, schema).select("key", F.timestamp_millis("ms").alias("ts"), "n", "state", "kind").coalesce(1).write.mode("append").parquet(source)
+        q = streams.debounced(stream(spark, source), "key", "ts", "state", "kind", "n").writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+    got = spark.read.parquet(out).filter("key IS NULL OR key != 'end'")
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    assert 0 < want.count() < len(log)
