@@ -57,39 +57,43 @@ def _symbols(langs: list[str], texts: list[str]) -> tuple[list[list[bytes]], np.
     return tokens, text, breaks, joined(np.array([seed[x] for x in langs], np.uint64)[text], h)
 
 
-def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[str], list[str]]]:
+def _shards(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[str], list[str]]]:
     for b in batches:
-        for part, texts in rounds(b, 1, SHARD_BYTES):
+        for part, texts in rounds(b, 1, size):
             yield part.column(0).to_pylist(), texts
 
 
-@tidy
-def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _words(size: int):
     """Counts of a shard's words, (symbol, lang, word, n), and, with a null word, of all words of a language."""
-    for langs, texts in _shards(batches):
-        tokens, text, breaks, symbols = _symbols(langs, texts)
-        at = np.flatnonzero(~breaks)
-        which, first, n = np.unique(symbols[at], return_index=True, return_counts=True)
-        first = at[first]
-        begin = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
-        words = [tokens[d][i - begin[d]].decode() for d, i in zip(text[first].tolist(), first.tolist())]
-        all_of: dict[str, int] = {}
-        for lang, k in zip(langs, np.bincount(text[at], minlength=len(texts)).tolist()):
-            all_of[lang] = all_of.get(lang, 0) + k
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.concatenate([which.view(np.int64), np.zeros(len(all_of), np.int64)])),
-                pa.array([langs[d] for d in text[first].tolist()] + list(all_of), pa.string()),
-                pa.array(words + [None] * len(all_of), pa.string()),
-                pa.array(np.concatenate([n, np.array(list(all_of.values()), np.int64)])),
-            ],
-            ["symbol", "lang", "word", "n"],
-        )
-
-
-def _bits(hashes: np.ndarray) -> pa.Table:
+
+    @tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for langs, texts in _shards(batches, size):
+            tokens, text, breaks, symbols = _symbols(langs, texts)
+            at = np.flatnonzero(~breaks)
+            which, first, n = np.unique(symbols[at], return_index=True, return_counts=True)
+            first = at[first]
+            begin = np.concatenate([[0], np.cumsum([len(t) for t in tokens])])
+            words = [tokens[d][i - begin[d]].decode() for d, i in zip(text[first].tolist(), first.tolist())]
+            all_of: dict[str, int] = {}
+            for lang, k in zip(langs, np.bincount(text[at], minlength=len(texts)).tolist()):
+                all_of[lang] = all_of.get(lang, 0) + k
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.concatenate([which.view(np.int64), np.zeros(len(all_of), np.int64)])),
+                    pa.array([langs[d] for d in text[first].tolist()] + list(all_of), pa.string()),
+                    pa.array(words + [None] * len(all_of), pa.string()),
+                    pa.array(np.concatenate([n, np.array(list(all_of.values()), np.int64)])),
+                ],
+                ["symbol", "lang", "word", "n"],
+            )
+
+    return run
+
+
+def _bits(hashes: np.ndarray, filter_bits: int) -> pa.Table:
     """The filter bits of hashes that lie near together, as bytes from an offset on."""
-    at = np.unique(hashes >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
+    at = np.unique(hashes >> np.uint64(64 - filter_bits)).astype(np.int64)
     if not len(at):
         return pa.table({"offset": pa.array([], pa.int64()), "bits": pa.array([], pa.binary())})
     offset = at[0] >> 3
@@ -98,9 +102,9 @@ def _bits(hashes: np.ndarray) -> pa.Table:
     return pa.table({"offset": [offset], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
 
-def _filter(slices: DataFrame) -> np.ndarray:
-    """All slices as one filter: FILTER_BITS bound what reaches the driver and is broadcast."""
-    full = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
+def _filter(slices: DataFrame, filter_bits: int) -> np.ndarray:
+    """All slices as one filter: its bits bound what reaches the driver and is broadcast."""
+    full = np.zeros(1 << (filter_bits - 3), np.uint8)
     for offset, bits in slices.toLocalIterator():
         part = np.frombuffer(bits, np.uint8)
         full[offset : offset + len(part)] |= part
@@ -108,7 +112,7 @@ def _filter(slices: DataFrame) -> np.ndarray:
 
 
 def _passes(full: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    at = hashes >> np.uint64(64 - FILTER_BITS)
+    at = hashes >> np.uint64(64 - (len(full).bit_length() + 2))
     return (full[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
@@ -120,10 +124,10 @@ def _frequent_pairs(langs: list[str], texts: list[str], words: np.ndarray) -> tu
     return symbols, pairs, good[:-1] & good[1:]
 
 
-def _pairs(parts: int, words):
+def _pairs(parts: int, words, size: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, texts in _shards(batches):
+        for langs, texts in _shards(batches, size):
             _, pairs, good = _frequent_pairs(langs, texts, words.value)
             h, n = np.unique(pairs[good], return_counts=True)
             which, at = cuts(range_of(h, parts))
@@ -141,12 +145,12 @@ def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return keys[first], first, np.add.reduceat(n[order], at[:-1]) if len(n) else n
 
 
-def _pair_bits(least: int):
+def _pair_bits(least: int, filter_bits: int):
     @tidied
     def run(table: pa.Table) -> pa.Table:
         found = [unpack(x.as_buffer()) for x in table.column("pairs")]
         keys, _, n = _added(np.concatenate([np.cumsum(h, dtype=np.uint64) for h, _ in found]), np.concatenate([n for _, n in found]))
-        return _bits(keys[n >= least])
+        return _bits(keys[n >= least], filter_bits)
 
     return run
 
@@ -249,10 +253,10 @@ class Transducer:
             yield words, keys, weights
 
 
-def _transducers(parts: int, words, pairs, longest: int):
+def _transducers(parts: int, words, pairs, longest: int, size: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for langs, texts in _shards(batches):
+        for langs, texts in _shards(batches, size):
             symbols, hashes, good = _frequent_pairs(langs, texts, words.value)
             good &= _passes(pairs.value, hashes)
             at = np.flatnonzero(good)
@@ -368,23 +372,24 @@ def collocations(
     """
     if longest < 2 or least < 1:
         raise ValueError("longest must be 2 or more and least 1 or more")
-    spark, parts = docs.sparkSession, slots(docs)
+    spark, parts, size, bits = docs.sparkSession, slots(docs), SHARD_BYTES, FILTER_BITS
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"), text_of(text_col).alias("text"))
-    counted = rows.mapInArrow(_words, "symbol long, lang string, word string, n long").groupBy("symbol", "lang", "word").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(_words(size), "symbol long, lang string, word string, n long").groupBy("symbol", "lang", "word").agg(F.sum("n").alias("n"))
     vocabulary = written(counted.filter((F.col("n") >= least) | F.col("word").isNull()), "words")
     words = vocabulary.filter("word IS NOT NULL")
     part = F.shiftrightunsigned(F.shiftrightunsigned("symbol", 32) * parts, 32).cast("int")
 
     def word_bits(table: pa.Table) -> pa.Table:
-        return _bits(table.column("symbol").to_numpy().view(np.uint64))
+        return _bits(table.column("symbol").to_numpy().view(np.uint64), bits)
 
     def pair_filter() -> np.ndarray:
-        slices = rows.mapInArrow(_pairs(parts, word_filter), "part int, pairs binary").groupBy("part").applyInArrow(_pair_bits(least), "offset long, bits binary")
-        return _filter(written(slices, "pair-bits"))
+        slices = rows.mapInArrow(_pairs(parts, word_filter, size), "part int, pairs binary").groupBy("part").applyInArrow(_pair_bits(least, bits), "offset long, bits binary")
+        return _filter(written(slices, "pair-bits"), bits)
 
-    word_filter = spark.sparkContext.broadcast(_filter(words.select(part.alias("part"), "symbol").groupBy("part").applyInArrow(word_bits, "offset long, bits binary")))
+    slices = words.select(part.alias("part"), "symbol").groupBy("part").applyInArrow(word_bits, "offset long, bits binary")
+    word_filter = spark.sparkContext.broadcast(_filter(slices, bits))
     frequent = spark.sparkContext.broadcast(pair_filter())
-    shards = rows.mapInArrow(_transducers(parts, word_filter, frequent, longest), "part int, automaton binary")
+    shards = rows.mapInArrow(_transducers(parts, word_filter, frequent, longest, size), "part int, automaton binary")
     automata = written(shards.groupBy("part").applyInArrow(_united(least), "part int, automaton binary"), "automata")
     word_filter.unpersist()
     frequent.unpersist()

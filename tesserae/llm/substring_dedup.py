@@ -67,12 +67,12 @@ def _first(h: np.ndarray, ids: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray,
     return sub[later], ids[lead[later]], pos[lead[later]]
 
 
-def _index(parts: int, window: int):
+def _index(parts: int, window: int, block: int):
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh3_64_intdigest
 
-        for b, texts in (part for whole in batches for part in rounds(whole, 2, BLOCK_BYTES)):
+        for b, texts in (part for whole in batches for part in rounds(whole, 2, block)):
             hashed = [np.fromiter(map(xxh3_64_intdigest, w), np.uint64, len(w)) for w in (t.encode().split() for t in texts)]
             n = np.array([len(x) for x in hashed])
             doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
@@ -173,7 +173,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Colum
 
 
 def _factors(rows: DataFrame, parts: int, window: int) -> DataFrame:
-    entries = rows.mapInArrow(_index(parts, window), "part int, entries binary, known binary")
+    entries = rows.mapInArrow(_index(parts, window, BLOCK_BYTES), "part int, entries binary, known binary")
     found = entries.groupBy("part").applyInArrow(_look_up(parts), "part int, found binary")
     schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("factors", FACTORS)])
     return written(found.groupBy("part").applyInArrow(_parse(window), schema), "factors")
@@ -183,8 +183,9 @@ def factors(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     """Factors of each document against all documents with smaller ids: (id, row, factors), documents with any alone.
 
     A factor is (start, length, source, source_start): `length` words from `start` on stand in the document
-    `source` from `source_start` on, words counted from 0. Of the documents that have a window, the smallest id is
-    its source, at its first place there. `row` tells texts that share an id apart, and is 0 where ids are unique.
+    `source` from `source_start` on, words counted from 0. The source of a window is the smallest id that has it in
+    the document's own block, where that is smaller than its own, or else the smallest of all, at its first place
+    there; which words are covered doesn't depend on blocks. `row` tells texts that share an id apart, and is 0 where ids are unique.
     Windows are compared by 64-bit hashes. A null id is after all others; rows that share an id, null ones among
     them, are no reference for each other. Texts of fewer than `window` words, null and empty ones have no factors.
     """
