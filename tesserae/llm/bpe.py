@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import rounds, text_of, tidy
+from tesserae.llm.common import rounds, shipped, text_of, tidy
 
 #: Words whose ids a worker keeps; when it has more, it starts anew.
 KEPT = 120_000
@@ -353,6 +353,7 @@ class Encoder:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        path = shipped(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.merges = Merges(spec["model"])
@@ -477,7 +478,7 @@ def texts_of(ids: np.ndarray, ends: np.ndarray, table: pa.BinaryArray) -> list[b
 
 def joined_by_space(path: str) -> None:
     """Refuse files that name a decoder: without one, decode() puts a space between tokens."""
-    with open(path, encoding="utf-8") as f:
+    with open(shipped(path), encoding="utf-8") as f:
         if json.load(f).get("decoder") is not None:
             raise ValueError("only files without a decoder are decoded here")
 

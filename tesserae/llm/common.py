@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import os
 from collections.abc import Callable, Iterator
 from functools import wraps
 
@@ -41,6 +42,15 @@ def row_hash(col: str | Column) -> Column:
     return F.xxhash64(text_of(col))
 
 
+def shipped(path: str) -> str:
+    """A file of the driver as a task finds it: at its own path, or where the session put it (SparkContext.addFile)."""
+    if os.path.exists(path):
+        return path
+    from pyspark import SparkFiles
+
+    return SparkFiles.get(os.path.basename(path))
+
+
 def slots(df: DataFrame) -> int:
     """Shuffle partitions of the session, for the explicit repartitions."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

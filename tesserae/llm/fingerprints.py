@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import id_back, id_of, row_hash, slots, text_of, tidy
+from tesserae.llm.common import LAST_ID, id_back, id_of, row_hash, slots, text_of, tidy
 from tesserae.llm.ngram_join import set_components
 
 #: Fixed list: anchors, common function words of English, German, French and Spanish.
@@ -130,6 +130,21 @@ def near_components(docs: DataFrame, percent: int = 80, id_col: str = "doc_id",
     return set_components(docs, _elements, percent, id_col, text_col)
 
 
+def range_cuts(quantiles: list[float]) -> list[tuple[int, int]]:
+    """Where ranges of (id, row) begin, from quantiles of the ids: an id that several quantiles fall on is cut evenly by the hashes of its rows."""
+    ids, times = np.unique(np.array([min(int(q), LAST_ID) for q in quantiles], np.int64), return_counts=True)
+    return [(int(i), -(1 << 63) + (k << 64) // int(n)) for i, n in zip(ids, times) for k in range(n)]
+
+
+def place(cuts: list[tuple[int, int]], ids: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many cuts are at or before each (id, row)."""
+    out = np.searchsorted(np.array([i for i, _ in cuts], np.int64), ids, "left")
+    for i in {i for i, _ in cuts}:
+        own = ids == i
+        out[own] += np.searchsorted(np.array([r for j, r in cuts if j == i], np.int64), rows[own], "right")
+    return out
+
+
 def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """Rows in ranges of ids: (_part, _ahead, _id, _row, _text), sorted in each partition.
 
@@ -138,19 +153,19 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     """
     spark = docs.sparkSession
     ids = docs.select("_id", "_row")
-    cuts = np.unique(ids.approxQuantile("_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else []).astype(np.int64)
+    cuts = range_cuts(ids.approxQuantile("_id", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else [])
 
-    def part(col):
+    def part(i, row):
         @F.pandas_udf("int")
-        def run(x: pd.Series) -> pd.Series:
-            return pd.Series(np.searchsorted(cuts, x.to_numpy(np.int64), "right").astype(np.int32))
+        def run(x: pd.Series, y: pd.Series) -> pd.Series:
+            return pd.Series(place(cuts, x.to_numpy(np.int64), y.to_numpy(np.int64)).astype(np.int32))
 
-        return run(col)
+        return run(i, row)
 
-    firsts = ids.groupBy(part(F.col("_id")).alias("_part")).agg(F.min(F.struct("_id", "_row")).alias("_f")).orderBy("_part").collect()  # a row for each range
+    firsts = ids.groupBy(part(F.col("_id"), F.col("_row")).alias("_part")).agg(F.min(F.struct("_id", "_row")).alias("_f")).orderBy("_part").collect()  # a row for each range
     ahead = [(firsts[k - 1]["_part"], firsts[k]["_f"]["_id"], firsts[k]["_f"]["_row"]) for k in range(len(firsts))]
     sent = spark.createDataFrame(ahead, "_to int, _id long, _row long")
-    placed = docs.withColumn("_part", part(F.col("_id")))
+    placed = docs.withColumn("_part", part(F.col("_id"), F.col("_row")))
     joined = placed.join(F.broadcast(sent), ["_id", "_row"], "left")
     own = F.struct(F.col("_part").alias("to"), F.lit(False).alias("ahead"))
     more = F.struct(F.col("_to").alias("to"), F.lit(True).alias("ahead"))

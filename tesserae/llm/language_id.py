@@ -32,6 +32,8 @@ from tesserae.llm.common import text_of
 NGRAM, BITS = 4, 16
 #: Labelled texts per language, at most: landmarks, and rows of the regression.
 LANDMARKS, ROWS = 40, 400
+#: Of all languages together, at most: each has an even share where there are many.
+MOST_LANDMARKS, MOST_ROWS = 1000, 16_000
 RIDGE = 1e-3
 UNKNOWN = "und"
 _MIX = [np.uint32(0x9E3779B1), np.uint32(0x85EBCA77), np.uint32(0xC2B2AE3D), np.uint32(0x27D4EB2F)]
@@ -121,21 +123,31 @@ def solve(found: list[np.ndarray], langs: list[str], marks: list[bool], ridge: f
     return Model(names, (land.T @ (whiten @ beta)).astype(np.float32), (base - mean @ beta).astype(np.float32))
 
 
-def fit(docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = LANDMARKS, rows: int = ROWS) -> Model:
+def fit(
+    docs: DataFrame, allowed: Column | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", landmarks: int = LANDMARKS, rows: int = ROWS, most_rows: int = MOST_ROWS, most_landmarks: int = MOST_LANDMARKS
+) -> Model:
     """Learn from rows with a language (and which allowed says may be learned from).
 
-    For each language the rows with the smallest hashes of their ids are taken, up to `rows`; rows of
-    one id are one, that with the smallest text. The driver gets the places of their whole texts, 2**BITS at most for each. Texts without letters
-    teach nothing; without any row left, every language is unknown.
+    For each language the rows with the smallest hashes of their ids are taken, up to `rows`, the first `landmarks` of
+    them as landmarks; with so many languages that there would be more than most_rows and most_landmarks in all, each
+    gets an even share. Rows of one id are one, that with the smallest text; a row without an id goes by a hash of its
+    text, so that each such text counts by itself. The driver gets the places of these texts, 2**BITS at most for
+    each, and holds a presence row of 2**BITS numbers for each landmark. Texts without letters teach nothing; without
+    any row left, every language is unknown.
     """
     labelled = docs.filter(F.col(lang_col).isNotNull())
     if allowed is not None:
         labelled = labelled.filter(allowed)
-    keyed = labelled.select(F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("string")).alias("_h"), text_of(text_col).alias("_text"))
-    # only hashes that can be among the smallest go on, so what meets in a task does not grow with the input
-    totals = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
-    low = F.lit(-(2.0**63)) + F.lit(2.0**64) * (4 * rows + 100) / F.col("_n")
-    few = keyed.select("lang", "_h").join(F.broadcast(totals), "lang").filter(F.col("_h") <= low)  # a row for each language
+    text = text_of(text_col)
+    key = F.when(F.col(id_col).isNull(), F.xxhash64(text, F.lit("text"))).otherwise(F.xxhash64(F.col(id_col).cast("string")))
+    keyed = labelled.select(F.col(lang_col).cast("string").alias("lang"), key.alias("_h"), text.alias("_text"))
+    # only hashes that can be among the smallest go on, so what meets in a task does not grow with the input; where few hashes make up many rows, all can
+    totals = keyed.groupBy("lang").agg(F.approx_count_distinct("_h").alias("_n")).collect()  # a row for each language
+    if not totals:
+        return solve([], [], [])
+    rows, landmarks = min(rows, max(8, most_rows // len(totals))), min(landmarks, max(1, most_landmarks // len(totals)))
+    low = F.lit(-(2.0**63)) + F.lit(2.0**64) * (4 * rows + 100) / F.greatest(F.col("_n"), F.lit(1))
+    few = keyed.select("lang", "_h").join(F.broadcast(docs.sparkSession.createDataFrame(totals)), "lang").filter(F.col("_h") <= low)
     order = Window.partitionBy("lang").orderBy("_h")
     keys = few.groupBy("lang", "_h").agg(F.lit(1).alias("_one")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= rows).select("lang", "_h", "_r")
 

@@ -248,22 +248,32 @@ def _central(percent: int):
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, tops = None, []  # of a run: its first row, and its first row of another label
+        held = None  # of the run that the last batch ended in: its first row, and its first row of another label
         for b in batches:
-            out = []
-            for t, v, n, pos, score, label in zip(*(c.to_pylist() for c in b.columns)):
-                if t != token:
-                    token, tops = t, []
-                for pv, pn, pp, ps, pl in tops:
-                    if pl == label:
-                        continue
-                    need = -(-percent * (n + pn) // (100 + percent))
-                    if min(n, pn) >= need and n - pos >= need and pn - pp >= need:
-                        out.append((v, ps, pv))
-                    break
-                if len(tops) < 2 and all(pl != label for *_, pl in tops):
-                    tops.append((v, n, pos, score, label))
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [[]] * 3)], ["a", "score", "b"])
+            if not b.num_rows:
+                continue
+            rows = np.stack([c.to_numpy().astype(np.int64) for c in b.columns])
+            n_held = held.shape[1] if held is not None and held[0, 0] == rows[0, 0] else 0
+            if n_held:
+                rows = np.concatenate([held, rows], 1)
+            t, v, n, pos, score, label = rows
+            i = np.arange(len(t))
+            head = np.ones(len(t), bool)
+            head[1:] = t[1:] != t[:-1]
+            starts = np.flatnonzero(head)
+            first = starts[np.cumsum(head) - 1]
+            other = label != label[first]
+            second = np.minimum.reduceat(np.where(other, i, len(t)), starts)
+            turn = second[np.cumsum(head) - 1]
+            top = np.where(other, first, np.where(turn < i, turn, -1))
+            to = np.flatnonzero((top >= 0) & (i >= n_held))
+            by = top[to]
+            need = -(-percent * (n[to] + n[by]) // (100 + percent))
+            ok = (np.minimum(n[to], n[by]) >= need) & (n[to] - pos[to] >= need) & (n[by] - pos[by] >= need)
+            to, by = to[ok], by[ok]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in (v[to], score[by], v[by])], ["a", "score", "b"])
+            last = [int(starts[-1])] + ([int(second[-1])] if second[-1] < len(t) else [])
+            held = rows[:, last]
 
     return run
 

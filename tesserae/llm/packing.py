@@ -125,11 +125,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """A place for every piece: the columns of parts, sequence_id and offset.
 
     parts needs `length` (1 to capacity), `id` and `piece`. Pieces of one length are alike, so ties
-    are free; they go by salt, id and piece. No pieces give no rows.
+    are free; they go by salt, id and piece. Salts are dealt by row and written with the pieces, so that
+    pieces of one id, or without any, are spread as all others. No pieces give no rows.
     """
     spark = parts.sparkSession
     salts = max(16, slots(parts))
-    parts = parts.withColumn("_salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)))
+    parts = written(parts.withColumn("_salt", F.pmod(F.xxhash64("id", "piece", F.monotonically_increasing_id()), F.lit(salts))), "pieces")
     groups = written(parts.groupBy("length", "_salt").agg(F.count(F.lit(1)).alias("_n")), "lengths")
     counts = {r["length"]: r["n"] for r in groups.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most `capacity` rows
     ranges = spark.createDataFrame(plan(counts, capacity), "_len long, _from long, _to long, _bin long, offset long")
@@ -144,5 +145,5 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def op6(docs: DataFrame, path: str) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    placed = pack(written(pieces(docs, path), "pieces"))
+    placed = pack(pieces(docs, path))
     return placed.select(F.col("id").alias("doc_id"), "piece", "start", "length", "ids_crc32", "sequence_id", "offset")

@@ -19,13 +19,17 @@ from tesserae.llm.secrets import op5
 from tesserae.llm.substring_dedup import OP11_SQL, op11
 from tesserae.llm.token_counts import op4
 from tesserae.llm.warc import OP7_SQL, op7
-from tesserae.session import ship, table
+from tesserae.session import is_local, ship, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """The driver's path of a tokenizer file; on a cluster the file goes to the executors too, which open_file finds there."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    path = public_tokenizers.path(name)
+    if (spark := SparkSession.getActiveSession()) and not is_local(spark):
+        spark.sparkContext.addFile(path)
+    return path
 
 
 def _over(name: str, f: Callable[..., DataFrame], tokenizer: bool = False) -> Callable[[SparkSession, str], DataFrame]:

@@ -3,8 +3,9 @@
 Plain patterns give assignments, access keys and hex strings. Beyond them, strings that may be encoded
 keys are decoded, and are reported only if what they hold parses: DER whose nested lengths close and
 whose fields are a private key's, key files whose length-prefixed fields fill them, and signed tokens
-whose header is JSON that names an algorithm. A bare key's span ends where its own lengths say, whatever
-words or base64 follow.
+whose header is JSON that names an algorithm. Keys are read as base64, plain or for URLs, as hex, and as
+whole key files that are base64 once more. A bare key's span ends where its own lengths say, whatever words
+or digits follow.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tesserae.llm.common import rounds, text_of
 
 #: Fixed order of kinds at one start: the base ones, then those confirmed by structure.
-KINDS = ("assign", "access", "hex", "pem", "der", "derhex", "sshkey", "jwt")
+KINDS = ("assign", "access", "hex", "pem", "der", "derhex", "sshkey", "jwt", "pem64")
 #: Fixed patterns of the base kinds.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -35,9 +36,13 @@ SEALED = re.compile(r"Proc-Type: ?4,ENCRYPTED[\s\S]*DEK-Info: ?[A-Z0-9-]+,([0-9A
 #: Bare keys may be wrapped: line breaks, also escaped ones, stand among their characters; where they end their lengths say.
 BREAK = r"(?:\s|\\[nr])"
 DER64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P]")
-DERHEX = re.compile(r"(?<![0-9a-fA-F])30[0-9a-fA-F]{62,}")
+DERHEX = re.compile(r"(?<![0-9a-fA-F])30:?(?:[0-7][0-9a-fA-F]|8[1-4])")
 SSH64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjE")
+#: A whole key file in base64 begins with that of five dashes and BEGIN.
+PEM64 = re.compile(r"(?<![A-Za-z0-9+/])LS0tLS1CRUdJTi")
 RUN = re.compile(rf"{BREAK}*([A-Za-z0-9+/]+)")
+RUN_URL = re.compile(rf"{BREAK}*([A-Za-z0-9_-]+)")
+RUN_HEX = re.compile(rf"(?:{BREAK}|:)*([0-9a-fA-F]+)")
 PAD = re.compile(rf"{BREAK}*=")
 BROKEN = re.compile(BREAK)
 #: Bytes of the shortest bare key.
@@ -165,34 +170,66 @@ def unbase64(text: str, url: bool = False) -> bytes:
         return b""
 
 
-def taken(text: str, at: int, n: int) -> tuple[str, int] | None:
-    """The n characters of base64 from a place on, breaks aside, and the end of the last; None if there are fewer."""
+def unhex(text: str) -> bytes:
+    return bytes.fromhex(text[: len(text) & ~1])
+
+
+#: How bytes are written: what a run of characters is, bytes and characters that go together, and how they are read.
+BASE64, BASE64_URL, HEXED = (RUN, 3, 4, unbase64), (RUN_URL, 3, 4, lambda x: unbase64(x, True)), (RUN_HEX, 1, 2, unhex)
+
+
+def taken(text: str, at: int, n: int, run: re.Pattern = RUN) -> tuple[str, int] | None:
+    """The n characters of an encoding from a place on, breaks aside, and the end of the last; None if there are fewer."""
     out: list[str] = []
-    while n and len(text) - at >= n and (m := RUN.match(text, at)):
+    while n and len(text) - at >= n and (m := run.match(text, at)):
         out.append(m[1][:n])
         n -= len(out[-1])
         at = m.start(1) + len(out[-1])
     return None if n else ("".join(out), at)
 
 
-def bare_end(text: str, at: int, size_of: Callable[[bytes], int], private: Callable[[bytes], bool]) -> int | None:
-    """Where the bare base64 key at a place ends, by the size that its own fields state, padding included; None if there is none."""
+def bare_end(text: str, at: int, size_of: Callable[[bytes], int], private: Callable[[bytes], bool], form: tuple = BASE64) -> int | None:
+    """Where the bare encoded key at a place ends, by the size that its own fields state, padding included; None if there is none."""
+    run, n_bytes, n_chars, read = form
     size, need = LEAST, 0
     while size > need:
         need = size
-        if (found := taken(text, at, -(-4 * need // 3))) is None:
+        if (found := taken(text, at, -(-n_chars * need // n_bytes), run)) is None:
             return None
-        data = unbase64(found[0])[:need]
+        data = read(found[0])[:need]
         size = size_of(data)
     if size < LEAST or not private(data[:size]):
         return None
     chars, end = found
-    for _ in range(-len(chars) % 4):
+    for _ in range(-len(chars) % 4 if form is not HEXED else 0):
         if m := PAD.match(text, end):
             end = m.end()
     return end
 
 
+def key_file_end(text: str, at: int) -> int | None:
+    """Where the base64 of a whole key file at a place ends, padding included; None if what it decodes to is none.
+
+    The base64 may be wrapped, and words may follow it: what counts are the characters that the file's last line needs.
+    """
+    chars, end = [], at
+    while m := RUN.match(text, end):
+        chars.append(m[1])
+        end = m.end()
+    body = "".join(chars)
+    data = base64.b64decode(body[: len(body) & ~3]) + unbase64(body[len(body) & ~3 :])
+    m = PEM.match(data.decode("latin-1"))
+    if not m or not key_file(m[2], unbase64(m[3])):
+        return None
+    # a line break that closes the file is its own
+    size = m.end() + (data[m.end() : m.end() + 1] == b"\n") + (data[m.end() : m.end() + 2] == b"\r\n") * 2
+    chars, end = taken(text, at, -(-4 * size // 3))
+    for _ in range(-len(chars) % 4):
+        if p := PAD.match(text, end):
+            end = p.end()
+    return end
+
+
 def signed_token(token: str) -> bool:
     """A JSON web token: header and payload are JSON objects, the header names an algorithm, the signature decodes."""
     header, payload, signature = token.split(".")
@@ -219,19 +256,26 @@ def spans_of(text: str) -> list[tuple[int, int, str]]:
     if "M" in text:
         files, after = [(a, b) for a, k, b in out if k == 3], 0
         for m in DER64.finditer(text):
-            if m.start() >= after and (after_it := bare_end(text, m.start(), der_size, private_der)):
+            if m.start() < after:
+                continue
+            if not (after_it := bare_end(text, m.start(), der_size, private_der)) and text[m.start() - 1 : m.start()] not in ("-", "_"):
+                after_it = bare_end(text, m.start(), der_size, private_der, BASE64_URL)
+            if after_it:
                 after = after_it
                 # the body of a key file in lines is that file's
                 if not (BROKEN.search(text, m.start(), after) and any(a <= m.start() < b for a, b in files)):
                     out.append((m.start(), 4, after))
     if "30" in text:
+        after = 0
         for m in DERHEX.finditer(text):
-            if len(m[0]) % 2 == 0 and private_der(bytes.fromhex(m[0])):
-                out.append((m.start(), 5, m.end()))
+            if m.start() >= after and (after_it := bare_end(text, m.start(), der_size, private_der, HEXED)):
+                out.append((m.start(), 5, after := after_it))
     if "b3BlbnNzaC1rZXktdjE" in text:
         out += [(m.start(), 6, z) for m in SSH64.finditer(text) if (z := bare_end(text, m.start(), ssh_size, private_ssh))]
     if "eyJ" in text:
         out += [(m.start(), 7, m.end()) for m in JWT.finditer(text) if signed_token(m[0])]
+    if "LS0tLS1CRUdJTi" in text:
+        out += [(m.start(), 8, z) for m in PEM64.finditer(text) if (z := key_file_end(text, m.start()))]
     return sorted(out)
 
 

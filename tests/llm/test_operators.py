@@ -9,6 +9,7 @@ import json
 import random
 import re
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -473,6 +474,110 @@ def test_bare_keys_end_where_their_lengths_say():
     assert not secrets.spans_of("MAKE IT SO and MIIEvQ then " + "MIIEpAIBAAKCAQEA " * 50)
 
 
+def test_keys_in_other_encodings():
+    """Keys planted in prose in every form; only their places may be reported."""
+    rng = random.Random(21)
+    b64 = lambda b: base64.b64encode(b).decode()
+    wrapped = lambda t, n, by: by.join(re.findall(f".{{1,{n}}}", t))
+    for size in range(60, 72):
+        der_key = der(0x30, der(2, b"\0") + b"".join(der(2, b"\x01" + rng.randbytes(n)) for n in (size, 3, size, 32, 32, 32, 32, 33)))
+        pem = "-----BEGIN RSA PRIVATE KEY-----\n" + wrapped(b64(der_key), 64, "\n") + "\n-----END RSA PRIVATE KEY-----" + rng.choice(["", "\n"])
+        url = base64.urlsafe_b64encode(der_key).decode()
+        odd = der_key.hex().upper()
+        forms = [("pem64", b64(pem.encode())), ("pem64", wrapped(b64(pem.encode()), 76, "\n")), ("pem64", b64(pem.encode()).rstrip("="))]
+        forms += [("der", url), ("der", url.rstrip("="))] if re.search("[-_]", url) else []
+        forms += [("derhex", odd), ("derhex", wrapped(odd, 64, "\n")), ("derhex", wrapped(odd, 2, ":"))]
+        for kind, form in forms:
+            for tail in ("", " then prose, 12 of it", "\nand words"):
+                text = f"é key = {form}{tail}"
+                assert secrets.listed(secrets.spans_of(text)) == f"{kind}:8:{8 + len(form)}", (kind, tail)
+        for tail in ("AB12" * 9, "0"):
+            assert secrets.listed(secrets.spans_of(f"k {odd}{tail}")) == f"derhex:2:{2 + len(odd)}"
+        broken = pem.replace("END RSA", "END DSA")
+        for text in (b64(broken.encode()), b64(b"-----BEGIN RSA PRIVATE KEY-----\nnot a key at all\n-----END RSA PRIVATE KEY-----"), url[:-8], odd[:-4], wrapped(odd, 10, ". ")):
+            assert not secrets.spans_of("k " + text + " end.")
+
+
+def test_ranges_of_one_id_are_cut_by_rows():
+    lows = fingerprints.range_cuts([5.0, 7.0, 7.0, 7.0, 9.0])
+    assert [i for i, _ in lows] == [5, 7, 7, 7, 9] and lows == sorted(lows)
+    rng = np.random.default_rng(3)
+    ids, rows = rng.integers(4, 11, 5000), rng.integers(-(1 << 63), (1 << 63) - 1, 5000)
+    got = fingerprints.place(lows, ids, rows)
+    assert got.tolist() == [sum(c <= (i, r) for c in lows) for i, r in zip(ids.tolist(), rows.tolist())]
+    assert min(Counter(got.tolist()).values()) > 100
+    assert fingerprints.place([], ids, rows).tolist() == [0] * 5000
+
+
+def test_operators_with_many_null_ids(spark):
+    """Half of the rows have no id; each operator says of every row what it says of the row alone."""
+    rng = random.Random(14)
+    words = "the of and house tree river stone light morning evening walk run sleep think write".split()
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 60))) for _ in range(60)]
+    rows = [(None if k % 2 else k, t, "en") for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    prints = {r["fingerprint"] for r in fingerprints.op3(df).collect()}
+    assert fingerprints.op3(df).count() == 60 and prints == {fingerprints.packed(fingerprints.signatures(t)) for t in texts}
+    pieces = packing.op6(df, TOKENIZER).collect()
+    assert len(pieces) == 60 and sum(r["doc_id"] is None for r in pieces) == 30
+    place = Counter()
+    for r in sorted(pieces, key=lambda r: (r["sequence_id"], r["offset"])):
+        assert r["offset"] == place[r["sequence_id"]]
+        place[r["sequence_id"]] += r["length"]
+    assert max(place.values()) <= 4096
+
+
+def test_languages_of_rows_without_ids(spark):
+    """Null and repeated ids lose no language."""
+    say = {"en": "the people of the town said that it was good", "de": "die Leute der Stadt sagten dass es gut war und"}
+    text = F.concat(F.when(F.col("lang") == "en", say["en"]).otherwise(say["de"]), F.lit(" "), (F.col("id") % 50).cast("string"))
+    base = spark.range(20_000).select("id", F.when(F.col("id") % 2 == 0, "en").otherwise("de").alias("lang"))
+    for key in (F.lit(None).cast("long"), F.col("id") % 4):
+        model = language_id.fit(base.select(key.alias("doc_id"), text.alias("text"), "lang"))
+        assert model.langs == ["de", "en"]
+        assert model.predict([say["de"], say["en"]])[0] == ["de", "en"]
+    many = base.select("id", F.concat("lang", F.lit("-"), (F.col("id") % 100).cast("string")).alias("lang"), text.alias("text"))
+    model = language_id.fit(many, id_col="id", most_rows=400, most_landmarks=100)
+    assert len(model.langs) == 100  # an even share each
+
+
+def test_index_asks_for_several_matches(spark, monkeypatch):
+    """Where elements differ in frequency, some prefixes ask for more than one shared element, and links stay the same."""
+    seen = []
+    monkeypatch.setattr(ngram_join, "_labelled", lambda index, links, f=ngram_join._labelled: (seen.append(index), f(index, links))[1])
+    rng = random.Random(31)
+    texts = []
+    for k in range(90):
+        base = [f"group{k // 3}word{j}" for j in range(12)] + [f"common{j}" for j in range(60)]
+        base[12 + rng.randrange(60)] = f"own{k}"
+        texts.append(" ".join(base))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["id"]: r["component_id"] for r in ngram_join.ngram_components(df, 1, 80).collect()}
+    assert got == brute_components(dict(enumerate(texts)), 1, 80)
+    assert max(r["matches"] for r in seen[0].select("matches").distinct().collect()) > 1
+
+
+def test_central_rows_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(17)
+    rows = sorted((rng.randrange(12), 0, 0, 0, rng.randrange(3), 0) for _ in range(300))
+    rows = [(t, k, 50, rng.randrange(5), s, rng.randrange(3)) for k, (t, _, _, _, s, _) in enumerate(sorted(rows, key=lambda r: (r[0], r[4])))]
+    want, token = [], None
+    for row in rows:
+        if row[0] != token:
+            token, tops = row[0], []
+        to = next((x for x in tops if x[5] != row[5]), None)
+        if to is not None and 50 - row[3] >= 45 and 50 - to[3] >= 45:
+            want.append((row[1], to[4], to[1]))
+        if len(tops) < 2 and all(x[5] != row[5] for x in tops):
+            tops.append(row)
+    for size in (1, 7, 300):
+        made = [pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows[k : k + size])], list("abcdef")) for k in range(0, 300, size)]
+        got = [t for b in ngram_join._central(80)(iter(made)) for t in zip(*(c.to_pylist() for c in b.columns))]
+        assert got == want
+
+
 PAGES = [(1, "http://a/x y", "<p>é</p>"), (5, None, "<p>é</p>"), (3, "http://b", None), (4, "u\r\nv", ""), (None, "http://c", "<p>é</p>"), (2, "http://d", "z" * 3_000_000), (5, None, "<p>é</p>")]
 
 

@@ -52,7 +52,7 @@ def counted(text: str | None):
 
 def test_language_id(spark, docs, data):
     """Kernels by sets of places, landmarks and ridge regression in double precision, nothing folded."""
-    keyed = docs.filter("lang IS NOT NULL").select("lang", F.xxhash64(F.col("doc_id").cast("string")).alias("h"), F.coalesce("text", F.lit("")).alias("text")).collect()
+    keyed = docs.filter("lang IS NOT NULL").select("lang", F.when(F.col("doc_id").isNull(), F.xxhash64("text", F.lit("text"))).otherwise(F.xxhash64(F.col("doc_id").cast("string"))).alias("h"), F.coalesce("text", F.lit("")).alias("text")).collect()
     by: dict = {}
     for r in keyed:
         at = by.setdefault(r["lang"], {})
@@ -199,3 +199,17 @@ def test_run(spark, data):
         assert after.filter(F.col("n_chars") != F.length("text")).count() == 0
         before = after
     assert corpus_pipeline.run(spark, data).select("doc_id").distinct().count() == before.select("doc_id").distinct().count() > 100
+
+
+def test_rows_without_an_id_are_judged_each_by_itself(spark, docs, data):
+    base = docs.filter("doc_id IS NOT NULL")
+    copied = base.filter("length(text) > 1000").orderBy("doc_id").first()["text"]
+    unlike = ["first of its kind " * 3 + "alpha beta gamma delta epsilon", "zeta eta theta iota kappa lambda mu nu xi omicron pi"]
+    twin = "rho sigma tau upsilon phi chi psi omega and so on and on to the end"
+    texts = [copied + " x", *unlike, twin, twin, None, ""]
+    more = base.union(spark.createDataFrame([(None, t, "en", "s", 1) for t in texts], base.schema)).repartition(3)
+    got = [r["text"] for r in STAGES["ngram_join"](spark, more, data).collect() if r["doc_id"] is None]
+    assert sorted(got, key=str) == sorted([*unlike, twin, None, ""], key=str)
+    assert STAGES["ngram_join"](spark, more, data).filter("doc_id IS NOT NULL").count() == STAGES["ngram_join"](spark, base, data).count()
+    labelled = more.filter("doc_id IS NOT NULL").select(F.lit(None).cast("long").alias("doc_id"), "text", "lang", "source", "n_chars")
+    assert STAGES["language_id"](spark, labelled, data).count() == STAGES["language_id"](spark, base, data).count()
