@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.llm import language_id, line_dedup, ngram_join, packing, secrets
-from tesserae.llm.common import id_of, whole_row
+from tesserae.llm.common import LAST_ID, id_of, whole_row
 from tesserae.llm.queries import tokenizer_path
 from tesserae.session import ship, table, written
 
@@ -48,11 +48,21 @@ def unrepeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def no_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays; rows of one id stay together."""
+    """Of each group of near copies the document with the smallest id stays; rows of one id stay together.
+
+    A row without an id is a document of its own, after all that have one, in the order in which the rows are written;
+    ids are below 2**62.
+    """
     ship(spark)
-    found = ngram_join.ngram_components(docs, WORDS, PERCENT)
+    nameless = F.col("doc_id").isNull()
+    rows = docs.select(whole_row(docs), id_of("doc_id").alias("_id"), "text")
+    if not docs.filter(nameless).isEmpty():
+        # written, so that a row has its number in every job that reads it
+        own = F.when(nameless, F.lit(LAST_ID - (1 << 61)) + F.monotonically_increasing_id()).otherwise(id_of("doc_id"))
+        rows = written(docs.select(whole_row(docs), own.alias("_id"), "text"), "numbered")
+    found = ngram_join.ngram_components(rows.select("_id", "text"), WORDS, PERCENT, id_col="_id")
     stays = found.filter(F.col("component_id").eqNullSafe(F.col("id"))).select(id_of("id").alias("_id")).distinct()
-    return docs.select(whole_row(docs), id_of("doc_id").alias("_id")).join(stays, "_id", "left_semi").select("doc.*")
+    return rows.select("doc", "_id").join(stays, "_id", "left_semi").select("doc.*")
 
 
 def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
