@@ -31,6 +31,11 @@ def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "12g
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether tasks run on the driver's machine, in its own process's folder."""
+    return bool(re.match(r"local(\[|$)", spark.sparkContext.master))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local session gets a folder of its own, and any other is refused."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,7 +43,7 @@ def shared_dir(spark: SparkSession) -> str:
         return set_by_cluster.rstrip("/")
     given = spark.sparkContext._jsc.sc().getCheckpointDir()
     if given.isEmpty():
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tesserae-"))
         given = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -75,9 +80,9 @@ def release() -> None:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let executors import this package when it is not on their path already."""
+    """Let executors import this package: a local session has it on its path, any other gets it as an archive."""
     app = spark.sparkContext.applicationId
-    on_path = ROOT in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == ROOT
+    on_path = is_local(spark) and (ROOT in os.environ.get("PYTHONPATH", "").split(os.pathsep) or os.getcwd() == ROOT)
     if on_path or app in _shipped:
         return
     _shipped.add(app)
