@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.session import written
+
 
 def parent_by_prefix(df: DataFrame, code: str, lengths: Sequence[int], into: str = "parent") -> DataFrame:
     """The longest proper prefix of each code that is itself a code of df; null where there is none.
@@ -60,22 +62,29 @@ def block_pairs(left: DataFrame, right: DataFrame, rules: Sequence[Sequence[str]
     comes once without a distinct over all pairs, and rows without a rule's keys never reach its shuffle.
     Where `hot` is given, right rows of keys that have more rows are dealt over `salts` parts by their
     id, and left rows of those keys go to each part: the pairs stay the same, no task has a whole block.
+    One count of all rules' keys finds them; without any, the joins are as they are without `hot`.
     """
     found = []
     cols = sorted({c for rule in rules for c in rule})
     l_all = left.select(F.col(left_id).alias("l_id"), *[F.col(c).alias(f"l_{c}") for c in cols])
     r_all = right.select(F.col(right_id).alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in cols])
     agree = [reduce(lambda a, b: a & b, [F.col(f"l_{c}") == F.col(f"r_{c}") for c in rule]) for rule in rules]
+    salted: set[int] = set()
+    if hot is not None:
+        keys = [F.when(reduce(lambda a, b: a & b, [F.col(f"r_{c}").isNotNull() for c in rule]), F.struct(F.lit(k).alias("rule"), F.xxhash64(*[F.col(f"r_{c}") for c in rule]).alias("key"))) for k, rule in enumerate(rules)]
+        large = r_all.select(F.explode(F.array_compact(F.array(*keys))).alias("_b")).groupBy("_b.rule", "_b.key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("rule", "key")
+        large = written(large, "hot-blocks")
+        salted = {r["rule"] for r in large.select("rule").distinct().collect()}  # a number for each rule
     for k, rule in enumerate(rules):
         l_has = reduce(lambda a, b: a & b, [F.col(f"l_{c}").isNotNull() for c in rule])
         r_has = reduce(lambda a, b: a & b, [F.col(f"r_{c}").isNotNull() for c in rule])
         l_rows, r_rows, on = l_all.filter(l_has), r_all.filter(r_has), agree[k]
-        if hot is not None:
-            l_key, r_key = [f"l_{c}" for c in rule], [f"r_{c}" for c in rule]
-            large = r_rows.groupBy(*r_key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).withColumn("_hot", F.lit(True)).drop("_n")
-            r_rows = r_rows.join(large, r_key, "left").withColumn("_rs", F.when(F.col("_hot"), F.pmod(F.xxhash64("r_id"), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot")
-            l_rows = l_rows.join(large.toDF(*l_key, "_hot"), l_key, "left")
-            l_rows = l_rows.withColumn("_ls", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot")
+        if k in salted:
+            key = lambda side: F.xxhash64(*[F.col(f"{side}_{c}") for c in rule])  # noqa: B023, E731
+            own = large.filter(F.col("rule") == k).select("key", F.lit(True).alias("_hot"))
+            r_rows = r_rows.withColumn("key", key("r")).join(own, "key", "left").withColumn("_rs", F.when(F.col("_hot"), F.pmod(F.xxhash64("r_id"), F.lit(salts))).otherwise(F.lit(0).cast("long"))).drop("_hot", "key")
+            l_rows = l_rows.withColumn("key", key("l")).join(own, "key", "left")
+            l_rows = l_rows.withColumn("_ls", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).otherwise(F.array(F.lit(0).cast("long"))))).drop("_hot", "key")
             on = on & (F.col("_ls") == F.col("_rs"))
         pairs = l_rows.join(r_rows, on)
         for earlier in agree[:k]:

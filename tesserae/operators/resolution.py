@@ -33,7 +33,7 @@ class ResolveConfig:
     keep_from: float = 0.30
     left_country: str = "US"
     home: str = "US"
-    hot_block: int | None = None  # rows of a block from which on it is dealt over several tasks
+    hot_block: int | None = 20_000  # names of a block from which on it is dealt over several tasks; None: never
 
     @classmethod
     def of(cls, **options) -> ResolveConfig:

@@ -31,13 +31,27 @@ def read_text_csv(spark: SparkSession, path: str | list[str], sep: str = ",", qu
 def read_delimited_by_name(spark: SparkSession, paths: Sequence[str], sep: str = "\t", quote: str = '"') -> DataFrame:
     """Several delimited files, columns aligned by the names in their headers; absent ones are null.
 
-    Files with equal headers share one reader, as a glob over different headers aligns by position.
+    paths are files, folders or globs. Files with equal headers share one reader, as a glob over different headers
+    aligns by position. All headers are read in one job, a line of each file; empty files are left out, and none with
+    a header is an error.
     """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for path in (p for f in frames for p in f["path"]):
+            system, place = file_system(path)
+            with system.open_input_stream(place, compression="detect") as file:
+                line = b""
+                while b"\n" not in line and (more := file.read(1 << 16)):
+                    line += more
+            yield pd.DataFrame({"path": [path], "head": [line.split(b"\n", 1)[0].decode().rstrip("\r")]})
+
+    files = spark.read.format("binaryFile").load(list(paths)).select("path")  # contents are not read here
     heads: dict[str, list[str]] = {}
-    for p in paths:
-        first = spark.read.text(p).first()
-        heads.setdefault(first[0].rstrip("\r") if first else "", []).append(p)
+    for path, head in sorted(map(tuple, files.mapInPandas(run, "path string, head string").collect())):  # a line for each file
+        heads.setdefault(head.removeprefix("\ufeff"), []).append(path)
     frames = [read_text_csv(spark, group, sep, quote) for head, group in sorted(heads.items()) if head]
+    if not frames:
+        raise ValueError("no file has a header")
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime
+import hashlib
 import json
 import random
 import zipfile
@@ -9,8 +11,10 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae.functions import scalars
 from tesserae.functions.scalars import checked, jaro_winkler, jaro_winkler_batch, jaro_winkler_of, mod97, strip_accents
-from tesserae.operators import codelists, fingerprint, gates, joins, lineage, profile, reshape, resolution, trending, windows
+from tesserae.functions.sql import define_functions, set_variables
+from tesserae.operators import codelists, fingerprint, gates, joins, lineage, packages, profile, reshape, resolution, trending, windows
 from tesserae.sources import readers, sinks
 
 
@@ -238,3 +242,143 @@ def test_export_metadata(spark, tmp_path):
 def test_csv_nulls(spark):
     df = spark.createDataFrame([(1, 'a"b', None)], "k int, s string, n string")
     assert sinks.csv_line(df).first()["line"] == '1,"a""b",'
+
+
+def test_globs(spark, tmp_path):
+    for name in ("a/x1.txt", "a/b/x2.txt", "a/b/c/x3.txt", "a/b/_hidden.txt", "a/.dot/x4.txt", "a/b/y[1].csv", "d/x5.txt", "x6.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    found = lambda glob: [p.split(str(tmp_path))[-1].lstrip("/") for p, *_ in readers.glob_files(spark, f"{tmp_path}/{glob}")]
+    assert found("**/x?.txt") == ["a/b/c/x3.txt", "a/b/x2.txt", "a/x1.txt", "d/x5.txt", "x6.txt"]
+    assert found("*/x[1-4].txt") == ["a/x1.txt"] and found("[!a]/*") == ["d/x5.txt"]
+    assert found("a/**") == ["a/b/c/x3.txt", "a/b/x2.txt", "a/b/y[1].csv", "a/x1.txt"]
+    assert found("a/**/b/**/*.txt") == ["a/b/c/x3.txt", "a/b/x2.txt"]
+    assert found("a/b/_*") == ["a/b/_hidden.txt"] and found("a/.*/*") == ["a/.dot/x4.txt"]
+    assert found("a/b/y[[]1].csv") == ["a/b/y[1].csv"] and found("nowhere/*") == [] and found("x6.txt") == ["x6.txt"]
+    rows = readers.file_manifest(spark, f"{tmp_path}/**/c/*.txt").collect()
+    assert [(r["name"], r["bytes"], r["sha256"]) for r in rows] == [("x3.txt", 12, hashlib.sha256(b"a/b/c/x3.txt").hexdigest())]
+
+
+def test_headers_of_files(spark, tmp_path):
+    for name, text in {"1.tsv": "a\tb\n1\t2\n", "2.tsv": "b\ta\r\n3\t4\r\n", "3.tsv": "", "4.tsv": "c\n5\n"}.items():
+        (tmp_path / name).write_text(text)
+    rows = readers.read_delimited_by_name(spark, [f"{tmp_path}/*.tsv"]).select("a", "b", "c").collect()
+    assert sorted(map(str, map(tuple, rows))) == sorted(map(str, [("1", "2", None), ("4", "3", None), (None, None, "5")]))
+
+
+def test_row_groups_and_sizes(spark, tmp_path):
+    rows = spark.range(5_000).select("id", F.when(F.col("id") % 10 == 0, None).when(F.col("id") % 3 == 0, "a").otherwise("b").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    sinks.export_parquet(rows, str(tmp_path / "g"), ["id"], row_group_rows=300)
+    groups = readers.row_groups(spark, str(tmp_path / "g")).collect()
+    last = {r["path"]: max(g["row_group"] for g in groups if g["path"] == r["path"]) for r in groups}
+    assert sum(r["n_rows"] for r in groups) == 5_000 and all(r["n_rows"] == 300 for r in groups if r["row_group"] < last[r["path"]])
+    plan = {r["k"]: r["n_files"] for r in sinks.write_sized(rows, str(tmp_path / "s"), 20_000, ["k"], ["id"]).collect()}
+    files = readers.row_groups(spark, str(tmp_path / "s")).groupBy("path").agg(F.sum("bytes").alias("b")).collect()
+    assert sum(plan.values()) == len(files) and len(plan) == 3 and all(10_000 <= r["b"] <= 30_000 for r in files)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    assert back.count() == 5_000 and back.filter("k IS NULL").count() == 500
+    sinks.write_sized(rows.limit(0), str(tmp_path / "e"), 20_000)
+    assert spark.read.schema(rows.schema).parquet(str(tmp_path / "e")).count() == 0
+    with pytest.raises(ValueError):
+        sinks.export_parquet(rows, str(tmp_path / "x"), ["id"], row_group_rows=0)
+
+
+def test_digest_trees(spark):
+    rows = spark.range(9_000).select((F.col("id") % 8_000).alias("a"), F.when(F.col("id") % 7 == 0, None).otherwise("x").alias("b"))
+    one = fingerprint.table_fingerprint(rows).first()
+    assert one["n_rows"] == 9_000 and fingerprint.tree_digits(9_000) == 2
+    assert fingerprint.table_fingerprint(rows.repartition(7).select("b", "a")).first() == one
+    assert fingerprint.table_fingerprint(rows.union(rows.limit(1))).first()["fingerprint"] != one["fingerprint"]
+    assert fingerprint.table_fingerprint(rows.limit(0)).first()["n_rows"] == 0
+    other = rows.withColumn("b", F.when(F.col("a") == 5, "y").otherwise(F.col("b")))
+    assert fingerprint.differing_buckets(rows, rows.repartition(3), 2).count() == 0
+    found = fingerprint.differing_buckets(rows, other, 4).collect()
+    assert 1 <= len(found) <= 4
+    diff = sorted(str(tuple(r)) for r in fingerprint.differing_rows(rows, other, 4).collect())
+    assert diff == sorted(map(str, [(5, "x", 2, 0), (5, "y", 0, 2)]))
+
+
+def test_verified_content(spark):
+    good = hashlib.sha256(b"x").hexdigest()
+    rows = [("1", "x", good), ("2", "x", good.upper() + " "), ("3", "x", None), ("4", "x", ""), ("5", "x", "ab"), ("6", None, good), ("7", "y", good)]
+    objects, locators, refused = fingerprint.verified_content(spark.createDataFrame(rows, "l string, c string, d string"), "l", "c", "d")
+    assert [(r["sha256"], r["n_locators"]) for r in objects.collect()] == [(good, 2)] and locators.count() == 2
+    assert {r["locator"]: r["reason"] for r in refused.collect()} == {"3": "blank", "4": "blank", "5": "malformed", "6": "no content", "7": "mismatch"}
+
+
+def test_samples_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(windows, "LAST_ROWS", 20)
+    monkeypatch.setattr(windows, "RANGE_BITS", 4)
+    base = spark.range(3_000).select((F.col("id") % 1_500).alias("k"), F.when(F.col("id") < 1_500, "a").alias("v"))
+    same = base.union(spark.createDataFrame([(7, "a")] * 500, "k long, v string"))
+    want = [r["h"] for r in same.select(F.xxhash64("k", F.lit(42)).alias("h")).orderBy("h").collect()]
+    for n in (0, 1, 19, 700, 2_999, 3_500, 9_999):
+        got = windows.seeded_sample(same.repartition(5), n, "k").select(F.xxhash64("k", F.lit(42)).alias("h")).orderBy("h").collect()
+        assert [r["h"] for r in got] == want[:n]
+
+
+def test_sketches_keep_their_bounds(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).when(F.col("id") % 3 == 1, (F.col("id") % 40).cast("string")).otherwise(F.col("id").cast("string")).alias("s"), (F.col("id") * 7919 % 60_000).cast("double").alias("x"), F.lit(None).cast("string").alias("none"))
+    got = {r["column_name"]: r for r in profile.sketch(rows.repartition(7), top=5, followed=200, accuracy=100).collect()}
+    true = {r["s"]: r["count"] for r in rows.groupBy("s").count().collect()}
+    s = got["s"]
+    assert s["frequent"][0]["value"] == "hot" and s["frequent_error"] > 0 and s["constraints"]["enum"] is None
+    assert all(abs(f["n_rows"] - true[f["value"]]) <= s["frequent_error"] for f in s["frequent"])
+    listed = {f["value"] for f in s["frequent"]}
+    assert all(v in listed for v, n in true.items() if n > s["frequent"][-1]["n_rows"] + s["frequent_error"])
+    assert all(abs(q - p * 60_000) <= 601 for q, p in zip(got["x"]["quantiles"], (0.25, 0.5, 0.75)))
+    assert got["x"]["constraints"]["minimum"] == 0 and got["x"]["constraints"]["maximum"] == 59_999 and got["x"]["constraints"]["required"]
+    assert got["none"]["n_values"] == 0 and got["none"]["frequent"] == [] and not got["none"]["constraints"]["required"]
+    few = profile.sketch(spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "v string")).first()
+    assert [tuple(f) for f in few["frequent"]] == [("a", 2), ("b", 1)] and few["frequent_error"] == 0
+    assert few["constraints"].asDict() == {"required": False, "minimum": None, "maximum": None, "minLength": 1, "maxLength": 1, "enum": ["a", "b"]}
+    assert profile.sketch(rows.limit(0)).count() == 3
+
+
+def test_patterns_of_contracts(spark):
+    cases = [(r"^\$[0-9]+$", ["$5", "$17"], ["5", "$5\n", "$"]), ("^[$]+$", ["$$"], ["a"]), ("^a$|^b$", ["a", "b"], ["a\n", "ab"]), (r"^[^$\]]+[[&]$", ["x[", "x&"], ["$[", "x"]), ("^[]a]+$", ["]a"], ["b"]), (r"x\\$", ["x\\"], ["x$"])]
+    for pattern, good, bad in cases:
+        df = spark.createDataFrame([(v,) for v in good + bad + [None]], "v string")
+        r = gates.validate_contract(df, {"properties": {"v": {"pattern": pattern}}}).first()
+        assert (r["total"], r["rejects"]) == (len(good + bad), len(bad)), pattern
+    flags = spark.createDataFrame([(True, 1, 1.5), (False, 2, 2.5)], "b boolean, n int, x double")
+    rules = {"b": {"enum": [True]}, "n": {"const": 1}, "x": {"enum": [1.5, 2.5]}}
+    assert {r["column_name"]: r["rejects"] for r in gates.validate_contract(flags, {"properties": rules}).collect()} == {"b": 1, "n": 1, "x": 0}
+
+
+def test_operators_by_name_and_version(spark):
+    rows = spark.range(5)
+    assert packages.operator("table_fingerprint@^2")({"df": rows}).first()["n_rows"] == 5
+    assert packages.operator("seeded_sample")({"df": rows}, {"n": 2, "key": "id"}).count() == 2
+    for version, met, unmet in [((1, 4, 2), ["1", "^1.2", "~1.4", "1.4.2", "=1.4", ">=1.2, <2", ">1.3", "<=1.4"], ["2", "^1.5", "~1.3", "=1.4.1", ">1.4", "<1.4.2"]), ((0, 2, 3), ["0.2", "^0.2.1"], ["0.1", "^0.3"])]:
+        assert all(packages._meets(version, c) for c in met) and not any(packages._meets(version, c) for c in unmet)
+    for bad in ("nothing", "seeded_sample@1", "seeded_sample@x"):
+        with pytest.raises(ValueError):
+            packages.operator(bad)
+    for tables, options in (({}, {"n": 1, "key": "id"}), ({"df": rows}, {"n": 1}), ({"df": rows}, {"n": 1, "key": "id", "more": 1}), ({"df": rows, "other": rows}, {"n": 1, "key": "id"})):
+        with pytest.raises(ValueError):
+            packages.operator("seeded_sample")(tables, options)
+    assert "hot_block" in packages.operator("resolve").options
+
+
+def test_sql_functions_are_the_columns(spark):
+    define_functions(spark, "f_")
+    odd = ["529900T8BM49AURSDO55", " 529900t8bm49aursdo55 ", "6GG1425B5X0SPG36P158", "0" * 20, "a!b", "", None, "0012", "1,234", "2024-02-30", "2024-02-28T10", "Société ß ł", "  a \n b ", "null", "x" * 64, "ab" * 32]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    df.createOrReplaceTempView("f_odd")
+    c = F.col("v")
+    pairs = {"mod97": scalars.mod97(c), "unpad": scalars.unpad(c), "strip_accents": scalars.strip_accents(c), "clean_text": scalars.clean_text(c), "thousands": scalars.thousands(c), "iso_date": scalars.iso_date(c), "valid_digest": fingerprint.valid_digest(c)}
+    for name, column in pairs.items():
+        got = [r[0] for r in spark.sql(f"SELECT f_{name}(v) FROM f_odd").collect()]
+        assert got == [r[0] for r in df.select(column).collect()], name
+    set_variables(spark, {"f_text": "it's \\ a", "f_none": "", "f_day": datetime.date(2024, 1, 2), "f_flag": True, "f_n": 3})
+    assert tuple(spark.sql("SELECT f_text, f_none, f_day, f_flag, f_n").first()) == ("it's \\ a", None, datetime.date(2024, 1, 2), True, 3)
+    with pytest.raises(ValueError):
+        set_variables(spark, {"a; b": 1})
+
+
+def test_hot_blocks_give_the_same_pairs(spark):
+    left = spark.range(300).select(F.concat(F.lit("l"), F.col("id").cast("string")).alias("i"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("a"), (F.col("id") % 20).cast("string").alias("b"))
+    right = left.withColumn("i", F.concat(F.lit("r"), "i")).union(spark.createDataFrame([("n", None, "1"), ("m", "hot", None)], "i string, a string, b string"))
+    pairs = lambda hot: sorted(map(tuple, joins.block_pairs(left, right, [["a"], ["b", "a"], ["b"]], "i", "i", hot).collect()))
+    assert pairs(None) == pairs(50) == pairs(10) == pairs(10_000)
