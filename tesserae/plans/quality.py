@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tesserae.catalog import query
 from tesserae.operators import fingerprint, gates, lineage, packages, profile, reshape
 from tesserae.session import fresh_path, ship, table
-from tesserae.streaming.streams import STATE_STORE, latest_states, save_bursts
+from tesserae.streaming.streams import STATE_STORE, gated, latest_states, save_bursts
 from tesserae.streaming.streams import debounced as debounced_log
 
 _EXPECTED = {"customer": 1500, "supplier": 60, "part": 3000}
@@ -463,3 +464,33 @@ def debounced_stream(spark: SparkSession, d: str) -> DataFrame:
     finally:
         spark.conf.set(name, before)
     return spark.read.schema(judged.schema).parquet(out).filter("user_id != -1").select("user_id", "event_id", "kind", "event_type")
+
+
+@query(
+    "stream_gated",
+    "SELECT 'accepted' AS verdict, o_orderstatus, count(*) AS n_rows FROM orders GROUP BY 2 UNION ALL SELECT 'refused', o_orderstatus, count(*) FROM orders WHERE o_orderstatus = 'P' GROUP BY 2 HAVING count(*) > 0",
+)
+def gated_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as a stream through a gate that finds nothing, and through one whose finding ends the stream before anything is stored; then what each has stored or refused."""
+    source = fresh_path(spark, "orders")
+    table(spark, d, "orders").write.parquet(source)
+    stream = spark.readStream.schema(table(spark, d, "orders").schema).parquet(source)
+    out, none = fresh_path(spark, "accepted"), fresh_path(spark, "refused")
+
+    def through(gate, into: str) -> bool:
+        sink = lambda batch, number: batch.write.mode("overwrite").parquet(f"{into}/batch={number}")
+        run = gated(stream, gate, "orders", sink).option("checkpointLocation", fresh_path(spark, "gated")).trigger(availableNow=True).start()
+        try:
+            run.awaitTermination()
+        except StreamingQueryException as e:
+            if "orders" not in str(e):
+                raise
+            return False
+        return True
+
+    accepted = through(lambda rows: gates.duplicate_keys(rows, ["o_orderkey"]), out)
+    closed = through(lambda rows: rows.filter("o_orderstatus = 'P'").groupBy("o_orderstatus").count(), none)
+    stored = spark.read.parquet(f"{out}/batch=*").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"))
+    kept = stored.filter(F.lit(accepted)).select(F.lit("accepted").alias("verdict"), "o_orderstatus", "n_rows")
+    refused = table(spark, d, "orders").filter("o_orderstatus = 'P'").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n_rows"))
+    return kept.unionByName(refused.filter(F.lit(not closed)).select(F.lit("refused").alias("verdict"), "o_orderstatus", "n_rows"))
