@@ -1,10 +1,10 @@
 """Operator 7, WARC archives with an index first.
 
-Tasks write records as gzip members, one archive to a task and attempt, in the shared folder, and
+Tasks write records as gzip members, to archives of a bounded size of their own, in the shared folder, and
 return an index row for each: file, offset, length, URL and digest. The committed index alone says
 which archives count, so an attempt that was lost leaves a file that nobody reads. Records are read
-back through the index: the selected rows are dealt by file and sorted by offset, near ranges are
-coalesced, and each coalesced range is one read.
+back through the index: the selected rows are dealt by file and stretch of it and sorted by offset, near
+ranges are coalesced, and each coalesced range is one read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from tesserae.session import fresh_path, written
 MIN_BYTES = 0
 #: Ranges whose gap is at most so many bytes are read together, up to so many bytes.
 GAP, MOST = 1 << 16, 8 << 20
+#: Bytes after which a task begins a next archive, and of an archive's stretches that are dealt to tasks.
+ARCHIVE_BYTES, STRETCH = 1 << 30, 1 << 26
 #: Fixed by the format: the profile of a revisit, and an instant for records that have none.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 UNDATED = "1970-01-01T00:00:00Z"
@@ -57,6 +59,7 @@ def record(page_id: int, url: str, payload: bytes, digest: str, refers_to: int |
         f"WARC-Date: {UNDATED}",
         f"WARC-Target-URI: {url}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        "Content-Type: text/html; charset=utf-8",
         f"X-Payload-Length: {len(payload)}",
         f"Content-Length: {len(body)}",
     ]
@@ -86,8 +89,8 @@ def revisits(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     return again.select("_id", "_row", F.col("_best").alias("_refers")).distinct()
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write a record for each row and return the index (file, offset, length, url, digest, page_id).
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
+    """Write a record for each row, to archives of about archive_bytes at most, and return the index (file, offset, length, url, digest, page_id).
 
     The payload is the html in UTF-8, a null one empty; a null url is empty, and white space in one is
     percent-encoded, as a header ends with its line. A null id stands after all others and is written
@@ -112,6 +115,9 @@ def write_archives(pages: DataFrame, folder: str, min_bytes: int = MIN_BYTES, id
                 out.write(data)
                 found.append((name, at, len(data), url, digest, i))
                 at += len(data)
+                if at >= archive_bytes:
+                    out.close()
+                    name, at, out = f"{uuid.uuid4().hex}.warc.gz", 0, None
             if found:
                 types = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), types)], ["file", "offset", "length", "url", "digest", "page_id"])
@@ -174,7 +180,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
         if file:
             file.close()
 
-    chosen = index.select("file", "offset", "length", "digest").repartition(slots(index), "file").sortWithinPartitions("file", "offset")
+    stretch = F.floor(F.col("offset") / STRETCH)
+    chosen = index.select("file", "offset", "length", "digest").repartition(slots(index), F.col("file"), stretch).sortWithinPartitions("file", "offset")
     return chosen.mapInArrow(run, RECORD)
 
 
