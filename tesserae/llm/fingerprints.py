@@ -42,16 +42,31 @@ GAP = 8
 _WORD = re.compile(r"[^\W_]+")
 
 
-def hashed_spots(content: list[str], start: int, stop: int, gap: int) -> list[tuple[str, int]]:
-    """Of each gap content words in a row between two places the first with the smallest hash, and the place after it."""
-    if stop - start < gap:
-        return []
-    h = np.fromiter((zlib.crc32(w.encode()) for w in content[start:stop]), np.uint32, stop - start)
-    least = np.lib.stride_tricks.sliding_window_view(h, gap).argmin(1)
-    return [(content[start + i], start + i + 1) for i in np.unique(least + np.arange(len(least))).tolist()]
-
-
-def signatures(text: str, chain: int = CHAIN, step: int = STEP, anchors: frozenset[str] = ANCHORS) -> np.ndarray:
+class WordHashes(dict):
+    """The hash of each word met, made once; forgotten when there are too many."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        self[word] = h = zlib.crc32(word.encode())
+        return h
+
+
+def hashed_spots(h: np.ndarray, ends: list[int], gap: int) -> list[int]:
+    """Of each `gap` content words in a row between two of the ends the place of the first with the smallest hash."""
+    least = (h.astype(np.uint64) << np.uint64(32)) | np.arange(len(h), dtype=np.uint64)
+    size = 1
+    while size < gap and len(least):
+        step = min(size, gap - size)
+        least = np.minimum(least[:-step], least[step:])
+        size += step
+    at = np.arange(len(least))
+    stops = np.array(ends, np.int64)
+    within = at + gap <= stops[np.searchsorted(stops, at, "right")] if len(at) else at > 0
+    return np.unique(least[within] & np.uint64(0xFFFFFFFF)).tolist()
+
+
+def signatures(text: str, chain: int = CHAIN, step: int = STEP, anchors: frozenset[str] = ANCHORS, hashes: WordHashes | None = None) -> np.ndarray:
     """The sorted 32-bit hashes of a text's signatures.
 
     The start of the text counts as an anchor, so any text with a word has a signature; chains at the
@@ -63,21 +78,18 @@ def signatures(text: str, chain: int = CHAIN, step: int = STEP, anchors: frozens
     if not words:
         rest = "".join(text.split())
         return np.array([zlib.crc32(rest.encode())] if rest else [], np.uint32)
-    content: list[str] = []
-    spots = [("^", 0)]
-    for w in words:
-        if w in anchors:
-            spots.append((w, len(content)))
-        else:
-            content.append(w)
-    if len(spots) == 1 and not content:
+    marks = [k for k, w in enumerate(words) if w in anchors]
+    content = [w for w in words if w not in anchors] if marks else words
+    if not marks and not content:
         return np.zeros(0, np.uint32)
+    spots = [("^", 0), *((words[k], k - j) for j, k in enumerate(marks))]
     reach = chain * step
-    gap = GAP if len(spots) > 1 else reach + 1
+    hashes = WordHashes() if hashes is None else hashes
+    gap = GAP if marks else reach + 1
     ends = [i for _, i in spots] + [len(content)]
-    for start, stop in zip(ends, ends[1:]):
-        if stop - start >= gap:
-            spots += hashed_spots(content, start, stop, gap)
+    if any(stop - start >= gap for start, stop in zip(ends, ends[1:])):
+        h = np.fromiter(map(hashes.__getitem__, content), np.uint32, len(content))
+        spots += [(content[i], i + 1) for i in hashed_spots(h, ends, gap)]
     found = {" ".join((a, *content[i : i + reach : step])) for a, i in spots}
     return np.sort(np.fromiter((zlib.crc32(x.encode()) for x in found), np.uint32, len(found)))
 
@@ -171,7 +183,7 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     more = F.struct(F.col("_to").alias("to"), F.lit(True).alias("ahead"))
     dealt = joined.withColumn("_at", F.explode(F.when(F.col("_to").isNull(), F.array(own)).otherwise(F.array(own, more))))
     dealt = dealt.select(F.col("_at.to").alias("_part"), F.col("_at.ahead").alias("_ahead"), "_id", "_row", "_text")
-    return dealt.repartitionByRange(max(1, len(firsts)), "_part").sortWithinPartitions("_part", "_ahead", "_id", "_row")
+    return dealt.repartitionById(max(1, parts), F.col("_part")).sortWithinPartitions("_part", "_ahead", "_id", "_row")
 
 
 def edited(text: str, following: str) -> str:
@@ -195,14 +207,15 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         before = None  # range, id, text, signatures of the row before
+        hashes = WordHashes()
         for b in batches:
             out = []
             for part, ahead, i, text in zip(*(b.column(k).to_pylist() for k in (0, 1, 2, 4))):
-                own = np.unique(signatures(text))
+                own = np.unique(signatures(text, hashes=hashes))
                 if before and before[0] == part:
                     _, j, prior, signs = before
                     changed = edited(prior, text)
-                    other = np.unique(signatures(changed))
+                    other = np.unique(signatures(changed, hashes=hashes))
                     out.append((j, len(prior), hashlib.sha256(changed.encode()).hexdigest(), packed(signs), packed(other), pruned_jaccard(signs, other), pruned_jaccard(signs, own)))
                 before = None if ahead else (part, i, text, own)
             if out:

@@ -498,6 +498,48 @@ def test_keys_in_other_encodings():
             assert not secrets.spans_of("k " + text + " end.")
 
 
+def plain_fingerprint(text: str) -> str:
+    """The fingerprint by its definition: anchors in order, chains of three content words, anchors by hash where eight content words have none."""
+    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+    if not words:
+        rest = "".join(text.split())
+        return f"{zlib.crc32(rest.encode()):08x}" if rest else ""
+    content = [w for w in words if w not in fingerprints.ANCHORS]
+    starts, seen = [("^", 0)], 0
+    for w in words:
+        if w in fingerprints.ANCHORS:
+            starts.append((w, seen))
+        else:
+            seen += 1
+    if not content and len(starts) == 1:
+        return ""
+    gap = 8 if len(starts) > 1 else 4
+    places = [p for _, p in starts] + [len(content)]
+    for a, b in zip(places, places[1:]):
+        for k in range(a, b - gap + 1):
+            best = min(range(k, k + gap), key=lambda i: (zlib.crc32(content[i].encode()), i))
+            starts.append((content[best], best + 1))
+    chains = {" ".join([w, *content[p : p + 3]]) for w, p in starts}
+    return "".join(f"{h:08x}" for h in sorted({zlib.crc32(c.encode()) for c in chains}))
+
+
+def test_fingerprints_by_their_definition(spark, data):
+    docs = table(spark, data, "documents").select("doc_id", "text")
+    odd = [(10_000 + k, t) for k, t in enumerate(["", None, "!!! ???", "the of and", "one", "a_b c_d " * 9, "Ünï the ÀÉ 日本語 of x", "word " * 50, "the " + " ".join(f"n{k}" for k in range(40))])]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    text = [r["text"] or "" for r in docs.orderBy("doc_id").collect()]
+    got = fingerprints.op3(docs).orderBy("doc_id").collect()
+    parts = lambda f: {f[k : k + 8] for k in range(0, len(f), 8)}
+    alike = lambda x, y: len(parts(x) & parts(y)) / len(parts(x) | parts(y)) if x or y else 1.0
+    for k, r in enumerate(got):
+        nxt = text[(k + 1) % len(text)]
+        n = len(text[k]) // 4
+        changed = text[k][: len(text[k]) - n] + nxt[:n]
+        a, b, c = map(plain_fingerprint, (text[k], changed, nxt))
+        assert (r["n_chars"], r["fingerprint"], r["edited_fingerprint"]) == (len(text[k]), a, b)
+        assert (r["near_edited"], r["near_next"]) == (pytest.approx(alike(a, b)), pytest.approx(alike(a, c)))
+
+
 def test_ranges_of_one_id_are_cut_by_rows():
     lows = fingerprints.range_cuts([5.0, 7.0, 7.0, 7.0, 9.0])
     assert [i for i, _ in lows] == [5, 7, 7, 7, 9] and lows == sorted(lows)
@@ -595,6 +637,23 @@ def test_warc(spark):
     assert warc.op7(pages.limit(0)).count() == 0
 
 
+def test_warc_of_many_archives(spark, monkeypatch):
+    """Archives end at their size, a large one is read in stretches, and extra columns of clashing names do no harm."""
+    monkeypatch.setattr(warc, "STRETCH", 700)
+    rng = random.Random(2)
+    rows = [(k, f"http://u/{k}", "".join(rng.choice("abcdef<>/ ") for _ in range(rng.choice([0, 50, 900]))), "x", "y") for k in range(80)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, file string, _id string").repartition(3)
+    folder = fresh_path(spark, "warc")
+    index = written(warc.write_archives(pages, folder, archive_bytes=5_000), "index")
+    files = index.groupBy("file").agg(F.max(F.col("offset")).alias("o"), F.count("file").alias("n")).collect()
+    assert len(files) > 6 and all(r["o"] < 5_000 for r in files)
+    got = {r["page_id"]: r for r in warc.read_records(index, folder).collect()}
+    last = {html: k for k, _, html, *_ in rows}
+    for k, url, html, *_ in rows:
+        assert got[k]["url"] == url and got[k]["refers_to"] == (None if last[html] == k else last[html])
+        assert got[k]["payload"] == (html.encode() if last[html] == k else None)
+
+
 def test_warc_reads_a_selection(spark, data):
     pages = table(spark, data, "pages")
     folder = fresh_path(spark, "warc")
