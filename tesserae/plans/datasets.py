@@ -158,11 +158,11 @@ def industry(spark: SparkSession, d: str) -> DataFrame:
     return codelists.industry_list(industry_raw(spark, d), "2025-01-01")
 
 
-# fixed values: the level that a code's number of digits, up to a dash, stands for
+# fixed values: the level that a code's length stands for; a range is a sector, and a code of another length has no level
 _LEVEL_NAMES_SQL = "names(digits, level) AS (VALUES (2, 'sector'), (3, 'subsector'), (4, 'industry_group'), (5, 'naics_industry'), (6, 'national_industry'))"
 
 
-@query("code_level_names", f"WITH {_NAICS_SQL}, {_LEVEL_NAMES_SQL} SELECT DISTINCT code, names.level FROM raw JOIN names ON digits = strpos(code || '-', '-') - 1")
+@query("code_level_names", f"WITH {_NAICS_SQL}, {_LEVEL_NAMES_SQL} SELECT DISTINCT code, names.level FROM raw LEFT JOIN names ON digits = CASE WHEN contains(code, '-') THEN 2 ELSE length(code) END")
 def level_names(spark: SparkSession, d: str) -> DataFrame:
     return industry_raw(spark, d).select("code").distinct().select("code", codelists.industry_level_name(F.col("code")).alias("level"))
 

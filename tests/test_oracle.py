@@ -44,3 +44,15 @@ def test_matches_sql(spark, data, con, name):
 
 def test_every_query_has_sql():
     assert set(QUERIES) == set(SQL)
+
+
+def test_codes_of_any_length(spark, data, tmp_path):
+    """Part keys from 980,000 on make codes of seven digits, which have no level; SQL and query keep them alike."""
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW nation AS SELECT * FROM read_parquet('{data}/nation.parquet')")
+    c.execute(f"COPY (SELECT * FROM nation) TO '{tmp_path}/nation.parquet' (FORMAT parquet)")
+    c.execute(f"COPY (SELECT * REPLACE (p_partkey + 979_900 AS p_partkey) FROM '{data}/part.parquet') TO '{tmp_path}/part.parquet' (FORMAT parquet)")
+    c.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet'")
+    got = sorted(((r["code"], r["level"]) for r in QUERIES["code_level_names"](spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(c.execute(SQL["code_level_names"]).fetchall(), key=str)
+    assert {len(code) for code, level in got if level is None} == {7}
