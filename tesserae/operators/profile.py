@@ -5,14 +5,16 @@ from __future__ import annotations
 import json
 import warnings
 from collections.abc import Mapping, Sequence
+from fractions import Fraction
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tesserae.operators.fingerprint import dataset_fingerprint
 from tesserae.operators.gates import check_keys
 from tesserae.operators.windows import seeded_sample
+from tesserae.session import written
 from tesserae.sources.readers import file_manifest
 
 # Fixed patterns of semantic types, first match wins; a date needs separators, so eight digits are an integer.
@@ -70,18 +72,21 @@ def top_values(df: DataFrame, col: str, n: int = 10) -> DataFrame:
 FOLLOWED, ACCURACY = 10_000, 10_000
 
 
-def sketch(df: DataFrame, top: int = 10, quantiles: Sequence[float] = (0.25, 0.5, 0.75), followed: int = FOLLOWED, accuracy: int = ACCURACY, max_enum: int = 20) -> DataFrame:
+def sketch(df: DataFrame, top: int = 10, quantiles: Sequence[float] = (0.25, 0.5, 0.75), followed: int = FOLLOWED, accuracy: int = ACCURACY, max_enum: int = 20, exact: bool = False) -> DataFrame:
     """Frequent values, quantiles and observed constraints of all flat columns from one pass of mergeable sketches.
 
     (column_name, n_values, frequent, frequent_error, quantiles, constraints). frequent: the `top` values as text with
     their counts, most first, then by value; a count is off by frequent_error at most, which is 0 where the column has
     no more values than the sketch follows, and every value of a greater true count than the last one's and the error
-    is listed. quantiles: of numbers alone, values whose rank is off by n / accuracy at most. constraints: what all
+    is listed. quantiles: of numbers alone, values whose rank is off by about n / accuracy; with exact, the sketch only
+    says where to look, and exact_quantiles finds the values themselves in two more passes of each such column, at
+    once. constraints: what all
     rows satisfy: required, minimum and maximum of numbers, minLength and maxLength of texts, and enum, the sorted
     values, where there are max_enum at most. Tasks send sketches of a fixed size for each column; no column is
     shuffled. Nulls count nowhere; a column without values has neither frequent values nor bounds.
     """
     cols = _flat(df)
+    asked = _around(quantiles, accuracy) if exact else list(quantiles)
     n_top = max(top, max_enum + 1)
     aggs, structs = [F.count(F.lit(1)).alias("_rows")], []
     size = 1 << max(3, (int(followed / 0.75) - 1).bit_length())  # places of the sketch's table
@@ -93,7 +98,7 @@ def sketch(df: DataFrame, top: int = 10, quantiles: Sequence[float] = (0.25, 0.5
             F.count(x).alias(f"n{k}"),
             plain.alias(f"t{k}"),
             F.approx_count_distinct(x).alias(f"d{k}"),
-            (F.percentile_approx(x.cast("double"), list(quantiles), accuracy) if number else F.max(F.lit(None).cast("array<double>"))).alias(f"q{k}"),
+            (F.percentile_approx(x.cast("double"), asked, accuracy) if number else F.max(F.lit(None).cast("array<double>"))).alias(f"q{k}"),
             F.min(x if number else F.length(x.cast("string"))).cast("double").alias(f"a{k}"),
             F.max(x if number else F.length(x.cast("string"))).cast("double").alias(f"b{k}"),
         ]
@@ -101,9 +106,9 @@ def sketch(df: DataFrame, top: int = 10, quantiles: Sequence[float] = (0.25, 0.5
         ordered = F.array_sort(F.transform(listed, lambda s: F.struct((-s["count"]).alias("count"), s["item"].alias("value"))))
         frequent = F.transform(F.slice(ordered, 1, top), lambda s: F.struct(s["value"].alias("value"), (-s["count"]).alias("n_rows")))
         # the sketch drops values only when its table is fuller than three quarters; its counts are then off by 3.5 / size of n at most
-        exact = (F.aggregate(listed, F.lit(0).cast("long"), lambda s, x: s + x["count"]) == F.col(f"n{k}")) | (F.col(f"d{k}") < F.lit(int(size * 0.6)))
-        error = F.when(exact, F.lit(0)).otherwise(F.ceil(F.lit(3.5 / size) * F.col(f"n{k}"))).cast("long")
-        few = exact & (F.size(listed) <= max_enum) & (F.size(listed) > 0)
+        whole = (F.aggregate(listed, F.lit(0).cast("long"), lambda s, x: s + x["count"]) == F.col(f"n{k}")) | (F.col(f"d{k}") < F.lit(int(size * 0.6)))
+        error = F.when(whole, F.lit(0)).otherwise(F.ceil(F.lit(3.5 / size) * F.col(f"n{k}"))).cast("long")
+        few = whole & (F.size(listed) <= max_enum) & (F.size(listed) > 0)
         bound = lambda name, col, on: F.when(F.lit(on), F.col(col)).alias(name)
         constraints = F.struct(
             (F.col(f"n{k}") == F.col("_rows")).alias("required"),
@@ -116,7 +121,54 @@ def sketch(df: DataFrame, top: int = 10, quantiles: Sequence[float] = (0.25, 0.5
         structs.append(
             F.struct(F.lit(c).alias("column_name"), F.col(f"n{k}").alias("n_values"), frequent.alias("frequent"), error.alias("frequent_error"), F.col(f"q{k}").alias("quantiles"), constraints.alias("constraints"))
         )
-    return df.agg(*aggs).select(F.inline(F.array(*structs)))
+    one = df.agg(*aggs)
+    if exact:
+        one = written(one, "sketch")  # one row
+        numbers = [k for k, c in enumerate(cols) if isinstance(df.schema[c].dataType, T.NumericType)]
+        near = one.select(*[f"q{k}" for k in numbers]).first() if numbers else ()
+        for k, bounds in zip(numbers, near):
+            found = exact_quantiles(df, cols[k], quantiles, bounds=bounds)
+            one = one.withColumn(f"q{k}", F.array(*map(F.lit, found)).cast("array<double>") if found else F.lit(None).cast("array<double>"))
+    return one.select(F.inline(F.array(*structs)))
+
+
+def _around(quantiles: Sequence[float], accuracy: int) -> list[float]:
+    """A share below and one above each quantile, twice as far as a sketch of that accuracy is off."""
+    return [min(max(q + side * 2 / accuracy, 0.0), 1.0) for q in quantiles for side in (-1, 1)]
+
+
+def exact_quantiles(df: DataFrame, col: str, quantiles: Sequence[float] = (0.25, 0.5, 0.75), accuracy: int = ACCURACY, bounds: Sequence[float] | None = None) -> list[float]:
+    """For each quantile the least value of a column of numbers that at least that share of its values do not exceed; none of a column without values.
+
+    A sketch gives a value below and one above each (or bounds, two for each, as it gave them). One pass counts the
+    values up to these, so a bound on the wrong side is seen and dropped; another groups the values between them,
+    about 4 / accuracy of all, by value, and the counts up to each tell which one it is. Neither a task nor the driver
+    gets more of the column than that. Nulls count nowhere.
+    """
+    x = F.col(f"`{col}`")
+    at, rows = x.cast("double"), df.filter(x.isNotNull())
+    bounds = bounds or rows.agg(F.percentile_approx(at, _around(quantiles, accuracy), accuracy)).first()[0]
+    if not bounds:
+        return []
+    sides = list(zip(bounds[::2], bounds[1::2]))
+    n, *counts = rows.agg(F.count(F.lit(1)), *[f for low, high in sides for f in (F.count_if(at < low), F.count_if(at <= high))]).first()
+    inside, needs = [], []
+    for k, (q, (low, high)) in enumerate(zip(quantiles, sides)):
+        rank = max(1, n - int(n - n * Fraction(str(q))))  # rounded up
+        below, upto = counts[2 * k : 2 * k + 2]
+        holds = F.lit(True)
+        if below < rank:
+            holds = holds & (at >= low)
+        if upto >= rank:
+            holds = holds & (at <= high)
+        inside.append(F.when(holds, F.lit(k)))
+        needs.append(rank - (below if below < rank else 0))
+    values = rows.select(F.explode(F.array_compact(F.array(*inside))).alias("k"), x.alias("value")).groupBy("k", "value").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("k").orderBy("value"))
+    need = F.element_at(F.array(*map(F.lit, needs)), F.col("k") + 1)
+    found = values.withColumn("_upto", upto).filter((F.col("_upto") >= need) & (F.col("_upto") - F.col("n") < need)).select("k", F.col("value").cast("double").alias("value"))
+    by = {r["k"]: r["value"] for r in found.collect()}  # one for each quantile
+    return [by[k] for k in range(len(sides))]
 
 
 def infer_semantic_types(df: DataFrame, threshold: float = 0.95, rules: list[tuple[str, str]] | None = None) -> DataFrame:

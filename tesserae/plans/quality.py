@@ -165,8 +165,8 @@ UNION ALL SELECT 'o_totalprice', 'quantile', CAST(round(unnest(quantile_disc(o_t
 UNION ALL SELECT 'o_totalprice', 'bounds', CAST(round(min(o_totalprice) * 100) AS BIGINT) || '-' || CAST(round(max(o_totalprice) * 100) AS BIGINT), count(o_totalprice) FROM orders""",
 )
 def sketched(spark: SparkSession, d: str) -> DataFrame:
-    """Frequent values, quantiles, bounds and lists of values from one pass; with so few values and so fine a sketch they are exact."""
-    one = profile.sketch(table(spark, d, "orders").select(*_SKETCHED), accuracy=1_000_000)
+    """Frequent values, bounds and lists of values from one pass, exact with so few values; exact quantiles from two more."""
+    one = profile.sketch(table(spark, d, "orders").select(*_SKETCHED), exact=True)
     cents = lambda x: F.round(x * 100).cast("long").cast("string")
     c = F.col("constraints")
     frequent = one.filter("column_name != 'o_totalprice'").select("column_name", F.posexplode("frequent").alias("k", "f"))

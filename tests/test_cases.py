@@ -335,6 +335,16 @@ def test_sketches_keep_their_bounds(spark):
     assert profile.sketch(rows.limit(0)).count() == 3
 
 
+def test_quantiles_are_exact(spark):
+    rows = spark.range(100_000).select(F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") * 7919 % 100_000).alias("x"), F.when(F.col("id") < 90_000, 1.5).otherwise(2.5).cast("decimal(3,1)").alias("few"), F.lit("a").alias("t"), F.lit(None).cast("int").alias("none"))
+    shares = (0.0, 0.001, 0.25, 0.5, 0.9, 0.95, 1.0)
+    true = sorted(r["x"] for r in rows.filter("x IS NOT NULL").select("x").collect())
+    got = {r["column_name"]: r["quantiles"] for r in profile.sketch(rows.repartition(7), quantiles=shares, accuracy=50, exact=True).collect()}
+    assert got["x"] == [true[max(1, -(-int(q * 1000) * len(true) // 1000)) - 1] for q in shares]
+    assert got["few"] == [1.5] * 5 + [2.5] * 2 and got["t"] is None and got["none"] is None
+    assert profile.exact_quantiles(rows, "x", [0.5], bounds=[5.0, 6.0]) == profile.exact_quantiles(rows, "x", [0.5], bounds=[99_000.0, 99_001.0]) == [true[len(true) // 2 - 1]]
+
+
 def test_patterns_of_contracts(spark):
     cases = [(r"^\$[0-9]+$", ["$5", "$17"], ["5", "$5\n", "$"]), ("^[$]+$", ["$$"], ["a"]), ("^a$|^b$", ["a", "b"], ["a\n", "ab"]), (r"^[^$\]]+[[&]$", ["x[", "x&"], ["$[", "x"]), ("^[]a]+$", ["]a"], ["b"]), (r"x\\$", ["x\\"], ["x$"])]
     for pattern, good, bad in cases:
