@@ -63,14 +63,20 @@ def write_partitioned(df: DataFrame, dest: str, by: Sequence[str], max_rows: int
     (writer.option("maxRecordsPerFile", max_rows) if max_rows else writer).parquet(dest)
 
 
+#: How often write_sized deals the rows at most.
+DEALS = 4
+
+
 def write_sized(df: DataFrame, dest: str, target_bytes: int, by: Sequence[str] = (), sort: Sequence[str] = (), row_group_rows: int | None = None) -> DataFrame:
     """Parquet files of about target_bytes each, in a folder for each value of `by`: the plan (by, bytes, n_files) as it was made.
 
     The rows are written once to the shared folder, and the bytes that a row takes there are read from the footers;
     a value's share of them follows from the lengths of its rows as text. It gets bytes / target_bytes files, rounded,
-    one at least, so that only values with less than a file's bytes have a smaller one; its rows are dealt to these
-    evenly, each file by a task of its own. What a file takes in the end follows its own compression: within half the
-    target and one and a half times it for rows alike. `sort` orders the rows of each file. Null values have a folder too.
+    one at least and a file for each row at most, so that only values with less than a file's bytes have a smaller one;
+    its rows are dealt to these evenly, each file by a task of its own. Rows take more bytes in small files than in
+    large ones, so the footers of what was made are read: where a file has less than half the target or more than one
+    and a half times it, its value gets the number of files that the bytes made call for, and all is dealt once more,
+    up to DEALS times. `sort` orders the rows of each file. Null values have a folder too.
     """
     if target_bytes < 1:
         raise ValueError("target_bytes must be 1 or more")
@@ -80,24 +86,41 @@ def write_sized(df: DataFrame, dest: str, target_bytes: int, by: Sequence[str] =
     rows = spark.read.schema(df.schema).parquet(path)
     measured = row_groups(spark, path).agg(F.sum("bytes")).first()[0] or 0
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).cast("long")
-    keys = rows.select(*[F.col(f"`{c}`") for c in by], width.alias("_w")).groupBy(*by).agg(F.sum("_w").alias("_w"))
+    keys = rows.select(*[F.col(f"`{c}`") for c in by], width.alias("_w")).groupBy(*by).agg(F.sum("_w").alias("_w"), F.count(F.lit(1)).alias("_n"))
     keys = written(keys, "keys")  # a row for each folder
     total = keys.agg(F.sum("_w")).first()[0] or 1
     share = F.col("_w") * (measured / total)
-    keys = keys.select(*by, share.cast("long").alias("bytes"), F.greatest(F.lit(1), F.round(share / target_bytes)).cast("long").alias("n_files"))
+    files_for = lambda size: F.greatest(F.lit(1), F.least(F.col("_n"), F.round(size / target_bytes))).cast("long")
+    plan = keys.select(*by, "_n", share.cast("long").alias("bytes"), files_for(share).alias("n_files"))
     before = F.coalesce(F.sum("n_files").over(Window.orderBy(*by or [F.lit(0)]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    plan = written(keys.withColumn("_first", before), "plan")
-    n_files = plan.agg(F.sum("n_files")).first()[0] or 1
-    to = plan.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "n_files", "_first")
-    meet = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)], F.lit(True))
     # the stored rows have the same numbers in every attempt of a task
-    dealt = rows.withColumn("_at", F.xxhash64(F.monotonically_increasing_id())).join(to, meet)
-    dealt = dealt.withColumn("_file", (F.col("_first") + F.pmod("_at", F.col("n_files"))).cast("int")).select(*df.columns, "_file")
-    dealt = dealt.repartitionById(int(n_files), F.col("_file")).drop("_file")
-    dealt = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*by, *sort)]) if sort else dealt
-    writer = grouped(dealt.write.mode("overwrite").option("compression", "zstd"), row_group_rows=row_group_rows)
-    (writer.partitionBy(*by) if by else writer).parquet(dest)
-    return plan.drop("_first")
+    numbered = rows.withColumn("_at", F.xxhash64(F.monotonically_increasing_id()))
+    for deal in range(DEALS):
+        plan = written(plan.withColumn("_first", before), "plan")
+        n_files = plan.agg(F.sum("n_files")).first()[0] or 1
+        to = plan.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "n_files", "_first")
+        meet = reduce(lambda a, b: a & b, [F.col(f"`{c}`").eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)], F.lit(True))
+        dealt = numbered.join(to, meet)
+        dealt = dealt.withColumn("_file", (F.col("_first") + F.pmod("_at", F.col("n_files"))).cast("int")).select(*df.columns, "_file")
+        dealt = dealt.repartitionById(int(n_files), F.col("_file")).drop("_file")
+        dealt = dealt.sortWithinPartitions(*[F.col(c).asc_nulls_last() for c in (*by, *sort)]) if sort else dealt
+        writer = grouped(dealt.write.mode("overwrite").option("compression", "zstd"), row_group_rows=row_group_rows)
+        (writer.partitionBy(*by) if by else writer).parquet(dest)
+        if deal + 1 == DEALS:
+            break
+        # a file's name has the number of its task, which is that of the file in the plan
+        made = row_groups(spark, dest).groupBy(F.regexp_extract("path", "/part-([0-9]+)-[^/]*$", 1).cast("long").alias("_file")).agg(F.sum("bytes").alias("_bytes"))
+        facts = [F.sum("_bytes").alias("_made"), F.max("_bytes").alias("_most"), F.min("_bytes").alias("_least")]
+        owned = plan.select("_first", F.explode(F.sequence("_first", F.col("_first") + F.col("n_files") - 1)).alias("_file"))
+        found = owned.join(made, "_file").groupBy("_first").agg(*facts)
+        off = (F.col("_most") > 1.5 * target_bytes) | ((F.col("_least") < 0.5 * target_bytes) & (F.col("n_files") > 1))
+        after = plan.join(found, "_first", "left").withColumn("_off", F.coalesce(off, F.lit(False)))
+        after = after.select(*by, "_n", F.coalesce("_made", "bytes").alias("bytes"), F.when(F.col("_off"), files_for(F.col("_made"))).otherwise(F.col("n_files")).alias("n_files"), F.col("n_files").alias("_had"))
+        after = written(after, "plan")
+        if after.filter("n_files != _had").isEmpty():
+            break
+        plan = after.drop("_had")
+    return plan.select(*by, "bytes", "n_files")
 
 
 def register_files(spark: SparkSession, name: str, location: str) -> DataFrame:

@@ -283,6 +283,17 @@ def test_row_groups_and_sizes(spark, tmp_path):
         sinks.export_parquet(rows, str(tmp_path / "x"), ["id"], row_group_rows=0)
 
 
+def test_sizes_of_small_files(spark, tmp_path):
+    """Dictionaries cost a small file more than its share of a large one's bytes."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    plan = {r["o_orderstatus"]: r["n_files"] for r in sinks.write_sized(rows, str(tmp_path / "s"), 16_000, ["o_orderstatus"], ["o_orderkey"]).collect()}
+    files = readers.row_groups(spark, str(tmp_path / "s")).groupBy("path").agg(F.sum("bytes").alias("b"), F.sum("n_rows").alias("n")).collect()
+    assert sum(plan.values()) == len(files) and sum(r["n"] for r in files) == 150_000
+    assert all(8_000 <= r["b"] <= 24_000 for r in files), sorted(r["b"] for r in files)
+    tiny = sinks.write_sized(rows.limit(5), str(tmp_path / "t"), 1).first()  # no file has less than a row
+    assert tiny["n_files"] == 5 and spark.read.parquet(str(tmp_path / "t")).count() == 5
+
+
 def test_digest_trees(spark):
     rows = spark.range(9_000).select((F.col("id") % 8_000).alias("a"), F.when(F.col("id") % 7 == 0, None).otherwise("x").alias("b"))
     one = fingerprint.table_fingerprint(rows).first()
