@@ -57,6 +57,16 @@ def write_csv_lines(df: DataFrame, dest: str, order_by: Sequence[str]) -> None:
     csv_line(df).orderBy(*order).select("line").write.mode("overwrite").text(dest)
 
 
+def write_json_arrays(df: DataFrame, dest: str, max_rows: int = 8_192) -> None:
+    """JSON files of one array each, of at most max_rows rows (taken down to a power of two), from rows of one partition."""
+    if max_rows < 1:
+        raise ValueError("max_rows must be 1 or more")
+    # the numbers of a partition's rows follow each other
+    some = F.shiftright(F.monotonically_increasing_id(), max_rows.bit_length() - 1)
+    arrays = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), some.alias("_some")).groupBy("_some").agg(F.to_json(F.collect_list("_row")).alias("value"))
+    arrays.select("value").write.mode("overwrite").option("maxRecordsPerFile", 1).text(dest)
+
+
 def write_partitioned(df: DataFrame, dest: str, by: Sequence[str], max_rows: int | None = None, row_group_rows: int | None = None) -> None:
     """A folder for each value of `by`, files split at max_rows; rows of a value may come from several tasks."""
     writer = grouped(df.write.mode("overwrite").partitionBy(*by), row_group_rows=row_group_rows)

@@ -11,6 +11,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from tesserae import catalog
 from tesserae.functions import scalars
 from tesserae.functions.scalars import checked, jaro_winkler, jaro_winkler_batch, jaro_winkler_of, mod97, strip_accents
 from tesserae.functions.sql import define_functions, set_variables
@@ -294,6 +295,17 @@ def test_sizes_of_small_files(spark, tmp_path):
     assert tiny["n_files"] == 5 and spark.read.parquet(str(tmp_path / "t")).count() == 5
 
 
+def test_json_arrays_hold_all_rows(spark, data, tmp_path):
+    rows = spark.range(0, 1_000, 1, 3).select("id", F.when(F.col("id") % 2 == 0, "a\n").alias("v"))
+    sinks.write_json_arrays(rows, str(tmp_path / "a"), 100)
+    sizes = [len(json.loads(p.read_text())) for p in (tmp_path / "a").glob("*.txt")]
+    assert sum(sizes) == 1_000 and max(sizes) == 64
+    back = spark.read.schema(rows.schema).option("multiLine", True).json(str(tmp_path / "a"))
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+    found = {r["name"]: (r["n"], r["total"]) for r in catalog.queries()["src_resources"](spark, data).collect()}
+    assert found["json"] == found["ndjson"] == found["csv"] and found["json"][0] == spark.read.parquet(f"{data}/customer.parquet").count()
+
+
 def test_digest_trees(spark):
     rows = spark.range(9_000).select((F.col("id") % 8_000).alias("a"), F.when(F.col("id") % 7 == 0, None).otherwise("x").alias("b"))
     one = fingerprint.table_fingerprint(rows).first()
