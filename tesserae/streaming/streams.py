@@ -60,8 +60,7 @@ class _Debounce(StatefulProcessor):
             found = [(int(us), *rest) for us, *rest in found]
             if found:
                 self.waiting.appendList(found)
-            for at in {-(-us // 1000) for us, *_ in found}:
-                self.handle.registerTimer(at)
+                self.handle.registerTimer(-(-min(us for us, *_ in found) // 1000))  # later rows get theirs when this one's has passed
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
@@ -71,6 +70,7 @@ class _Debounce(StatefulProcessor):
         if due:
             if later := [r for r in rows if r[0] > passed]:
                 self.waiting.put(later)
+                self.handle.registerTimer(-(-min(r[0] for r in later) // 1000))
             else:
                 self.waiting.clear()
         last = tuple(self.last.get()) if self.last.exists() else None
